@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import chat, mixing, sharding, urls
 
 QUERIES = {
     "op1_histogram_sort_shards": sharding.op1,
     "op2_weighted_mix": mixing.op2,
+    "op6_prefix_target_chat": chat.op6,
+    "op10_url_filter": urls.op10,
 }
 
 ORACLES = {
     "op2_weighted_mix": mixing.OP2_SQL,
+    "op6_prefix_target_chat": chat.OP6_SQL,
 }
