@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, secrets, sharding, urls
+from . import chat, mixing, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_histogram_sort_shards": sharding.op1,
     "op2_weighted_mix": mixing.op2,
+    "op3_toxicity": toxicity.op3,
     "op6_prefix_target_chat": chat.op6,
     "op8_secret_scan": secrets.op8,
     "op10_url_filter": urls.op10,
