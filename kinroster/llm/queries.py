@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, secrets, sharding, toxicity, urls
+from . import chat, mixing, neighbours, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_histogram_sort_shards": sharding.op1,
     "op2_weighted_mix": mixing.op2,
     "op3_toxicity": toxicity.op3,
+    "op5_block_neighbours": neighbours.op5,
     "op6_prefix_target_chat": chat.op6,
     "op8_secret_scan": secrets.op8,
     "op10_url_filter": urls.op10,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_weighted_mix": mixing.OP2_SQL,
+    "op5_block_neighbours": neighbours.OP5_SQL,
     "op6_prefix_target_chat": chat.OP6_SQL,
 }
