@@ -125,19 +125,22 @@ def sample(labels: DataFrame, id_column: str, label_column: str, most: tuple[int
 def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: tuple[int, int] = SAMPLE, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Model:
     """A model of the texts in ``df`` that ``labels`` (id and label) mark.
 
-    The ids of the sample are fewer than the sum of ``most``, so they are broadcast; their features
-    are made on the executors, and come to the driver as packed integers.
+    The ids of the sample are fewer than the sum of ``most``, so they are broadcast, and their texts
+    are fitted in one task. Only the finished table comes to the driver.
     """
     chosen = sample(labels, id_column, label_column, most)
 
-    def features(texts: pd.Series) -> pd.Series:
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_id", "h"])
         buckets = Buckets(orders, bits)
-        return pd.Series([[w.astype("<u4").tobytes() for w in buckets(t)] for t in texts])
-
-    rows = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id")
-    rows = rows.select("_id", F.xxhash64("_text").alias("h"), "y", F.pandas_udf(features, "array<binary>")("_text").alias("w")).sort("_id", "h").collect()
-    windows = [[np.frombuffer(w, dtype="<u4") for w in r["w"]] for r in rows]
-    return fit(*training_rows(windows, np.array([r["y"] for r in rows])), bits=bits)
+        model = fit(*training_rows([buckets(t) for t in pdf["_text"]], pdf["y"].to_numpy()), bits=bits)
+        return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
+
+    rows = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id").withColumn("h", F.xxhash64("_text"))
+    found = rows.groupBy(F.lit(0)).applyInPandas(fitted, "weights binary, bias double").first()
+    if found is None:
+        return fit([], np.array([]), bits=bits)
+    return Model(np.frombuffer(found["weights"], dtype=np.float32), found["bias"])
 
 
 def score(df: DataFrame, model: Model, text_column: str = "text", orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
