@@ -137,7 +137,7 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
     rows = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id").withColumn("h", F.xxhash64("_text"))
-    found = rows.groupBy(F.lit(0)).applyInPandas(fitted, "weights binary, bias double").first()
+    found = rows.groupBy().applyInPandas(fitted, "weights binary, bias double").first()
     if found is None:
         return fit([], np.array([]), bits=bits)
     return Model(np.frombuffer(found["weights"], dtype=np.float32), found["bias"])
