@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, neighbours, secrets, sharding, toxicity, urls
+from . import chat, jaccard, mixing, neighbours, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_histogram_sort_shards": sharding.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity": toxicity.op3,
     "op5_block_neighbours": neighbours.op5,
     "op6_prefix_target_chat": chat.op6,
+    "op7_chosen_path_join": jaccard.op7,
     "op8_secret_scan": secrets.op8,
     "op10_url_filter": urls.op10,
 }
