@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, mixing, neighbours, secrets, sharding, toxicity, urls
+from . import chat, jaccard, leaks, mixing, neighbours, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_histogram_sort_shards": sharding.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_prefix_target_chat": chat.op6,
     "op7_chosen_path_join": jaccard.op7,
     "op8_secret_scan": secrets.op8,
+    "op9_benchmark_leaks": leaks.op9,
     "op10_url_filter": urls.op10,
 }
 
