@@ -1,4 +1,53 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline: what becomes of ``documents`` before a model is trained on them.
 
-STAGES = []
+Toxic documents go, one document of each near-duplicate group stays, documents that hold benchmark
+items go, sources are mixed to their target weights (documents repeat, or are left out, as the mix
+says), and the mix is dealt into shards of equal bytes.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from kinroster.llm import jaccard, leaks, mixing, sharding, support, toxicity
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = support.table(spark, sf_dir, "labels")
+    return toxicity.without_toxic(docs, toxicity.train(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.deduplicate(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return leaks.decontaminate(docs, support.table(spark, sf_dir, "benchmark"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixture(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard(docs)
+
+
+STAGES = [
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("benchmark_leaks", benchmark_leaks),
+    ("mixture", mixture),
+    ("shards", shards),
+]
+
+#: The classifier, the sampled paths and the splitters have no SQL form.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written to the shared folder and read again."""
+    docs = support.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = support.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -231,7 +231,7 @@ def checked(batches: Iterator[pd.DataFrame], threshold: float, n: int) -> Iterat
 
 
 def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL) -> DataFrame:
-    """``doc_id, class_id, n_links, is_kept`` for every row.
+    """``doc_id, class_id, n_links, is_kept`` for every row, and ``text_hash`` (xxhash64 of the text).
 
     A link joins two rows whose sets of ``shingle``-word shingles have a Jaccard similarity of
     ``threshold`` or more; ``n_links`` counts the rows a row is linked to, copies included;
@@ -267,12 +267,32 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", th
     alone = F.col("kept").isNull()
     return out.select(
         "doc_id",
+        F.col("th").alias("text_hash"),
         F.when(alone, F.col("doc_id")).otherwise(F.col("kept.doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         (alone | (F.col("kept.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("kept.th") == F.col("th")))).alias("is_kept"),
     )
 
 
+def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` without all but one row of each linked component.
+
+    The row that stays has the component's least id; of repeated rows one stays. Texts without words
+    are no component and all stay. Rows that go are found by id and hash of the text; their table is
+    broadcast while it has at most ``BROADCAST_SETS`` rows, and joined by a shuffle beyond.
+    """
+    flags = support.written(join(df, id_column, text_column, **options), "flags")
+    key = ["doc_id", "text_hash"]
+    gone = flags.filter("NOT is_kept").select(*key).distinct()
+    twins = flags.filter("is_kept AND n_links > 0").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
+    bounded = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_SETS else rows
+    same = lambda rows: F.xxhash64(text_column).eqNullSafe(rows["text_hash"]) & df[id_column].cast("long").eqNullSafe(rows["doc_id"])
+    gone, twins = bounded(support.written(gone, "gone")), bounded(support.written(twins, "twins"))
+    left = df.join(gone, same(gone), "left_anti")
+    once = left.join(twins, same(twins), "left_semi").withColumn("_th", F.xxhash64(text_column)).dropDuplicates([id_column, "_th"]).drop("_th")
+    return left.join(twins, same(twins), "left_anti").unionByName(once)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate classes and links of all documents."""
     return join(support.table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")

@@ -179,6 +179,11 @@ def flagged(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     return df.withColumn("leaks", F.concat(*found) if len(found) > 1 else found[0])
 
 
+def decontaminate(df: DataFrame, benchmark: DataFrame, text_column: str = "text", **columns) -> DataFrame:
+    """The rows of ``df`` whose text holds no benchmark item."""
+    return flagged(df, benchmark, text_column, **columns).filter(F.size("leaks") == 0).select(*df.columns)
+
+
 def op9(spark, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it holds."""
     docs = support.table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -112,6 +112,12 @@ def mixed(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int
     return others.unionByName(edge).select(*own, "source_size", "target", taken.alias("taken"))
 
 
+def mixture(df: DataFrame, **options) -> DataFrame:
+    """The mix itself: every row of ``df`` as many times as the mix takes it."""
+    times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
+    return mix(df, **options).withColumn("_times", F.explode(F.array_repeat(F.lit(0), times))).select(*df.columns)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     docs = support.table(spark, sf_dir, "documents")

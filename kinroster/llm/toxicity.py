@@ -143,8 +143,8 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     return Model(np.frombuffer(found["weights"], dtype=np.float32), found["bias"])
 
 
-def score(df: DataFrame, model: Model, text_column: str = "text", orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
-    """``df`` with ``score``, the probability that the text is toxic.
+def score(df: DataFrame, model: Model, text_column: str = "text", orders: tuple[int, ...] = ORDERS, bits: int = BITS, to: str = "score") -> DataFrame:
+    """``df`` with ``score`` (or the name ``to``), the probability that the text is toxic.
 
     Null and empty texts get the score of a text without features; very long texts are scored whole,
     window by window; equal texts score alike; an empty table gives an empty table. A column named
@@ -156,7 +156,12 @@ def score(df: DataFrame, model: Model, text_column: str = "text", orders: tuple[
         buckets, fitted = Buckets(orders, bits), shared.value
         return pd.Series([fitted.score(buckets(t)) for t in texts], dtype=float)
 
-    return df.withColumn("score", F.pandas_udf(scores, "double")(F.col(text_column)))
+    return df.withColumn(to, F.pandas_udf(scores, "double")(F.col(text_column)))
+
+
+def without_toxic(df: DataFrame, model: Model, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` whose score stays below ``threshold``."""
+    return score(df, model, text_column, to="_score").filter(F.col("_score") < threshold).select(*df.columns)
 
 
 def held_out(identity: Column) -> Column:
