@@ -5,7 +5,7 @@ set is embedded into ``COORDINATES`` min-hash tokens, so two sets share about as
 their Jaccard similarity says. In each run all sets start in one bucket. A bucket is split on
 tokens that it samples, 1 / threshold of them on average, so a pair at the threshold stays together
 on one path on average. Buckets of up to ``SMALL`` sets are compared pair by pair, on their
-min-hashes with a wide margin; larger ones are split again. A bucket that is still large after
+min-hashes with a wide margin, and give a spanning forest of what agrees; larger ones are split again. A bucket that is still large after
 ``DEPTH`` splits holds sets that are nearly alike, and is linked as a whole. The runs are
 independent, and there are enough of them that a pair at the threshold is missed with probability
 ``1 - RECALL`` at most.
@@ -33,7 +33,7 @@ RECALL, SMALL = 0.9999, 48
 #: Min-hash agreement may fall so far below the threshold, 5.7 standard deviations at 0.8.
 MARGIN = 0.2
 #: Sets in a tile's side, and so many representatives at most are broadcast.
-TILE, BROADCAST_SETS = 1024, 400_000
+TILE, BROADCAST_SETS = 512, 400_000
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
@@ -126,9 +126,38 @@ def longer_paths(paths: DataFrame, threshold: float) -> DataFrame:
     return paths.mapInPandas(walk, "path long, sid long")
 
 
-def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of equal min-hashes."""
-    return pd.Series((as_signatures(a) == as_signatures(b)).mean(axis=1) if len(a) else [], dtype=float)
+def forest(ids: np.ndarray, signatures: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a bucket that agree in a share of ``least`` min-hashes or more."""
+    agree = (signatures[:, None, :] == signatures[None, :, :]).mean(axis=2) >= least
+    free, edges = np.ones(len(ids), dtype=bool), []
+    for root in range(len(ids)):
+        reached = [root] if free[root] else []
+        free[root] = False
+        while reached:
+            i = reached.pop()
+            near = np.flatnonzero(agree[i] & free)
+            free[near] = False
+            edges += [(int(ids[i]), int(ids[j])) for j in near]
+            reached += near.tolist()
+    return edges
+
+
+def bucket_edges(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Edges of one bucket after another, from batches in the order of buckets; a bucket may lie in two batches."""
+    left = None
+    for pdf in batches:
+        pdf = pdf if left is None else pd.concat([left, pdf], ignore_index=True)
+        cut = np.flatnonzero(np.diff(pdf["bucket"].to_numpy(), prepend=~pdf["bucket"].iloc[0])) if len(pdf) else np.array([0])
+        left = pdf.iloc[cut[-1] :]
+        yield edges_of(pdf.iloc[: cut[-1]], cut, least)
+    if left is not None:
+        yield edges_of(left, np.array([0, len(left)]), least)
+
+
+def edges_of(pdf: pd.DataFrame, cut: np.ndarray, least: float) -> pd.DataFrame:
+    ids, signatures = pdf["sid"].to_numpy(), as_signatures(pdf["sig"])
+    found = [edge for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for edge in forest(ids[a:b], signatures[a:b], least)]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
 def candidate_edges(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -152,11 +181,9 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float) -> DataFra
     buckets = small[0]
     for more in small[1:]:
         buckets = buckets.union(more)
-    inner = F.transform("m", lambda x, i: F.transform(F.slice(F.col("m"), i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
-    pairs = buckets.distinct().select(F.explode(F.flatten(inner)).alias("p")).select("p.a", "p.b").distinct()
-    one, other = (sets.select(F.col("sid").alias(k), F.col("sig").alias(f"sig_{k}")) for k in "ab")
-    close = pairs.join(one, "a").join(other, "b").filter(F.pandas_udf(agreement, "double")("sig_a", "sig_b") >= threshold - MARGIN)
-    edges = close.select("a", "b")
+    members = buckets.distinct().select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("sid")).join(sets.select("sid", "sig"), "sid")
+    members = members.repartition("bucket").sortWithinPartitions("bucket", "sid")
+    edges = members.mapInPandas(lambda batches: bucket_edges(batches, threshold - MARGIN), "a long, b long")
     for more in linked:
         edges = edges.union(more)
     return edges
