@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, leaks, mixing, neighbours, secrets, sharding, toxicity, urls
+from . import chat, jaccard, kneser_ney, leaks, mixing, neighbours, secrets, sharding, toxicity, urls
 
 QUERIES = {
     "op1_histogram_sort_shards": sharding.op1,
     "op2_weighted_mix": mixing.op2,
     "op3_toxicity": toxicity.op3,
+    "op4_kneser_ney": kneser_ney.op4,
     "op5_block_neighbours": neighbours.op5,
     "op6_prefix_target_chat": chat.op6,
     "op7_chosen_path_join": jaccard.op7,
