@@ -165,7 +165,8 @@ def leaks(texts: Column, index: Index, spark) -> Column:
                 out.append([{"item_id": index.items[i], "score": s * RETRIEVE, "question": q, "answer": a} for i, (s, q, a) in sorted(each.items())])
         return pd.Series(out, dtype=object)
 
-    return F.pandas_udf(find, FOUND)(texts)
+    # not deterministic: otherwise the filter that Spark infers for explode() runs the search a second time
+    return F.pandas_udf(find, FOUND).asNondeterministic()(texts)
 
 
 def flagged(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
