@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import matching, names
+from ..functions import privacy as k_anonymity
+from ..operators import checks, metrics, residual
 from ..sources import fixture
 from . import oracle
 from .engine import Engine
@@ -72,3 +77,120 @@ query(
     ),
     "SELECT employee_sk, count(*) AS days, min(snapshot_date) AS first_day, max(snapshot_date) AS last_day, count(*) FILTER (is_active_on_date) AS active_days, count(*) FILTER (is_hire_date) AS hire_days, count(*) FILTER (is_termination_date) AS termination_days, sum(tenure_days)::BIGINT AS tenure, min(daily_workforce_key) AS least_key, max(daily_workforce_key) AS greatest_key FROM workforce_daily GROUP BY 1",
 )
+
+# Metric queries and what the dashboard shows.
+_FIRST_QUARTER = metrics.Filters(dt.date(1998, 1, 1), dt.date(1998, 3, 31), "BUILDING", None, "FTE", 5000)
+_WHERE = "department = 'BUILDING' AND employment_type = 'FTE'"
+
+
+def surface_sql(name: str, table: str, where: str) -> str:
+    known = metrics.SURFACES[name]
+    columns = [f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" if c == "generated_at" else c for c in known.columns]
+    return f"SELECT {', '.join(columns)} FROM {table} WHERE {where} ORDER BY {', '.join(known.order)} LIMIT 5000"
+
+
+query("metric_headcount_filtered", lambda e: metrics.metric_query(e.headcount_daily, "headcount", _FIRST_QUARTER), surface_sql("headcount", "headcount_daily", f"snapshot_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' AND {_WHERE}"))
+query("metric_attrition_filtered", lambda e: metrics.metric_query(e.attrition_monthly, "attrition", _FIRST_QUARTER), surface_sql("attrition", "attrition_monthly", f"month_start_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' AND {_WHERE}"))
+query("metric_suppression", lambda e: metrics.metric_query(e.suppression_summary, "suppression", metrics.Filters(limit=100)), surface_sql("suppression", "suppression_summary", "true"))
+query("metric_metadata", lambda e: metrics.metadata(e.suppression_summary), "SELECT string_agg(privacy_surface, '||' ORDER BY privacy_surface) AS surfaces, count(*) AS surface_count, sum(row_count)::BIGINT AS row_count, count(*) FILTER (suppressed_row_count > 0) AS surfaces_with_suppression, min(k_anonymity_threshold) AS k_anonymity_threshold FROM suppression_summary")
+query("dashboard_headcount_trend", lambda e: metrics.headcount_trend(e.headcount_daily), "SELECT snapshot_date, sum(headcount)::BIGINT AS headcount FROM headcount_daily WHERE is_reportable GROUP BY 1")
+query("dashboard_attrition_trend", lambda e: metrics.attrition_trend(e.attrition_monthly).withColumn("attrition_rate", F.round("attrition_rate", 9)), "SELECT month_start_date, round(avg(attrition_rate), 9) AS attrition_rate FROM attrition_monthly WHERE attrition_rate IS NOT NULL GROUP BY 1")
+query("dashboard_latest_headcount", lambda e: metrics.latest_headcount(e.headcount_daily), "SELECT sum(headcount)::BIGINT AS headcount, snapshot_date FROM headcount_daily WHERE is_reportable GROUP BY 2 ORDER BY 2 DESC LIMIT 1")
+query("dashboard_latest_attrition", lambda e: metrics.latest_attrition(e.attrition_monthly).withColumn("attrition_rate", F.round("attrition_rate", 9)), "SELECT round(avg(attrition_rate), 9) AS attrition_rate, month_start_date FROM attrition_monthly WHERE is_reportable AND attrition_rate IS NOT NULL GROUP BY 2 ORDER BY 2 DESC LIMIT 1")
+query("dashboard_suppression", lambda e: metrics.suppression_kpis(e.suppression_summary), "SELECT sum(reportable_row_count)::BIGINT AS reportable_rows, sum(suppressed_row_count)::DOUBLE / sum(row_count)::DOUBLE AS suppression_rate FROM suppression_summary")
+query("dashboard_window", lambda e: metrics.default_window(e.headcount_daily), "SELECT greatest(min(snapshot_date), max(snapshot_date) - 6) AS start_date, max(snapshot_date) AS end_date FROM headcount_daily")
+
+# Golden cases of the scalar functions.
+NAME_CASES = ("Robert", "  Robert  ", "Édouard", "Anaïs", "Mary-Jane", "O'Brien", "Jean Paul", "Núñez", "François", "", None, "Robert3", "张伟", "محمد", "Łukasz")
+ROOT_CASES = ("Robert", "Bob", "Bobby", "Rob", "Liz", "Beth", "Raj", "Paco", "Aiden", "Steve", "  BoB  ", "Mária", "", None)
+
+
+def _values(cases: tuple[str | None, ...]) -> str:
+    return "(VALUES " + ", ".join(f"({i}, " + ("CAST(NULL AS VARCHAR)" if c is None else "'" + c.replace("'", "''") + "'") + ")" for i, c in enumerate(cases)) + ") v(case_id, name)"
+
+
+def _cases(e: Engine, cases: tuple[str | None, ...]) -> DataFrame:
+    return e.spark.createDataFrame(list(enumerate(cases)), "case_id int, name string")
+
+
+query("normalize_name_cases", lambda e: _cases(e, NAME_CASES).withColumn("normalized", names.normalize_name(F.col("name"))), f"SELECT case_id, name, {oracle.norm('name')} AS normalized FROM {_values(NAME_CASES)}")
+query("first_name_root_cases", lambda e: names.with_root(_cases(e, ROOT_CASES), F.col("name"), e.nicknames, "root"), f"SELECT case_id, name, {oracle.root('name')} AS root FROM {_values(ROOT_CASES)}")
+query("k_anonymity_cases", lambda e: e.spark.range(3, 8).select(F.col("id").alias("n")).withColumns({"metric": k_anonymity.masked(F.lit(100), F.col("n"), e.cfg.k, "long")} | k_anonymity.privacy_columns(F.col("n"), e.cfg.k)), f"SELECT n, {oracle.masked('100::BIGINT', 'n')} AS metric, {oracle.shown('n')} FROM range(3, 8) r(n)")
+
+_BITS = {a: 1 << i for i, a in enumerate((*matching.ANCHORS, *matching.HIRE_STEPS, "structural_fk_match"))}
+_HELD = {a: f"(id & {b}) <> 0" for a, b in _BITS.items()}
+_SUM = " + ".join(f"CASE WHEN {_HELD[a]} THEN {int(w * 100)} ELSE 0 END" for a, w in matching.ANCHORS.items())
+_HIRE = "CASE " + " ".join(f"WHEN {_HELD[a]} THEN {int(w * 100)}" for a, w in matching.HIRE_STEPS.items()) + " ELSE 0 END"
+
+
+def _confidence(e: Engine) -> DataFrame:
+    """All combinations of anchors."""
+    held = {a: F.expr(c) for a, c in _HELD.items()}
+    score = F.round(matching.match_score(**held), 2)
+    count = matching.match_anchor_count(**{a: c for a, c in held.items() if a != "structural_fk_match"})
+    return e.spark.range(1 << len(_BITS)).select("id", score.alias("score"), count.alias("anchors"), matching.auto_merge_qualified(score, count, held["structural_fk_match"]).alias("qualified"))
+
+
+query(
+    "match_confidence_cases",
+    _confidence,
+    f"SELECT id, score, anchors, {_HELD['structural_fk_match']} OR (score >= 0.95 AND anchors >= 2) AS qualified FROM (SELECT id, CASE WHEN {_HELD['structural_fk_match']} THEN 1.0 ELSE least(100, {_SUM} + {_HIRE}) / 100.0 END::DOUBLE AS score, "
+    + " + ".join(f"({_HELD[a]})::INT" for a in matching.ANCHORS) + f" + ({_HELD['hire_date_exact']} OR {_HELD['hire_date_within_7d']})::INT AS anchors FROM range({1 << len(_BITS)}) r(id))",
+)
+
+# Review candidates. Similarity has no SQL form; the tests compare it with a plain table of subsequences.
+query("residual_scores", lambda e: residual.exported(_residual(e)[1]))
+query("residual_ranked", lambda e: residual.exported(residual.ranked(_residual(e)[1])))
+query("residual_summary", lambda e: residual.summary(_residual(e)[0], residual.ranked(_residual(e)[1])))
+query("proxy_evaluation", lambda e: residual.proxy_evaluation(_residual(e)[0], residual.ranked(_residual(e)[1])))
+
+
+def _residual(e: Engine, mode: str = "normalized") -> tuple[DataFrame, DataFrame]:
+    """Queued identities that have a last name or a hint, and their scored pairs."""
+    sources = residual.source_identities(e.stewardship_queue).persist()
+    people = residual.canonical_identities(e.canonical_person, mode)
+    return sources, residual.scored(residual.blocked(sources, people))
+
+
+# Data checks, with the number of rows that break each rule.
+def _counts(e: Engine, *parts: str) -> DataFrame:
+    found = {n: df for n, df in checks.all_checks(e).items() if any(p in n for p in parts)}
+    rows = [df.agg(F.count("*").alias("violations")).select(F.lit(n).alias("check_name"), "violations") for n, df in sorted(found.items())]
+    return reduce(DataFrame.unionByName, rows)
+
+
+_BREAKS = {
+    "hris_persons_no_orphan_spells": "SELECT 1 FROM (SELECT (SELECT count(*) FROM stg_hris WHERE date_of_birth IS NOT NULL AND personal_email_local_part IS NOT NULL) a, (SELECT sum(len(hris_employee_ids)) FROM hris_persons) b) WHERE a <> b",
+    "hris_persons_unique_key": "SELECT 1 FROM hris_persons GROUP BY hris_person_key HAVING count(*) > 1",
+    "payroll_no_orphan_periods": "SELECT 1 FROM (SELECT (SELECT count(*) FROM stg_payroll WHERE employee_payroll_id IS NOT NULL) a, (SELECT sum(pay_period_count) FROM payroll_spells) b) WHERE a <> b",
+    "payroll_period_range": "SELECT 1 FROM payroll_spells WHERE first_pay_period_start > most_recent_pay_period_end",
+    "dms_user_once": "SELECT 1 FROM dms_erp_unified WHERE dms_user_id IS NOT NULL GROUP BY dms_user_id HAVING count(*) > 1",
+    "erp_user_once": "SELECT 1 FROM dms_erp_unified WHERE erp_user_id IS NOT NULL GROUP BY erp_user_id HAVING count(*) > 1",
+    "broken_link_implies_erp": "SELECT 1 FROM dms_erp_unified WHERE has_broken_link AND NOT has_erp",
+    "dms_erp_has_a_source": "SELECT 1 FROM dms_erp_unified WHERE NOT (has_dms OR has_erp)",
+    "work_email_stable": "SELECT 1 FROM stg_hris JOIN hris_persons p USING (date_of_birth, personal_email_local_part) GROUP BY p.hris_person_key HAVING count(DISTINCT stg_hris.work_email_local_part) > 1",
+    **{f"nodes_{s}": f"SELECT 1 FROM (SELECT (SELECT count(*) FROM {t}) a, (SELECT count(*) FROM identity_source_nodes WHERE source_system = '{s.upper()}') b) WHERE a <> b" for s, t in {"ats": "stg_ats", "crm": "stg_crm", "dms_erp": "dms_erp_unified", "hris": "hris_persons", "payroll": "payroll_spells"}.items()},
+    "source_merged_once": "SELECT 1 FROM evidence WHERE auto_merge_qualified GROUP BY source_record_key HAVING count(DISTINCT hris_person_key) > 1",
+    "no_orphan_nodes": "SELECT 1 FROM identity_source_nodes WHERE source_system <> 'HRIS' AND source_record_key NOT IN (SELECT source_record_key FROM evidence WHERE auto_merge_qualified UNION ALL SELECT source_record_key FROM stewardship_queue)",
+    "queue_has_no_merged": "SELECT 1 FROM stewardship_queue WHERE source_record_key IN (SELECT source_record_key FROM evidence WHERE auto_merge_qualified)",
+    "dim_covers_spells": "SELECT 1 FROM (SELECT (SELECT count(*) FROM stg_hris WHERE date_of_birth IS NOT NULL AND personal_email_local_part IS NOT NULL) a, (SELECT count(*) FROM dim_employee) b) WHERE a <> b",
+    "dim_no_overlap": "SELECT 1 FROM (SELECT effective_end_date, lead(effective_start_date) OVER (PARTITION BY canonical_person_id ORDER BY effective_start_date, hris_employee_id) AS following FROM dim_employee) WHERE effective_end_date >= following",
+    "daily_one_active_row": "SELECT 1 FROM workforce_daily WHERE is_active_on_date GROUP BY canonical_person_id, snapshot_date HAVING count(*) > 1",
+    "daily_bounds": "SELECT 1 FROM workforce_daily w JOIN dim_employee d USING (employee_sk) WHERE w.snapshot_date < d.effective_start_date OR w.snapshot_date > d.termination_date OR w.snapshot_date > DATE '2001-12-31'",
+    "headcount_suppressed_null": "SELECT 1 FROM headcount_daily WHERE NOT is_reportable AND (headcount IS NOT NULL OR reportable_cohort_employee_count IS NOT NULL)",
+    "headcount_small_suppressed": "SELECT 1 FROM headcount_daily WHERE is_reportable AND headcount < 5",
+    "attrition_suppressed_null": "SELECT 1 FROM attrition_monthly WHERE NOT is_reportable AND (start_headcount IS NOT NULL OR terminations IS NOT NULL OR attrition_rate IS NOT NULL)",
+    "attrition_small_suppressed": "SELECT 1 FROM attrition_monthly WHERE is_reportable AND start_headcount < 5",
+    "summary_adds_up": "SELECT 1 FROM suppression_summary WHERE row_count <> reportable_row_count + suppressed_row_count",
+}
+
+
+def _checks(name: str, *parts: str) -> None:
+    wanted = sorted(n for n in _BREAKS if any(p in f"check_{n}" for p in parts))
+    query(name, lambda e: _counts(e, *parts), " UNION ALL ".join(f"SELECT 'check_{n}' AS check_name, (SELECT count(*) FROM ({_BREAKS[n]})) AS violations" for n in wanted))
+
+
+_checks("checks_persons", "check_hris", "check_payroll", "check_dms", "check_erp", "check_broken", "check_work")
+_checks("checks_identity", "check_nodes", "check_source", "check_no_orphan", "check_queue")
+_checks("checks_workforce", "check_dim", "check_daily")
+_checks("checks_privacy", "check_headcount", "check_attrition", "check_summary")
