@@ -270,6 +270,7 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", th
     named after them unless it has no other; repeated rows are links of each other; very long texts
     are taken whole; an empty table gives an empty table; other columns are not read.
     """
+    support.short_batches(df.sparkSession)
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("th", F.xxhash64("text"))
     docs = support.written(texts.mapInPandas(lambda batches: embedded(batches, shingle), "doc_id long, th long, sid long, sig binary"), "documents")
     sets = support.written(docs.filter("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.first("sig").alias("sig")), "sets")

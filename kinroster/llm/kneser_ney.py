@@ -306,6 +306,7 @@ def train(df: DataFrame, text_column: str = "text", shard_bytes: int = SHARD_BYT
     """Counts the model of all texts and writes it to the shared folder. An empty table gives an empty model."""
     spark = df.sparkSession
     texts = df.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    support.short_batches(df.sparkSession)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     layout = Layout(support.scratch_path(spark, "model"), max(1, -(-size // shard_bytes)))
     found = {r["shard"]: r for r in count_words(texts, layout).collect()}

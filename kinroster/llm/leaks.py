@@ -156,6 +156,7 @@ def indexes(benchmark: DataFrame, item_column: str, text_column: str) -> list[In
 
 def leaks(texts: Column, index: Index, spark) -> Column:
     """The items that each text holds."""
+    support.short_batches(spark)
     shared = spark.sparkContext.broadcast(index)
 
     def find(column: pd.Series) -> pd.Series:

@@ -69,13 +69,15 @@ def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", sou
     ``taken / size`` is the number of times a document is used: the complete epochs of its source,
     and one more if it is drawn. A source's words differ from its target by half a document at most.
 
+    The rows with their keys are written once to the shared folder, since they are read three times.
+
     Null texts and texts without words have size 0 and are never taken; null sources form a source,
     which comes last; null ids are hashed like empty ones; equal rows have equal keys and are taken
     one by one; a source without words has target 0; an empty table gives an empty table. Columns of
     the input that are named like the new ones are replaced; others are kept.
     """
     words = support.word_count(F.col(text_column))
-    keyed = prepared(df, id_column, text_column, source_column, words)
+    keyed = support.written(prepared(df, id_column, text_column, source_column, words), "mix-rows")
     return mixed(keyed, weights, share, cap, buckets)
 
 

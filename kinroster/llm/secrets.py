@@ -164,6 +164,7 @@ def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ra
     Null and empty texts have no spans; very long texts are scanned whole; repeated rows are
     scanned alike; an empty table gives an empty table; other columns are not read.
     """
+    support.short_batches(df.sparkSession)
     found = support.written(df.select(F.col(id_column).alias("doc_id"), F.pandas_udf(scan_texts, SCANNED)(F.col(text_column)).alias("s")).select("doc_id", "s.*"), "secrets")
     limits = F.array(*[F.lit(x) for x in cuts(found, rate)])
     kept = F.filter("free", lambda x: x[3] < F.element_at(limits, x[2] + 1))

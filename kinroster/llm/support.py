@@ -33,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def short_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: batches to Python hold fewer rows than Spark's usual 10,000, unless the session says otherwise."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -150,6 +150,7 @@ def score(df: DataFrame, model: Model, text_column: str = "text", orders: tuple[
     window by window; equal texts score alike; an empty table gives an empty table. A column named
     ``score`` is replaced; others are kept.
     """
+    support.short_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 ** bits floats
 
     def scores(texts: pd.Series) -> pd.Series:
