@@ -66,6 +66,25 @@ def hris_spell_names(stg_hris: DataFrame, hris_persons: DataFrame, nicknames: Da
     )
 
 
+#: Days that hire dates may be apart, and so the width of the buckets that are joined on.
+NEAR = 30
+
+
+def _bucket(day: str) -> Column:
+    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / (NEAR + 1))
+
+
+def near_hires(sources: DataFrame, spells: DataFrame, on: dict[str, str]) -> DataFrame:
+    """Pairs with equal keys and hire dates at most ``NEAR`` days apart.
+
+    A source lies in one bucket of dates, a spell is sent to its own and both neighbours, so a pair
+    meets once, and a frequent name or domain is spread over time instead of meeting itself.
+    """
+    spread = spells.withColumn("_bucket", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]), lambda i: _bucket("h_hired") + i)))
+    equal = [F.col(a) == F.col(b) for a, b in on.items()]
+    return sources.withColumn("_own", _bucket("source_hire_date")).join(spread, reduce(lambda a, b: a & b, [*equal, F.col("_own") == F.col("_bucket"), _off() <= NEAR])).drop("_own", "_bucket")
+
+
 def _off(days_of: str = "h_hired") -> Column:
     return F.abs(F.datediff("source_hire_date", days_of))
 
@@ -109,8 +128,9 @@ def pass_2(nodes: DataFrame, spells: DataFrame, first: DataFrame) -> DataFrame:
     """Equal names and a hire date at most 30 days off; only an equal date of birth merges."""
     named = F.col("source_first_name_root").isNotNull() & F.col("source_last_name_norm").isNotNull() & F.col("source_hire_date").isNotNull()
     sources = without_merged(nodes.filter((F.col("source_system") != "HRIS") & named), first)
-    root = (F.col("source_first_name_root") == F.col("legal_root")) | (F.col("source_first_name_root") == F.col("preferred_root"))
-    pairs = sources.join(spells, (F.col("source_last_name_norm") == F.col("h_last")) & root & (_off() <= 30))
+    # Either root of a spell may be meant; the two are rows of their own, so that the root is a key of the join.
+    rooted = spells.withColumn("h_root", F.explode(F.array_distinct(F.array("legal_root", "preferred_root"))))
+    pairs = near_hires(sources, rooted, {"source_last_name_norm": "h_last", "source_first_name_root": "h_root"})
     extra = {"source_has_dob": F.col("date_of_birth").isNotNull(), "dob_match": F.col("date_of_birth") == F.col("h_dob"), "name_match": F.lit(True)}
     found = _candidates(pairs, 2, F.lit("normalized_name_dob_hire_proximity"), HRIS_NAMES, extra, _off())
     days, born = F.col("hire_date_diff_days"), F.coalesce("dob_match", F.lit(False))
@@ -123,7 +143,7 @@ def pass_3(nodes: DataFrame, spells: DataFrame, first: DataFrame, second: DataFr
     """Accounts with a person's domain and last part of the address, hired at most 30 days off."""
     addressed = F.col("source_email_local_part").isNotNull() & F.col("source_email_domain").isNotNull() & F.col("source_hire_date").isNotNull()
     sources = without_merged(nodes.filter(F.col("source_system").isin("CRM", "DMS_ERP") & addressed), first, second).withColumn("token", last_token(F.col("source_email_local_part")))
-    pairs = sources.join(spells, (F.col("source_email_domain") == F.col("h_domain")) & (F.col("token") == F.col("h_token")) & (_off() <= 30))
+    pairs = near_hires(sources, spells, {"source_email_domain": "h_domain", "token": "h_token"})
     found = _candidates(pairs, 3, F.lit("company_email_domain_last_token_hire_unique"), HRIS_NAMES, off=_off())
     days = F.col("hire_date_diff_days")
     score = F.when(days == 0, 0.97).when(days <= 7, 0.96).otherwise(0.95).cast("double")
