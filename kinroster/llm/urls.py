@@ -54,10 +54,11 @@ def gram_buckets(host: Column, path: Column, dim: int = DIM) -> Column:
     """Hash buckets (from 1) of all character n-grams of host and path, which are told apart."""
 
     def of(text: Column, kind: str, n: int) -> Column:
-        chars = F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
         starts = F.when(F.length(text) + 2 >= n, F.sequence(F.lit(1), F.length(text) + 3 - n)).otherwise(F.array().cast("array<int>"))
-        gram = lambda i: F.concat(*[F.element_at(chars, i + k) for k in range(n)])
-        return F.transform(starts, lambda i: (F.pmod(F.xxhash64(F.lit(kind), gram(i)), F.lit(dim)) + 1).cast("int"))
+        bucket = lambda chars, i: (F.pmod(F.xxhash64(F.lit(kind), F.concat(*[F.element_at(chars, i + k) for k in range(n)])), F.lit(dim)) + 1).cast("int")
+        # The outer transform has one element: it binds the characters, which would else be split again for every n-gram.
+        once = F.array(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""))
+        return F.element_at(F.transform(once, lambda chars: F.transform(starts, lambda i: bucket(chars, i))), 1)
 
     return F.concat(*[of(text, kind, n) for text, kind in ((host, "host"), (path, "path")) for n in GRAMS])
 
@@ -75,7 +76,7 @@ def margin(buckets: Column, weights: list[float]) -> Column:
     return total / F.sqrt(F.greatest(F.size(buckets), F.lit(1))) + weights[-1]
 
 
-def train(table: DataFrame, steps: int = 25, rate: float = 20.0, decay: float = 1e-3, dim: int = DIM) -> list[float]:
+def train(table: DataFrame, steps: int = 40, rate: float = 5.0, decay: float = 1e-3, dim: int = DIM) -> list[float]:
     """Logistic regression on a labelled table of (url, label) by full gradient steps."""
     host, path = split_url(F.coalesce("url", F.lit("")))
     rows = table.coalesce(1).select("label", gram_buckets(host, path, dim).alias("buckets")).cache()
