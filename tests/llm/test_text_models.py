@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -97,16 +98,18 @@ def test_toxicity_on_held_out_labels(spark):
 
 
 def test_toxicity_ignores_length_and_handles_odd_rows(spark):
-    bad, good = [(i, f"you idiot moron fool number {i} and go") for i in range(30)], [(100 + i, f"the river was calm on day {i} of spring") for i in range(60)]
+    rng = random.Random(8)
+    prose = lambda n: " ".join("".join(rng.choices(["tion", "ea", "th", "in", "or", "er", "an"], k=rng.randrange(1, 4))) for _ in range(n))
+    bad, good = [(i, f"{prose(40)} idiot {prose(40)} moron") for i in range(60)], [(100 + i, prose(80)) for i in range(120)]
     df = spark.createDataFrame(bad + good, "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i, _ in bad] + [(i, 0) for i, _ in good] + [(None, 1), (100, None)], "doc_id long, toxic int")
     model = toxicity.train(df, labels)
-    calm = " ".join(f"the river was calm on day {i} of spring" for i in range(5000))
-    odd = [(1, None, "x"), (2, "", "x"), (3, calm, "x"), (4, calm + " you idiot moron fool " + calm, "x"), (4, "you IDIOT moron fool", "x")]
+    calm = prose(30_000)
+    odd = [(1, None, "x"), (2, "", "x"), (3, calm, "x"), (4, f"{calm} idiot moron {calm}", "x"), (4, "th an IDIOT Moron", "x")]
     out = frame(toxicity.score(spark.createDataFrame(odd, "doc_id long, text string, score string"), model))
     assert out.columns.tolist() == ["doc_id", "text", "score"] and len(out) == 5
     assert out.score[0] == out.score[1] and out.score[2] < 0.7 <= min(out.score[3], out.score[4])
-    assert toxicity.without_toxic(df, model).count() == 60
+    assert toxicity.without_toxic(df, model).count() == 120
     nothing = toxicity.train(df, labels.filter("toxic = 0"))
-    assert frame(toxicity.score(df, nothing)).score.tolist() == [0.5] * 90
+    assert frame(toxicity.score(df, nothing)).score.tolist() == [0.5] * 180
     assert toxicity.score(spark.createDataFrame([], DOCS), model).count() == 0
