@@ -11,8 +11,19 @@ from ..operators import identity, persons, privacy, staging, workforce
 from ..sources.nicknames import nickname_map
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` persisted and computed now.
+
+    Left to the first action, nested persisted frames are planned inside each other and computed
+    several times over; one after another they are computed once. Lost blocks are computed again.
+    """
+    df = df.persist()
+    df.count()
+    return df
+
+
 class Engine:
-    """Models over the six raw tables. A model is built when it is first asked for, and nothing runs before an action."""
+    """Models over the six raw tables. A model is built when it is first asked for; only the frames that several models read are computed then."""
 
     def __init__(self, spark: SparkSession, sources: dict[str, DataFrame], cfg: EngineConfig = DEFAULT, nicknames: DataFrame | None = None):
         self.spark, self.sources, self.cfg = spark, sources, cfg
@@ -33,13 +44,13 @@ class Engine:
 
     @cached_property
     def identity_source_nodes(self) -> DataFrame:
-        return identity.source_nodes(self.hris_persons, self.stg_ats, self.payroll_spells, self.stg_crm, self.dms_erp_unified, self.nicknames).persist()
+        return kept(identity.source_nodes(self.hris_persons, self.stg_ats, self.payroll_spells, self.stg_crm, self.dms_erp_unified, self.nicknames))
 
     hris_spell_names = cached_property(lambda self: identity.hris_spell_names(self.stg_hris, self.hris_persons, self.nicknames))
     # Later passes and the models after them read these several times.
-    identity_pass_1 = cached_property(lambda self: identity.pass_1(self.identity_source_nodes).persist())
-    identity_pass_2 = cached_property(lambda self: identity.pass_2(self.identity_source_nodes, self.hris_spell_names, self.identity_pass_1).persist())
-    identity_pass_3 = cached_property(lambda self: identity.pass_3(self.identity_source_nodes, self.hris_spell_names, self.identity_pass_1, self.identity_pass_2).persist())
+    identity_pass_1 = cached_property(lambda self: kept(identity.pass_1(self.identity_source_nodes)))
+    identity_pass_2 = cached_property(lambda self: kept(identity.pass_2(self.identity_source_nodes, self.hris_spell_names, self.identity_pass_1)))
+    identity_pass_3 = cached_property(lambda self: kept(identity.pass_3(self.identity_source_nodes, self.hris_spell_names, self.identity_pass_1, self.identity_pass_2)))
 
     @property
     def passes(self) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -14,7 +14,7 @@ from ..functions import privacy as k_anonymity
 from ..operators import checks, metrics, residual
 from ..sources import fixture
 from . import oracle
-from .engine import Engine
+from .engine import Engine, kept
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,17 +144,22 @@ REVIEWED = 500
 # Review candidates. Similarity has no SQL form; the tests compare it with a plain table of subsequences.
 query("residual_scores", lambda e: residual.exported(_residual(e)[1]))
 query("residual_ranked", lambda e: residual.exported(residual.ranked(_residual(e)[1])))
-query("residual_summary", lambda e: residual.summary(_residual(e)[0], residual.ranked(_residual(e)[1])))
-query("proxy_evaluation", lambda e: residual.proxy_evaluation(_residual(e)[0], residual.ranked(_residual(e)[1])))
+query("residual_summary", lambda e: _reviewed(e, residual.summary))
+query("proxy_evaluation", lambda e: _reviewed(e, residual.proxy_evaluation))
 
 
 def _residual(e: Engine, mode: str = "normalized") -> tuple[DataFrame, DataFrame]:
     """The identities under review, and their scored pairs."""
-    sources = residual.source_identities(e.stewardship_queue, REVIEWED).persist()
-    people = residual.canonical_identities(e.canonical_person, mode).persist()
+    sources = kept(residual.source_identities(e.stewardship_queue, REVIEWED))
+    people = kept(residual.canonical_identities(e.canonical_person, mode))
     return sources, residual.scored(residual.blocked(sources, people))
 
 
+def _reviewed(e: Engine, evaluate: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    sources, scores = _residual(e)
+    return evaluate(sources, residual.ranked(scores))
+
+
 # Data checks, with the number of rows that break each rule.
 def _counts(e: Engine, *parts: str) -> DataFrame:
     found = {n: df for n, df in checks.all_checks(e).items() if any(p in n for p in parts)}
