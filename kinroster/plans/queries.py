@@ -138,9 +138,6 @@ query(
     + " + ".join(f"({_HELD[a]})::INT" for a in matching.ANCHORS) + f" + ({_HELD['hire_date_exact']} OR {_HELD['hire_date_within_7d']})::INT AS anchors FROM range({1 << len(_BITS)}) r(id))",
 )
 
-#: A review takes so many queued identities at a time, in order.
-REVIEWED = 500
-
 # Review candidates. Similarity has no SQL form; the tests compare it with a plain table of subsequences.
 query("residual_scores", lambda e: residual.exported(_residual(e)[1]))
 query("residual_ranked", lambda e: residual.exported(residual.ranked(_residual(e)[1])))
@@ -149,8 +146,8 @@ query("proxy_evaluation", lambda e: _reviewed(e, residual.proxy_evaluation))
 
 
 def _residual(e: Engine, mode: str = "normalized") -> tuple[DataFrame, DataFrame]:
-    """The identities under review, and their scored pairs."""
-    sources = kept(residual.source_identities(e.stewardship_queue, REVIEWED))
+    """All queued identities, and their scored pairs."""
+    sources = kept(residual.source_identities(e.stewardship_queue))
     people = kept(residual.canonical_identities(e.canonical_person, mode))
     return sources, residual.scored(residual.blocked(sources, people))
 

@@ -1,4 +1,5 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,6 +130,16 @@ def test_residual(spark):
     assert "| source_count | 2 |" in residual.report("Review", row.asDict(), [r.asDict() for r in residual.exported(residual.global_top(ranked, 5)).collect()])
 
 
+def test_review_takes_the_whole_queue(spark):
+    queue = [("ATS", f"ATS::{i:04}", "ana", "lopez", None, None, None, "NO_DETERMINISTIC_CANDIDATE") for i in range(600)]
+    queue.append(("PAYROLL", "PAYROLL::1", "robert", "smith", dt.date(2024, 1, 8), "rsmith", "cp_abc", "AMBIGUOUS_CANDIDATES"))
+    people = [("cp_abc", "Robert", "Smith", dt.date(2024, 1, 1), "robert.smith", "rsmith")]
+    e = SimpleNamespace(stewardship_queue=spark.createDataFrame(queue, QUEUE), canonical_person=spark.createDataFrame(people, PEOPLE))
+    sources, scores = queries._residual(e)
+    assert sources.count() == scores.count() == 601
+    assert [r["source_record_key"] for r in residual.ranked(scores).collect()] == ["PAYROLL::1"]
+
+
 def test_metrics_are_filtered_and_logged(spark, engine, tmp_path):
     cfg = EngineConfig(as_of=AS_OF, run_id="r1")
     filters = metrics.Filters(dt.date(1998, 1, 1), dt.date(1998, 1, 31), "", None, "FTE", 50)
