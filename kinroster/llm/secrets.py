@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and a battery of randomness tests on everything that looks encoded.
 
-A candidate is a run of 20 or more characters of the usual encodings. Its encoding is inferred
+A candidate is a run of 20 or more characters of the usual encodings, with the padding that ends
+it; "=" before a value, as in name=value, separates. The encoding of a candidate is inferred
 from the symbols it uses; under the hypothesis that the symbols are uniform and independent the
 battery asks for the uniformity of symbols and of symbol classes (chi-squared), the number of
 runs about the middle of the alphabet, and the serial correlation. The p-values are combined by
@@ -29,7 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}=*(?![A-Za-z0-9+/_=-])")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}(?:=*(?![A-Za-z0-9+/_=-])|(?==))")
 #: The encodings, by size of alphabet: the first whose symbols cover the candidate is inferred.
 ENCODINGS = ("0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
 TABLES = [{c: i for i, c in enumerate(symbols)} for symbols in ENCODINGS]

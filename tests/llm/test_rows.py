@@ -111,6 +111,17 @@ def test_battery_tells_random_from_words(spark):
     assert sum(hit[:100]) >= 95 and sum(hit[100:]) <= 9
 
 
+def test_random_values_after_an_equals_sign(spark):
+    rng = random.Random(7)
+    made = ["".join(rng.choices(string.ascii_letters + string.digits, k=40)) for _ in range(120)]
+    texts = [f(s) for s, f in zip(made, [lambda s: f"export AWS_SECRET_ACCESS_KEY={s}\n", lambda s: f"key={s}", lambda s: f"https://x.y/z?sig={s}&v=1", lambda s: f"{s}=1"] * 30, strict=True)]
+    found = [[t[m.start() : m.end()] for m in secrets.CANDIDATE.finditer(t)] for t in texts]
+    assert all(s in each for s, each in zip(made, found, strict=True))
+    assert secrets.CANDIDATE.fullmatch("QWxhZGRpbjpvcGVuIHNlc2FtZQ==")
+    out = frame(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).sort_values("doc_id")
+    assert sum(f"random:{t.index(s)}:{t.index(s) + 40}" in spans for s, t, spans in zip(made, texts, out.spans, strict=True)) >= 110
+
+
 @pytest.mark.parametrize("ps", [[0.5, 0.5], [1e-9, 0.9, 0.9], [1.0, 1.0, 1.0]])
 def test_fisher(ps):
     import math
