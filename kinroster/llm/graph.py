@@ -11,18 +11,28 @@ from . import support
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """``node, label`` for every node of ``edges`` (``a``, ``b``, longs): the least node of its component.
 
-    Each round takes the least label among the neighbours and then the label of that label, so a
-    path of length n takes about log n rounds. Labels are written to the shared folder each round.
+    A round is a large-star and a small-star step: every node hooks its greater neighbours, and then
+    its smaller neighbours and itself, to the least node that it knows. Old roots are hooked like
+    other nodes, so the rounds are logarithmic in the size of a component, long paths included. Arcs
+    lead from a node to a smaller one and are written to the shared folder; once they are stars, they
+    are the labels. An error is raised if ``most_rounds`` don't suffice.
     """
-    both = support.written(edges.filter("a != b").select("a", "b").union(edges.filter("a != b").select("b", "a")).distinct(), "edges")
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    labels = support.written(least.select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(most_rounds):
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
-        nearer = labels.join(heard, labels["node"] == heard["a"]).select("node", F.col("label").alias("was"), F.least("label", "heard").alias("next"))
-        roots = labels.select(F.col("node").alias("root"), F.col("label").alias("beyond"))
-        moved = support.written(nearer.join(roots, nearer["next"] == roots["root"]).select("node", "was", F.least("next", "beyond").alias("label")), "labels")
-        labels = moved.select("node", "label")
-        if not moved.filter("was != label").limit(1).count():
-            break
-    return labels
+    arcs = support.written(edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    rounds = 0
+    while not stars(arcs):
+        if rounds == most_rounds:
+            raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        rounds += 1
+        both = arcs.union(arcs.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = support.written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").filter("v != m").select("v", "m").union(least)
+        arcs = support.written(small.toDF("u", "v").distinct(), "edges")
+    return arcs.select(F.col("u").alias("node"), F.col("v").alias("label")).union(arcs.select("v", "v").distinct())
+
+
+def stars(arcs: DataFrame) -> bool:
+    """Whether every node has one arc to its root, and no root has an arc."""
+    ends = arcs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(arcs.select("v", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").limit(1).count()

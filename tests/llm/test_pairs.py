@@ -90,6 +90,16 @@ def test_components(spark):
         assert label == min(seen)
 
 
+def test_components_of_a_long_chain(spark):
+    ids = list(range(1000))
+    random.Random(2).shuffle(ids)
+    chain = list(zip(ids, ids[1:], strict=False)) + [(2000 + i, 2001 + i) for i in range(400)] + [(2400, 1999)]
+    labels = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(chain, "a long, b long"), most_rounds=20).collect()}
+    assert labels == dict.fromkeys(range(1000), 0) | dict.fromkeys(range(1999, 2401), 1999)
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame(chain, "a long, b long"), most_rounds=1)
+
+
 def brute_nearest(rows, k=5):
     known = {i: np.array(v, dtype=float) for i, v in rows}
     out = []
