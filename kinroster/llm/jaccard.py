@@ -7,8 +7,10 @@ tokens that it samples, 1 / threshold of them on average, so a pair at the thres
 on one path on average. Buckets of up to ``SMALL`` sets are compared pair by pair, on their
 min-hashes with a wide margin, and give a spanning forest of what agrees; larger ones are split again. A bucket that is still large after
 ``DEPTH`` splits holds sets that are nearly alike, and is linked as a whole. The runs are
-independent, and there are enough of them that a pair at the threshold is missed with probability
-``1 - RECALL`` at most.
+independent. There are enough of them for pairs that meet in a small bucket after the first splits;
+sets whose buckets were split further take part in more runs, as many as the full depth needs.
+Together a pair at the threshold is missed with probability ``1 - RECALL`` at most, over the spread
+of shared tokens too.
 
 What has been linked is then checked exactly: the linked sets are grouped by component, their
 texts are read again, and each group's shingle sets are compared in tiles of bounded size. Tiles
@@ -40,17 +42,34 @@ _FACTORS = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1
 _SHIFTS = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 
 
-def survival(depth: int, threshold: float = THRESHOLD) -> float:
-    """Probability that a pair at the threshold shares a path of ``depth`` splits in one run."""
+def survival(depth: int, threshold: float = THRESHOLD, share: float | None = None) -> float:
+    """Probability that a pair shares a path of ``depth`` splits in one run; ``share`` of its tokens are common, ``threshold`` if not given."""
+    share = threshold if share is None else share
     extra, gone = 1 / threshold - 1, 0.0
     for _ in range(depth):
-        once = 1 - threshold + threshold * gone
+        once = 1 - share + share * gone
         gone = once * (1 - extra + extra * once)
     return 1 - gone
 
 
+def missed(runs: int, depth: int, threshold: float = THRESHOLD) -> float:
+    """Probability that a pair at the threshold shares no path in any run, over the binomial spread of its common tokens."""
+    odds = [math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
+    return sum(p * (1 - survival(depth, threshold, k / COORDINATES)) ** runs for k, p in enumerate(odds))
+
+
 def runs_for(recall: float = RECALL, depth: int = FIRST_DEPTH + STEP, threshold: float = THRESHOLD) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(depth, threshold)))
+    runs = 1
+    while missed(runs, depth, threshold) > 1 - recall:
+        runs += 1
+    return runs
+
+
+def runs_of(recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[range, range]:
+    """The runs of all sets, and those of sets that were split to the full depth; each may miss half of what ``recall`` allows."""
+    half = (1 + recall) / 2
+    first = runs_for(half, FIRST_DEPTH + STEP, threshold)
+    return range(first), range(first, max(first, runs_for(half, DEPTH, threshold)))
 
 
 def min_hashes(grams: np.ndarray) -> np.ndarray:
@@ -99,11 +118,11 @@ def as_signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), COORDINATES)
 
 
-def first_paths(sets: DataFrame, runs: int, threshold: float) -> DataFrame:
+def first_paths(sets: DataFrame, runs: range, threshold: float) -> DataFrame:
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             signatures, ids = as_signatures(pdf["sig"]), pdf["sid"].to_numpy()
-            for run in range(runs if len(pdf) else 0):
+            for run in runs if len(pdf) else ():
                 rows = np.arange(len(pdf))
                 node = words.mix(np.full(len(pdf), run + 1, dtype=np.uint64))
                 for _ in range(FIRST_DEPTH):
@@ -160,10 +179,10 @@ def edges_of(pdf: pd.DataFrame, cut: np.ndarray, least: float) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def candidate_edges(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
-    """Pairs of set ids that may be similar, each linked group connected."""
-    paths = support.written(first_paths(sets, runs_for(recall, threshold=threshold), threshold), "paths")
-    small, linked, depth = [], [], FIRST_DEPTH
+def bucketed(sets: DataFrame, runs: range, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Small buckets, links of large ones, and the ids of sets whose buckets were split beyond the first step, if any."""
+    paths = support.written(first_paths(sets, runs, threshold), "paths")
+    small, linked, deep, depth = [], [], None, FIRST_DEPTH
     while True:
         sizes = support.written(paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
         few = paths.join(sizes.filter(F.col("n") <= SMALL).select("path"), "path")
@@ -172,12 +191,24 @@ def candidate_edges(sets: DataFrame, threshold: float, recall: float) -> DataFra
         if not many.limit(1).count():
             break
         large = paths.join(many, "path")
+        if depth == FIRST_DEPTH + STEP:
+            deep = support.written(large.select("sid").distinct(), "deep")
         if depth >= DEPTH:
             least = large.groupBy("path").agg(F.min("sid").alias("a"))
             linked.append(large.join(least, "path").select("a", F.col("sid").alias("b")))
             break
         paths = support.written(longer_paths(large.join(sets.select("sid", "sig"), "sid"), threshold), "paths")
         depth += STEP
+    return small, linked, deep
+
+
+def candidate_edges(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Pairs of set ids that may be similar, each linked group connected."""
+    first, more_runs = runs_of(recall, threshold)
+    small, linked, deep = bucketed(sets, first, threshold)
+    if deep is not None and len(more_runs):
+        again = bucketed(sets.join(deep, "sid", "left_semi"), more_runs, threshold)
+        small, linked = small + again[0], linked + again[1]
     buckets = small[0]
     for more in small[1:]:
         buckets = buckets.union(more)

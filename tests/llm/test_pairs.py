@@ -73,6 +73,28 @@ def test_runs_reach_the_recall():
     assert 1 - (1 - jaccard.survival(jaccard.FIRST_DEPTH + jaccard.STEP)) ** jaccard.runs_for() >= jaccard.RECALL
 
 
+def test_runs_reach_the_recall_in_crowded_buckets(spark, monkeypatch):
+    shared = np.random.default_rng(9).binomial(jaccard.COORDINATES, 0.8, 200_000)
+    odds = np.bincount(shared, minlength=jaccard.COORDINATES + 1) / len(shared)
+
+    def lost(depth, runs):
+        gone = np.zeros(len(odds))
+        for _ in range(depth):
+            once = 1 - np.arange(len(odds)) / jaccard.COORDINATES * (1 - gone)
+            gone = once * (0.75 + 0.25 * once)
+        return float(odds @ gone**runs)
+
+    taken, paths = [], jaccard.first_paths
+    monkeypatch.setattr(jaccard, "first_paths", lambda sets, runs, threshold: taken.append((sets.count(), runs)) or paths(sets, runs, threshold))
+    group = [f"g{i}" for i in range(200)]
+    texts = [" ".join([*group[:k], f"x{k}", *group[k + 1 :]]) for k in range(100)] + [f"nothing like that number {k} at all" for k in range(30)]
+    jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    (every, first), (crowded, more) = taken
+    assert every == 130 and 50 < crowded <= 100 and first.stop == more.start
+    assert lost(jaccard.FIRST_DEPTH + jaccard.STEP, len(first)) + lost(jaccard.DEPTH, len(first) + len(more)) <= 1.2e-4  # the spread is sampled
+    assert lost(jaccard.DEPTH, jaccard.runs_for(depth=jaccard.DEPTH)) <= 1.2e-4
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
