@@ -62,9 +62,12 @@ class Model:
     weights: np.ndarray
     bias: float
 
+    def margin(self, window: np.ndarray) -> float:
+        return float(self.weights[window].sum(dtype=np.float64))
+
     def score(self, windows: list[np.ndarray]) -> float:
         """Probability that the worst window is toxic."""
-        margin = max(float(self.weights[b].sum(dtype=np.float64)) for b in windows) + self.bias
+        margin = max(map(self.margin, windows)) + self.bias
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, margin))))
 
 
@@ -109,12 +112,24 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, epochs: in
     return Model((weights * ratio).astype(np.float32), float(bias))
 
 
-def training_rows(windows: list[list[np.ndarray]], labels: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """A row for each window of a clean text, and for each toxic text of one window: of a longer one nobody knows which windows are toxic."""
-    kept = [(w, int(y)) for each, y in zip(windows, labels, strict=True) for w in each if y == 0 or len(each) == 1]
+def training_rows(windows: list[list[np.ndarray]], labels: np.ndarray, model: Model | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """A row for each window of a clean text, and for the worst window of a toxic text under ``model``; without a model for all of its windows."""
+    kept = [(w, int(y)) for each, y in zip(windows, labels, strict=True) for w in (each if y == 0 or model is None else [max(each, key=model.margin)])]
     return [w for w, _ in kept], np.array([y for _, y in kept])
 
 
+def learn(windows: list[list[np.ndarray]], labels: np.ndarray, bits: int = BITS, rounds: int = 3) -> Model:
+    """A model of texts, each a list of windows.
+
+    Of a toxic text with several windows nobody knows which are toxic. The first fit takes all of
+    them; each of ``rounds`` more takes the window that is worst under the model before.
+    """
+    model = fit(*training_rows(windows, labels), bits=bits)
+    for _ in range(rounds if any(y == 1 and len(each) > 1 for each, y in zip(windows, labels, strict=True)) else 0):
+        model = fit(*training_rows(windows, labels, model), bits=bits)
+    return model
+
+
 def sample(labels: DataFrame, id_column: str, label_column: str, most: tuple[int, int] = SAMPLE) -> DataFrame:
     """At most ``most`` labelled ids of each label, those with the smallest hash: ``_id, y``."""
     known = labels.filter(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1)).groupBy(F.col(id_column).alias("_id")).agg(F.max(label_column).cast("int").alias("y"))
@@ -133,7 +148,7 @@ def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_id", "h"])
         buckets = Buckets(orders, bits)
-        model = fit(*training_rows([buckets(t) for t in pdf["_text"]], pdf["y"].to_numpy()), bits=bits)
+        model = learn([buckets(t) for t in pdf["_text"]], pdf["y"].to_numpy(), bits)
         return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
     rows = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id").withColumn("h", F.xxhash64("_text"))

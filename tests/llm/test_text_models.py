@@ -97,6 +97,20 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([s >= 0.7 for s in clean]) < 0.05
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choices(["tion", "ea", "th", "in", "or", "er", "an"], k=rng.randrange(1, 4))) for _ in range(n))
+    bad, good = [(i, f"{prose(rng.randrange(1500))} idiot moron {prose(1500)}") for i in range(60)], [(100 + i, prose(rng.choice((80, 2000)))) for i in range(120)]
+    assert min(len(t) for _, t in bad) > toxicity.WINDOW + 8
+    df = spark.createDataFrame(bad + good, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i, _ in bad + good], "doc_id long, toxic int")
+    model = toxicity.train(df, labels)
+    odd = [(1, f"{prose(40)} idiot moron {prose(40)}"), (2, f"{prose(4000)} idiot moron {prose(4000)}"), (3, prose(80)), (4, prose(8000))]
+    scores = frame(toxicity.score(spark.createDataFrame(odd, "doc_id long, text string"), model)).score
+    assert min(scores[:2]) >= 0.7 > max(scores[2:])
+    assert toxicity.without_toxic(df, model).count() == 120
+
+
 def test_toxicity_ignores_length_and_handles_odd_rows(spark):
     rng = random.Random(8)
     prose = lambda n: " ".join("".join(rng.choices(["tion", "ea", "th", "in", "or", "er", "an"], k=rng.randrange(1, 4))) for _ in range(n))
