@@ -2,7 +2,7 @@ import math
 import random
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -28,53 +28,81 @@ def test_word_hashes_follow_the_pattern():
     assert len(set(seen.values())) == len(seen)
 
 
-def brute_model(training):
-    """Interpolated modified Kneser-Ney from dictionaries."""
+def brute_model(training, order=3):
+    """Interpolated modified Kneser-Ney from dictionaries: counts at the highest order, distinct predecessors below."""
+    pad = ["<s>"] * (order - 1)
+    counts = {order: Counter(tuple(x) for t in training for x in zip(*([*pad, *t][k:] for k in range(order)), strict=False))}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    off = {k: kneser_ney.discounts([Counter(c.values())[x] for x in (1, 2, 3, 4)]) for k, c in counts.items()}
+    total, rest = ({k: Counter() for k in counts} for _ in range(2))
+    for k, c in counts.items():
+        for g, n in c.items():
+            total[k][g[:-1]] += n
+            rest[k][g[:-1]] += off[k][min(n, 3) - 1]
     single = Counter(w for t in training for w in t)
-    pairs = Counter(p for t in training for p in zip(["<s>", *t], t, strict=False))
-    before, after = Counter(b for _, b in pairs), defaultdict(list)
-    for (a, _), c in pairs.items():
-        after[a].append(c)
-    n2, n1 = ([Counter(x.values())[k] for k in (1, 2, 3, 4)] for x in (pairs, before))
-    d2, d1 = kneser_ney.discounts(n2), kneser_ney.discounts(n1)
-    less = lambda c, d: max(c - [0, *d][min(c, 3)], 0)
-    rest = sum(d1[min(c, 3) - 1] for c in before.values()) / len(pairs)
-    one = lambda w: less(before[w], d1) / len(pairs) + rest / (len(single) + 1)
 
-    def two(a, w):
-        if a not in after:
-            return one(w)
-        total = sum(after[a])
-        return less(pairs[a, w], d2) / total + sum(d2[min(c, 3) - 1] for c in after[a]) / total * one(w)
+    def chance(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(single) + 1)
+        seen = total[k][gram[:-1]]
+        if not seen:
+            return chance(gram[1:])
+        n, d = counts[k][gram], [0, *off[k]]
+        return (max(n - d[min(n, 3)], 0) + rest[k][gram[:-1]] * chance(gram[1:])) / seen
 
-    return single, two
+    return single, chance
 
 
 def tokens(text):
     return [*plain(re.sub("[A-Z]", lambda m: m[0].lower(), text or "")), "</s>"]
 
 
-def check_scores(out, texts):
-    kept = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
-    single, two = brute_model([tokens(texts[i]) for i in kept])
-    total, size = sum(single.values()), len(single)
-    assert sum(two("the", w) for w in single) + two("the", "no such word") == pytest.approx(1)
+def check_scores(out, texts, kept, order=3):
+    single, chance = brute_model([tokens(texts[i]) for i in kept], order)
+    total, size, pad = sum(single.values()), len(single), ["<s>"] * (order - 1)
+    for start in (pad, [*pad, "the"][1:], ["no such word"] * (order - 1)):
+        assert sum(chance((*start, w)) for w in single) + chance((*start, "no such word")) == pytest.approx(1)
     for r in out.itertuples():
         own = tokens(texts[r.doc_id])
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (r.doc_id not in kept, len(own), sum(w in single for w in own), total)
+        assert (r.n_tokens, r.n_known) == (len(own), sum(w in single for w in own))
         assert r.base_score == pytest.approx(sum(math.log10((single[w] + 1) / ((total + 1) * (size + 1))) for w in own))
-        assert r.score == pytest.approx(sum(math.log10(two(a, w)) for a, w in zip(["<s>", *own], own, strict=False)))
+        assert r.score == pytest.approx(sum(math.log10(chance(tuple([*pad, *own][i : i + order]))) for i in range(len(own))))
+    return total
 
 
 def test_kneser_ney_matches_brute_force(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    check_scores(frame(kneser_ney.op4(spark, "/root/testdata/sf0.001")), texts)
-
-
-def test_kneser_ney_in_many_shards(spark):
-    df = spark.createDataFrame([(i, f"the cat {i % 5} sat on the mat {i % 3} the end") for i in range(60)], "doc_id long, text string")
-    one, many = (frame(kneser_ney.score(df, kneser_ney.train(df, shard_bytes=b))) for b in (1 << 30, 200))
-    assert one.score.tolist() == pytest.approx(many.score.tolist()) and (one.perplexity >= 1).all()
+    out = frame(kneser_ney.op4(spark, "/root/testdata/sf0.001"))
+    kept = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+    total = check_scores(out, texts, kept)
+    assert set(out.train_tokens) == {total} and out.held_out.tolist() == [i not in kept for i in out.doc_id]
+
+
+@pytest.mark.parametrize(("order", "shard_bytes"), [(2, 1 << 30), (2, 300), (3, 300), (4, 1000)])
+def test_kneser_ney_of_any_order_in_many_shards(spark, order, shard_bytes):
+    rng = random.Random(order)
+    texts = {i: " ".join(rng.choice(["the", "the", "the", "a", *"bcdefgh", f"w{rng.randrange(40)}"]) for _ in range(rng.randrange(40))) for i in range(80)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    layout = kneser_ney.train(df.filter("doc_id < 60"), order=order, shard_bytes=shard_bytes)
+    assert (layout.shards > 1) == (shard_bytes < 1 << 20) and len(layout.frequent) > (layout.shards > 1)
+    check_scores(frame(kneser_ney.score(df, layout)), texts, range(60), order)
+
+
+def test_kneser_ney_counts_are_whole(spark):
+    """Counts beyond a byte and beyond 32 bits, and blobs of them."""
+    key = np.array([3, 3, 9], dtype=np.uint64)
+    blob = kneser_ney.packed(key, np.array([5, 6, 7]), np.array([1, 300, 1 << 40]))
+    assert [x.tolist() for x in kneser_ney.merged([blob, blob])] == [[3, 3, 9], [5, 6, 7], [2, 600, 1 << 41]]
+    few, big = kneser_ney.with_big(np.array([1, 254, 255, 1 << 40]))
+    assert few.tolist() == [1, 254, 255, 255] and big.tolist() == [[2, 255], [3, 1 << 40]]
+    for bits in (1, 5, 33, 44, 64):
+        x = np.random.default_rng(bits).integers(0, 1 << bits, 200, dtype=np.uint64)
+        assert (kneser_ney.permuted(kneser_ney.permuted(x, bits), bits, back=True) == x).all()
+    df = spark.createDataFrame([(i, "a b c " * 400) for i in range(3)], "doc_id long, text string")
+    out = frame(kneser_ney.score(df, kneser_ney.train(df)))
+    check_scores(out, {i: "a b c " * 400 for i in range(3)}, range(3))
 
 
 def test_kneser_ney_of_odd_documents(spark, tmp_path):
