@@ -10,12 +10,21 @@ greatest impacts do not add up to 1 are dropped; then, of the blocks of items th
 terms occur in, those whose block maxima do not add up to 1; the rest is scored item by item. No
 item above its threshold can be lost. What is retrieved has to share word triples with both the
 question (the first part of the item) and the answer (the last part).
+
+Items of fewer than ``LEAST_WORDS`` words are too short for that and are searched exactly.
+
+Document frequencies, mean length and longest item are those of the whole benchmark. The index is
+built by tasks, in parts of bounded size, and written to the shared folder; workers load a part
+when they need it and keep the last ones. Texts are read and hashed once for all parts.
 """
 
 from __future__ import annotations
 
+import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,14 +37,20 @@ K1, B = 1.2, 0.75
 #: Share of an item's own score from which on a passage is retrieved; share of triples to confirm.
 RETRIEVE, CONFIRM = 0.6, 0.5
 ANSWER, TRIPLE, BLOCK, LEAST_WORDS = 1 / 3, 3, 8, 6
-#: Items, and characters, of an index that goes to the executors; larger benchmarks go in parts.
+#: Items, and characters, of a part of the index.
 PART_ITEMS, PART_CHARS = 20_000, 20_000_000
 
 _PLAIN = bytes(32 if chr(c) in " \t\n\v\f\r" or c < 128 and not chr(c).isalnum() else c for c in range(256)).lower()
+#: Scripts that are written without spaces (Thai to Lao, Burmese, Khmer, kana, Han), and punctuation beyond ASCII.
+_UNSPACED = re.compile("([\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff])")
+_MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]")
 
 
 def lower(texts: pd.Series) -> Iterator[str | None]:
-    return (t.lower() if isinstance(t, str) else None for t in texts)
+    """Texts in lower case; in scripts without spaces every character is a word."""
+    for t in texts:
+        t = t.lower() if isinstance(t, str) else None
+        yield t if t is None or t.isascii() else _UNSPACED.sub(r" \1 ", _MARKS.sub(" ", t))
 
 
 def plain_words(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -43,6 +58,19 @@ def plain_words(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words.word_hashes([x.translate(_PLAIN) for x in run])
 
 
+def item_words(text: str) -> np.ndarray:
+    return plain_words([next(lower([text])).encode("utf-8", "surrogatepass")])[0]
+
+
+@dataclass(frozen=True)
+class Numbers:
+    """Of the items with at least ``LEAST_WORDS`` words of the whole benchmark: how many, their mean length, the longest."""
+
+    items: int
+    mean: float
+    longest: int
+
+
 @dataclass
 class Index:
     items: list[int]
@@ -56,21 +84,27 @@ class Index:
     most: np.ndarray = field(repr=False)
     parts: list[tuple[np.ndarray, np.ndarray]] = field(repr=False)
     longest: int = 0
+    short: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = field(default_factory=dict, repr=False)
 
 
-def build(rows: list[tuple[int, str | None]], retrieve: float = RETRIEVE) -> Index:
-    """Inverted index of (item_id, text); items of fewer than ``LEAST_WORDS`` words are left out, since chance repeats them."""
-    known = sorted({(i, t) for i, t in rows if i is not None and t})
-    hashed = [(i, plain_words([t.lower().encode("utf-8", "surrogatepass")])[0]) for i, t in known]
+def build(rows: list[tuple[int, str]], numbers: Numbers | None = None, df: dict[int, int] | None = None, retrieve: float = RETRIEVE) -> Index:
+    """Inverted index of (item_id, text).
+
+    ``numbers`` and ``df`` (term hash to number of items) are those of the whole benchmark if ``rows``
+    are a part of it; by default ``rows`` are all.
+    """
+    hashed = [(i, item_words(t)) for i, t in sorted(set(rows))]
+    brief = [(i, w) for i, w in hashed if 0 < len(w) < LEAST_WORDS]
     hashed = [(i, w) for i, w in hashed if len(w) >= LEAST_WORDS]
     terms, term = np.unique(np.concatenate([w for _, w in hashed]) if hashed else np.zeros(0, dtype=np.uint64), return_inverse=True)
     lengths = np.array([len(w) for _, w in hashed], dtype=float)
+    numbers = numbers or Numbers(len(hashed), float(lengths.mean()) if len(lengths) else 0.0, int(lengths.max()) if len(lengths) else 0)
     owner = np.repeat(np.arange(len(hashed)), lengths.astype(int))
     keys, tf = np.unique(term.astype(np.int64) * max(len(hashed), 1) + owner, return_counts=True)
     term, item = keys // max(len(hashed), 1), keys % max(len(hashed), 1)
-    df = np.bincount(term, minlength=len(terms))
-    idf = np.log(1 + (len(hashed) - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(lengths.mean() if len(lengths) else 1.0, 1.0)))
+    often = np.bincount(term, minlength=len(terms)) if df is None else np.array([df[t] for t in terms.view(np.int64).tolist()], dtype=float)
+    idf = np.log(1 + (numbers.items - often + 0.5) / (often + 0.5))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(numbers.mean, 1.0)))
     own = np.bincount(item, weights=impact, minlength=len(hashed))
     impact = impact / (retrieve * own[item])
     starts = np.searchsorted(term, np.arange(len(terms) + 1))
@@ -81,7 +115,12 @@ def build(rows: list[tuple[int, str | None]], retrieve: float = RETRIEVE) -> Ind
     split = [len(w) - max(TRIPLE, round(len(w) * ANSWER)) for _, w in hashed]
     parts = [(np.unique(words.gram_hashes(w[: s + 1] if s + 1 >= TRIPLE else w, TRIPLE)), np.unique(words.gram_hashes(w[s:], TRIPLE))) for (_, w), s in zip(hashed, split, strict=True)]
     most = np.maximum.reduceat(impact, starts[:-1]) if len(terms) else impact
-    return Index([i for i, _ in hashed], terms, starts, item, impact, np.searchsorted(block_term, np.arange(len(terms) + 1)), block_keys % blocks, block_most, most, parts, int(lengths.max()) if len(lengths) else 0)
+    index = Index([i for i, _ in hashed], terms, starts, item, impact, np.searchsorted(block_term, np.arange(len(terms) + 1)), block_keys % blocks, block_most, most, parts, numbers.longest)
+    for n in {len(w) for _, w in brief}:
+        same = sorted((int(words.gram_hashes(w, n)[0]), i) for i, w in brief if len(w) == n)
+        whole, first = np.unique(np.array([h for h, _ in same], dtype=np.uint64), return_index=True)
+        index.short[n] = whole, np.append(first, len(same)), [i for _, i in same]
+    return index
 
 
 def expand(starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,28 +181,88 @@ def search(index: Index, hashes: np.ndarray, offsets: np.ndarray, confirm: float
     return found
 
 
+def exact(index: Index, hashes: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """(text, item id) of the short items: their words one after another, or the whole text for items without a triple."""
+    found, sizes = set(), np.diff(offsets)
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    for n, (whole, first, ids) in index.short.items():
+        if len(hashes) < n:
+            continue
+        at = np.arange(len(hashes) - n + 1)
+        at = at[text[at] == text[at + n - 1]] if n >= TRIPLE else offsets[:-1][sizes == n]
+        grams = words.gram_hashes(hashes, n)[at]
+        place = np.minimum(np.searchsorted(whole, grams), len(whole) - 1)
+        for p in np.flatnonzero(whole[place] == grams).tolist():
+            found |= {(int(text[at[p]]), i) for i in ids[first[place[p]] : first[place[p] + 1]]}
+    return sorted(found)
+
+
 FOUND = "array<struct<item_id: bigint, score: double, question: double, answer: double>>"
 
 
-def indexes(benchmark: DataFrame, item_column: str, text_column: str) -> list[Index]:
-    """The benchmark's index, in as many parts of bounded size as it needs."""
-    rows = benchmark.select(F.col(item_column).cast("long").alias("i"), F.col(text_column).alias("t"))
-    number, chars = rows.agg(F.count("*"), F.sum(F.length("t"))).first()
-    parts = max(1, -(-number // PART_ITEMS), -(-(chars or 0) // PART_CHARS))
-    place = F.pmod(F.xxhash64("i", "t"), F.lit(parts))
-    return [build([tuple(r) for r in rows.filter(place == k).collect()]) for k in range(parts)]
+@dataclass(frozen=True)
+class Stored:
+    """An index in the shared folder."""
+
+    folder: str
+    parts: int
+
 
+@lru_cache(maxsize=4)
+def part_of(folder: str, k: int) -> Index | None:
+    data = support.mapped(folder, f"index-{k}", "u1")
+    return pickle.loads(data.tobytes()) if len(data) else None
 
-def leaks(texts: Column, index: Index, spark) -> Column:
+
+def stored(benchmark: DataFrame, item_column: str, text_column: str, part_items: int = PART_ITEMS, part_chars: int = PART_CHARS) -> Stored:
+    """Builds the benchmark's index, in as many parts of bounded size as it needs.
+
+    A task builds a part from its items and from the document frequencies of their terms in the whole benchmark.
+    """
+    spark = benchmark.sparkSession
+    items = benchmark.select(F.col(item_column).cast("long").alias("i"), F.col(text_column).alias("t")).filter("i IS NOT NULL AND t != ''").distinct()
+
+    @F.pandas_udf("array<bigint>")
+    def hashes(texts: pd.Series) -> pd.Series:
+        return pd.Series([item_words(t).view(np.int64) for t in texts], dtype=object)
+
+    items = support.written(items.withColumn("words", hashes("t")), "items")
+    number, chars = items.agg(F.count("*"), F.sum(F.length("t"))).first()
+    made = Stored(support.scratch_path(spark, "index"), max(1, -(-number // part_items), -(-(chars or 0) // part_chars)))
+    placed = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(made.parts)).cast("int"))
+    long = placed.filter(F.size("words") >= LEAST_WORDS)
+    numbers = Numbers(*(x or 0 for x in long.agg(F.count("*"), F.avg(F.size("words")), F.max(F.size("words"))).first()))
+    terms = long.select("part", F.explode(F.array_distinct("words")).alias("term")).groupBy("part", "term").agg(F.count("*").alias("n"))
+    often = terms.join(terms.groupBy("term").agg(F.sum("n").alias("df")), "term").select(F.col("part").alias("of_part"), "term", "df")
+
+    def write(own: pd.DataFrame, df: pd.DataFrame) -> pd.DataFrame:
+        if len(own):
+            index = build(list(zip(own["i"].tolist(), own["t"], strict=True)), numbers, dict(zip(df["term"].tolist(), df["df"].tolist(), strict=True)))
+            support.save(made.folder, f"index-{own['part'].iloc[0]}", np.frombuffer(pickle.dumps(index), dtype=np.uint8))
+        return pd.DataFrame({"n": [len(own)]})
+
+    placed.select("part", "i", "t").groupBy("part").cogroup(often.groupBy("of_part")).applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    support.drop_written(items)
+    return made
+
+
+def leaks(texts: Column, index: Stored, spark) -> Column:
     """The items that each text holds."""
     support.short_batches(spark)
-    shared = spark.sparkContext.broadcast(index)
 
     def find(column: pd.Series) -> pd.Series:
-        index, out = shared.value, []
+        out = []
         for _, run in words.pieces(lower(column)):
-            for each in search(index, *plain_words(run)):
-                out.append([{"item_id": index.items[i], "score": s * RETRIEVE, "question": q, "answer": a} for i, (s, q, a) in sorted(each.items())])
+            hashes, offsets = plain_words(run)
+            found: list[list[tuple]] = [[] for _ in run]
+            for k in range(index.parts):
+                part = part_of(index.folder, k)
+                if part is not None:
+                    for text, each in enumerate(search(part, hashes, offsets)):
+                        found[text] += [(part.items[i], s * RETRIEVE, q, a) for i, (s, q, a) in each.items()]
+                    for text, i in exact(part, hashes, offsets):
+                        found[text].append((i, 1.0, 1.0, 1.0))
+            out += [[dict(zip(("item_id", "score", "question", "answer"), x, strict=True)) for x in sorted(each)] for each in found]
         return pd.Series(out, dtype=object)
 
     # not deterministic: otherwise the filter that Spark infers for explode() runs the search a second time
@@ -173,17 +272,21 @@ def leaks(texts: Column, index: Index, spark) -> Column:
 def flagged(df: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """``df`` with ``leaks``: the benchmark items in its text, with their score as a share of the item's own, and overlaps.
 
+    Items of 3 to ``LEAST_WORDS`` - 1 words are held by texts in which their words follow each other;
+    items of 1 or 2 words, which chance repeats everywhere, only by texts of the same words.
+
     Null and empty texts hold none; very long texts are searched whole; repeated rows are searched
-    alike; null and empty items, and those with fewer than ``LEAST_WORDS`` words, are in no text;
-    empty tables give no leaks. A column named ``leaks`` is replaced, others are kept.
+    alike; null and empty items, and those without a word, are in no text; repeated items count
+    once; empty tables give no leaks. A column named ``leaks`` is replaced, others are kept.
     """
-    found = [leaks(F.col(text_column), index, df.sparkSession) for index in indexes(benchmark, item_column, item_text_column)]
-    return df.withColumn("leaks", F.concat(*found) if len(found) > 1 else found[0])
+    index = stored(benchmark, item_column, item_text_column)
+    return df.withColumn("leaks", leaks(F.col(text_column), index, df.sparkSession))
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text_column: str = "text", **columns) -> DataFrame:
-    """The rows of ``df`` whose text holds no benchmark item."""
-    return flagged(df, benchmark, text_column, **columns).filter(F.size("leaks") == 0).select(*df.columns)
+    """The rows of ``df`` whose text holds no benchmark item, as they are; see ``flagged`` for what holds one."""
+    index = stored(benchmark, columns.get("item_column", "item_id"), columns.get("item_text_column", "text"))
+    return df.filter(F.size(leaks(F.col(text_column), index, df.sparkSession)) == 0)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinroster.llm import graph, jaccard, leaks, neighbours
 
@@ -174,12 +175,33 @@ def test_leaks(spark):
     out = leaks.flagged(df, bench)
     assert out.columns == ["doc_id", "text", "leaks"]
     got = [(r["doc_id"], [x["item_id"] for x in r["leaks"]]) for r in out.collect()]
-    assert got == [(1, [1]), (2, [1]), (3, []), (4, []), (5, []), (6, []), (7, [1, 2]), (7, [1, 2]), (None, [2]), (8, [])]
-    assert leaks.decontaminate(df, bench).count() == 5
+    assert got == [(1, [1]), (2, [1]), (3, []), (4, []), (5, []), (6, []), (7, [1, 2]), (7, [1, 2]), (None, [2]), (8, [5])]
+    kept = leaks.decontaminate(df, bench)
+    assert kept.columns == df.columns and [(r["doc_id"], r["leaks"]) for r in kept.collect()] == [(i, "mine") for i in (3, 4, 5, 6)]
     empty = bench.filter("item_id = 99")
     assert leaks.decontaminate(df, empty).count() == len(rows) and leaks.flagged(df.limit(0), bench).count() == 0
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese = "\u5317\u4eac\u7684\u7b2c\u4e00\u5ea7\u6865\u662f\u4ec0\u4e48\u65f6\u5019\u5efa\u6210\u7684\u7b54\u6848\u662f\u4e00\u4e5d\u4e03\u4e8c\u5e74"
+    bench = spark.createDataFrame([(1, "who founded larn"), (2, chinese), (3, "Yes!"), (4, "who founded larn"), (5, "\u7b2c\u4e00\u5ea7\u6865")], "item_id long, text string")
+    texts = ["so: Who founded -- Larn? nobody", "who founded old larn", f"\u8fd9\u91cc\u5199\u7740\uff1a{chinese}\u3002", "yes", "yes yes", "founded larn", "who founded", "larn who"]
+    out = leaks.flagged(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).orderBy("doc_id").collect()
+    assert [[x["item_id"] for x in r["leaks"]] for r in out] == [[1, 4], [], [2, 5], [3], [], [], [], []]
+
+
+def test_an_index_in_parts_scores_like_one(spark):
+    rng = random.Random(6)
+    items = [(i, " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * rng.randrange(1, 4) for _ in range(rng.randrange(3, 40)))) for i in range(50)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts = [f"some words {t} and others" for _, t in items] + [" ".join(t.split()[::2]) for _, t in items]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    one, many = (leaks.stored(bench, "item_id", "text", part_items=n) for n in (1000, 7))
+    assert (one.parts, many.parts) == (1, 8)
+    found = [[r[0] for r in df.select(leaks.leaks(F.col("text"), index, spark)).collect()] for index in (one, many)]
+    assert found[0] == found[1] and sum(map(len, found[0])) >= 50
+
+
 def test_block_max_loses_nothing():
     """Retrieval by blocks against scores of all items."""
     rng = np.random.default_rng(4)
