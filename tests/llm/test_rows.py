@@ -3,6 +3,7 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
 
 from kinroster.llm import chat, secrets, urls
@@ -122,6 +123,46 @@ def test_random_values_after_an_equals_sign(spark):
     assert sum(f"random:{t.index(s)}:{t.index(s) + 40}" in spans for s, t, spans in zip(made, texts, out.spans, strict=True)) >= 110
 
 
+def test_what_is_reported_is_random(spark):
+    """Precision and recall on secrets among many long ordinary words, also where nothing or little is a secret."""
+    rng = random.Random(12)
+    secret = lambda: "".join(rng.choices(rng.choice(secrets.ENCODINGS[1:]), k=rng.choice((24, 32, 40, 64))))
+    syllables = ["tion", "ing", "the", "and", "er", "lich", "keit", "eau", "ment", "ville", "ost", "rua", "mente"]
+    words = lambda: "".join(rng.choice(syllables).capitalize() if rng.random() < 0.3 else rng.choice(syllables) for _ in range(rng.randrange(7, 20)))
+    known = ["internationalization", "CamelCaseIdentifierNameHere", "antidisestablishmentarianism", "2024-01-01-report-final-v2", "550e8400-e29b-41d4-a716-446655440000", "a" * 40, "com/google/android/gms/common", "Donaudampfschifffahrtsgesellschaft"]
+    for number in (0, 5, 300):
+        made = [secret() for _ in range(number)]
+        texts = [f"note {s} end" for s in made + known + [words() for _ in range(1500)]]
+        out = frame(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).sort_values("doc_id")
+        hit = ["random" in s for s in out.spans]
+        assert not any(hit[number : number + len(known)])
+        assert sum(hit[number:]) <= 0.05 * max(sum(hit), 1) + 1  # the rate is 0.02
+        assert sum(hit[:number]) >= 0.6 * number
+
+
+def test_cut_is_benjamini_hochberg():
+    rng = random.Random(4)
+    for _ in range(200):
+        steps = [min(secrets.STEPS, int(rng.expovariate(rng.choice((0.05, 0.3))))) for _ in range(rng.randrange(1, 60))]
+        ps = sorted(10.0 ** (-secrets.STEP * s) for s in steps)
+        rejected = max((k for k in range(1, len(ps) + 1) if ps[k - 1] <= 0.02 * k / len(ps) + 1e-15), default=0)
+        counts = [steps.count(x) for x in range(secrets.STEPS + 1)]
+        assert sum(s >= secrets.cut(np.array(counts), 0.02) for s in steps) == rejected
+
+
+def test_tests_of_the_battery_follow_their_definitions():
+    """Uniform strings have uniform p-values, more or less, at every length and alphabet; runs and order are noticed."""
+    rng = random.Random(9)
+    for symbols in secrets.ENCODINGS:
+        for n in (20, 40, 200):
+            ps = [secrets.uniformity(np.array([rng.randrange(len(symbols)) for _ in range(n)]), len(symbols)) for _ in range(300)]
+            assert 0.4 < np.mean(ps) < 0.6 and np.mean(np.array(ps) < 0.05) < 0.11
+    values = [7, 7, 3, 1, 7]
+    expected = sum((values.count(v) - 5 / 16) ** 2 / (5 / 16) for v in range(16))
+    assert secrets.uniformity(np.array(values), 16) == pytest.approx(secrets.chi_tail(expected / 0.8, 15 / 0.8))
+    assert secrets.battery("0123456789abcdef" * 4) < 1e-6 and secrets.battery("08" * 30) < 1e-12
+
+
 @pytest.mark.parametrize("ps", [[0.5, 0.5], [1e-9, 0.9, 0.9], [1.0, 1.0, 1.0]])
 def test_fisher(ps):
     import math
