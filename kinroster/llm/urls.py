@@ -1,15 +1,17 @@
 """URL filter: rules on host and path, and logistic regression on hashed character n-grams.
 
-Everything runs on DataFrame operations. The model is trained by gradient steps over a small
-labelled table; a step is one aggregation, and what comes back is one number for each of the
-``DIM`` weights. The weights are a literal array in the scoring plan, so scoring is a map without
-join or shuffle.
+Everything runs on DataFrame operations. The model is trained on a small labelled table by gradient
+steps in the dual: the weights are a sum of the labelled rows, so a step needs only the products of
+the rows with each other, and all steps are one aggregation over arrays. What comes back is one
+number for each of the ``DIM`` weights. The weights are a literal array in the scoring plan, so
+scoring is a map without join or shuffle.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import support
 
@@ -20,14 +22,16 @@ RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "exa
 
 #: The labelled URLs: unwanted ones by what they sell, wanted ones by what they are.
 UNWANTED = (
-    "casino-win", "casino-royal", "win-casino-slots", "free-bets", "bets-online", "sport-bets-free", "cheap-pills", "pills-online", "cheap-meds", "spam-farm",
-    "link-farm", "seo-spam", "adult-x", "adult-cams", "xxx-adult", "ads-track", "track-click-ads", "popup-ads", "win-prizes-free", "free-loans-cheap",
+    "casino-win", "casino-royal", "win-casino-slots", "poker-jackpot", "lottery-winner", "free-bets", "bets-online", "sport-bets-free", "cheap-pills", "pills-online",
+    "cheap-meds", "viagra-store", "spam-farm", "link-farm", "seo-spam", "buy-followers", "adult-x", "adult-cams", "xxx-adult", "sex-videos", "porn-tube", "ads-track",
+    "track-click-ads", "popup-ads", "win-prizes-free", "free-loans-cheap", "payday-loans", "crack-keygen", "warez-download", "replica-watches",
 )
 WANTED = (
-    "university", "library", "museum", "gardening", "weather", "recipes", "history", "science-news", "city-council", "school",
-    "theatre", "mountain", "journal", "research", "orchestra", "bakery", "tionsh", "thther", "thand-erin", "reading-room",
+    "university", "library", "museum", "gardening", "weather", "recipes", "history", "science-news", "city-council", "school", "theatre", "mountain", "journal", "research",
+    "orchestra", "bakery", "reading-room", "mathematics", "archive", "travel-notes", "daily-news", "open-source", "hospital", "football-club", "music", "photography",
+    "encyclopedia", "linguistics", "parliament", "railway",
 )
-PLACES = ("https://{}.example.com/en/{}", "http://www.{}.example.org/de/{}.html", "https://blog.{}.example.net/fr/{}/", "https://m.{}.example.org/es/{}?page=2")
+PLACES = ("https://www.{}.com/", "http://{}.net/index.html", "https://{}.org/articles/{}", "http://blog.{}.info/{}/post", "https://{}.co.uk/item?id={}", "https://sites.host.io/{}/page/{}")
 
 DIM = 4096
 GRAMS = (3, 4)
@@ -65,7 +69,7 @@ def gram_buckets(host: Column, path: Column, dim: int = DIM) -> Column:
 
 def labelled(spark: SparkSession) -> DataFrame:
     """The labelled table: (url, label), label 1 for unwanted."""
-    rows = [(place.format(name, 100 + 7 * i + k), int(names is UNWANTED)) for names in (UNWANTED, WANTED) for i, name in enumerate(names) for k, place in enumerate(PLACES)]
+    rows = [(place.format(name, 10 + 7 * i + k), int(names is UNWANTED)) for names in (UNWANTED, WANTED) for i, name in enumerate(names) for k, place in enumerate(PLACES)]
     return spark.createDataFrame(rows, "url string, label int")
 
 
@@ -76,19 +80,43 @@ def margin(buckets: Column, weights: list[float]) -> Column:
     return total / F.sqrt(F.greatest(F.size(buckets), F.lit(1))) + weights[-1]
 
 
-def train(table: DataFrame, steps: int = 40, rate: float = 5.0, decay: float = 1e-3, dim: int = DIM) -> list[float]:
-    """Logistic regression on a labelled table of (url, label) by full gradient steps."""
+def train(table: DataFrame, steps: int = 60, rate: float = 5.0, decay: float = 1e-3, dim: int = DIM, most: int = 1000) -> list[float]:
+    """Logistic regression on a labelled table of (url, label) by full gradient steps; the bias comes last.
+
+    At most ``most`` labelled rows are used, those with the smallest hashes. A row's features are the
+    counts of its n-grams over the root of their number. The weights w are the sum of the rows x_s
+    times some a_s, and the step w - rate * g, shrunk by ``decay``, is a step on the a_s.
+    """
     host, path = split_url(F.coalesce("url", F.lit("")))
-    rows = table.coalesce(1).select("label", gram_buckets(host, path, dim).alias("buckets")).cache()
-    number, weights = rows.count(), [0.0] * (dim + 1)
-    for _ in range(steps if number else 0):
-        off = 1.0 / (1.0 + F.exp(-margin(F.col("buckets"), weights))) - F.col("label")
-        scale = F.sqrt(F.greatest(F.size("buckets"), F.lit(1)))
-        parts = rows.select(F.explode(F.concat(F.transform("buckets", lambda i: F.struct(i.alias("i"), (off / scale).alias("g"))), F.array(F.struct(F.lit(dim + 1).alias("i"), off.alias("g"))))).alias("x"))
-        for i, g in parts.groupBy("x.i").agg(F.sum("x.g").alias("g")).collect():
-            weights[i - 1] -= rate * (g / number)
-        weights = [w * (1 - decay) for w in weights[:-1]] + weights[-1:]
-    rows.unpersist()
+    chosen = table.filter("label IN (0, 1)").orderBy(F.xxhash64("url", "label"), "url", "label").limit(most)
+    numbered = chosen.withColumn("r", F.row_number().over(Window.orderBy(F.xxhash64("url", "label"), "url", "label")))
+    buckets = numbered.select("r", F.col("label").cast("double").alias("label"), gram_buckets(host, path, dim).alias("buckets")).cache()
+    rows = buckets.count()
+    if not rows:
+        return [0.0] * (dim + 1)
+    each = buckets.select("r", F.sqrt(F.size("buckets")).alias("root"), F.explode("buckets").alias("i"))
+    features = each.groupBy("r", "i").agg((F.count("*") / F.first("root")).alias("v"))
+    other = features.select(F.col("r").alias("s"), "i", F.col("v").alias("u"))
+    products = features.join(other, "i").groupBy("r", "s").agg(F.sum(F.col("v") * F.col("u")).alias("k"))
+    known = products.groupBy("r").agg(F.map_from_entries(F.collect_list(F.struct("s", "k"))).alias("k"))
+    dense = F.transform(F.sequence(F.lit(1), F.lit(rows)), lambda s: F.coalesce(F.element_at("k", s), F.lit(0.0)))
+    whole = buckets.select("r", "label").join(known, "r", "left").select("r", "label", dense.alias("k"))
+    one = whole.groupBy().agg(F.sort_array(F.collect_list(F.struct("r", "label", "k"))).alias("x"))
+
+    def step(model: Column, _: Column) -> Column:
+        margin = lambda row: F.aggregate(F.zip_with(model["a"], row["k"], lambda a, k: a * k), F.lit(0.0), lambda p, q: p + q) + model["b"]
+        off = F.transform("x", lambda row: 1.0 / (1.0 + F.exp(-margin(row))) - row["label"])
+        total = lambda off: F.aggregate(off, F.lit(0.0), lambda p, q: p + q)
+        moved = lambda off: F.struct(F.zip_with(model["a"], off, lambda a, o: (a - rate / rows * o) * (1 - decay)).alias("a"), (model["b"] - rate / rows * total(off)).alias("b"))
+        return F.element_at(F.transform(F.array(off), moved), 1)  # the outer transform binds the errors, which are read twice
+
+    start = F.struct(F.transform("x", lambda row: F.lit(0.0)).alias("a"), F.lit(0.0).alias("b"))
+    model = one.select(F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step).alias("m")).select(F.posexplode("m.a").alias("at", "a"), F.col("m.b").alias("b"))
+    parts = features.join(model, F.col("r") == F.col("at") + 1).groupBy("i").agg(F.sum(F.col("a") * F.col("v")).alias("w"))
+    weights = [0.0] * dim + [0.0]
+    for i, w in parts.unionByName(model.filter("at = 0").select(F.lit(dim + 1).alias("i"), F.col("b").alias("w"))).collect():
+        weights[i - 1] = w
+    buckets.unpersist()
     return weights
 
 

@@ -5,6 +5,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinroster.llm import chat, secrets, urls
 
@@ -69,6 +70,33 @@ def test_urls(spark, tmp_path):
     assert urls.judge(empty, weights=[0.0] * 17).columns == ["page_id", "url", "host", "path", "rule", "score", "verdict"]
 
 
+def brute_grams(host, path):
+    """Bucket features by the definition: each n-gram of host and path, marked ends, told apart."""
+    return [(kind, t[i : i + n]) for kind, text in (("host", host), ("path", path)) for n in urls.GRAMS for t in [f"^{text}$"] for i in range(len(t) - n + 1)]
+
+
+def test_url_training_matches_plain_gradient_descent(spark):
+    given = [("http://casino.com/win", 1), ("http://library.org/read", 0), ("http://casino.com/win", 1), ("https://a.b/", 0), ("nothing", 1)]
+    dim, steps, rate, decay = 64, 7, 2.0, 1e-2
+    table_ = spark.createDataFrame(given, "url string, label int")
+    grams = sorted({g for u, _ in given for g in brute_grams(*brute_rule(u)[:2])})
+    bucket = {tuple(r[:2]): r[2] for r in spark.createDataFrame(grams, "kind string, gram string").select("kind", "gram", F.pmod(F.xxhash64("kind", "gram"), F.lit(dim)).cast("int")).collect()}
+    x = np.zeros((len(given), dim + 1))
+    for r, (u, _) in enumerate(given):
+        found = brute_grams(*brute_rule(u)[:2])
+        for g in found:
+            x[r, bucket[g]] += 1 / np.sqrt(len(found))
+    x[:, dim], y, w = 1.0, np.array([label for _, label in given]), np.zeros(dim + 1)
+    for _ in range(steps):
+        w -= rate / len(given) * ((1 / (1 + np.exp(-x @ w)) - y) @ x)
+        w[:-1] *= 1 - decay
+    got = urls.train(table_, steps=steps, rate=rate, decay=decay, dim=dim)
+    assert got == pytest.approx(w.tolist())
+    scores = urls.judge(spark.createDataFrame(given, "url string, label int"), weights=got, rules=()).collect()
+    assert [r["score"] for r in scores] == pytest.approx((1 / (1 + np.exp(-x @ w))).tolist())
+    assert urls.train(table_.limit(0), dim=8) == [0.0] * 9
+
+
 def test_url_model_on_unseen_names(spark):
     unseen = [("http://best-casino-bets.example.org/en/7", 1), ("http://pills-cheap.example.org/es/9", 1), ("http://www.adult-video.example.org/en/3", 1), ("http://school-library.example.org/en/7", 0), ("http://blog.research-garden.example.org/es/1", 0), ("http://thering.example.org/en/9", 0)]
     out = {r["url"]: r["score"] for r in urls.judge(spark.createDataFrame(unseen, "url string, label int")).collect()}
