@@ -348,7 +348,8 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     same = lambda rows: F.xxhash64(text_column).eqNullSafe(rows["text_hash"]) & df[id_column].cast("long").eqNullSafe(rows["doc_id"])
     gone, twins = bounded(support.written(gone, "gone")), bounded(support.written(twins, "twins"))
     left = df.join(gone, same(gone), "left_anti")
-    once = left.join(twins, same(twins), "left_semi").withColumn("_th", F.xxhash64(text_column)).dropDuplicates([id_column, "_th"]).drop("_th")
+    digest = support.fresh(df, "digest")
+    once = left.join(twins, same(twins), "left_semi").withColumn(digest, F.xxhash64(text_column)).dropDuplicates([id_column, digest]).drop(digest)
     return left.join(twins, same(twins), "left_anti").unionByName(once)
 
 

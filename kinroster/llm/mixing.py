@@ -7,7 +7,9 @@ being a hash of its id and text, and the documents with the smallest keys are ta
 prefix sum reaches the rest of the budget.
 
 The prefix sum never sorts a source as a whole. Keys fall into ordered buckets; sizes are summed
-by source and bucket before any shuffle; only the single bucket in which a budget ends is sorted.
+by source and bucket before any shuffle; the single bucket in which a budget ends is cut into
+buckets again until it has few rows, and only these are sorted. Rows with equal keys are told apart
+by a hash of their position.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ from pyspark.sql.window import Window
 from . import support
 
 WEIGHTS = (5, 2, 1)
-BUCKETS = 4096
+#: Bits of a key's code, and of the hash of a position; bits of a bucket at each level; rows that one task sorts.
+CODE_BITS, PLACE_BITS, LEVEL_BITS, EDGE_ROWS = 40, 20, 12, 200_000
 #: Plans of so many sources are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -63,68 +66,97 @@ def budgets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[
     return ranked.select("_mix_source", "source_size", F.when(first.isNull() | (F.col("at") < first["at"]), bounded).otherwise(level).alias("target"))
 
 
-def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2, buckets: int = BUCKETS) -> DataFrame:
+def mix(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """``df`` with ``size`` (words), ``source_size``, ``target`` and ``taken`` (words the mix takes, repeats counted).
 
     ``taken / size`` is the number of times a document is used: the complete epochs of its source,
     and one more if it is drawn. A source's words differ from its target by half a document at most.
+    The options are ``weights``, ``share``, ``cap`` (see ``budgets``) and ``edge_rows``.
 
-    The rows with their keys are written once to the shared folder, since they are read three times.
+    The rows with their keys are written once to the shared folder, since they are read several times.
 
     Null texts and texts without words have size 0 and are never taken; null sources form a source,
-    which comes last; null ids are hashed like empty ones; equal rows have equal keys and are taken
-    one by one; a source without words has target 0; an empty table gives an empty table. Columns of
-    the input that are named like the new ones are replaced; others are kept.
+    which comes last; null ids are hashed like empty ones; very long texts count as a whole; equal
+    rows have equal keys and are taken one by one; a source without words has target 0; an empty
+    table gives an empty table. Columns of the input that are named like the new ones are replaced;
+    others are kept.
     """
-    words = support.word_count(F.col(text_column))
-    keyed = support.written(prepared(df, id_column, text_column, source_column, words), "mix-rows")
-    return mixed(keyed, weights, share, cap, buckets)
+    own = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("size", "source_size", "target", "taken")])
+    keyed = support.written(prepared(df, own, id_column, text_column, source_column), "mix-rows")
+    return mixed(keyed, **options).select("row.*", "size", "source_size", "target", "taken")
 
 
-def prepared(df: DataFrame, id_column: str, text_column: str, source_column: str, words: Column) -> DataFrame:
-    df = df.drop("size", "source_size", "target", "taken")
-    text = F.col(text_column)
-    return df.withColumn("size", words).withColumns(
-        {"_mix_source": F.col(source_column), "_mix_key": exponential_key(F.col(id_column), text, quality(text, F.col("size")))}
-    )
+def prepared(df: DataFrame, row: Column, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """``row`` with what the mix needs of it: ``size, _mix_source``, ``_mix_key`` and its place in the order of keys, ``_mix_at``."""
+    text, words = F.col(text_column), support.word_count(F.col(text_column))
+    slim = df.select(row.alias("row"), words.alias("size"), F.col(source_column).alias("_mix_source"), text.alias("text"), F.col(id_column).alias("id"))
+    keyed = slim.withColumn("_mix_key", exponential_key(F.col("id"), F.col("text"), quality(F.col("text"), F.col("size"))))
+    code = F.floor(F.col("_mix_key") / (1.0 + F.col("_mix_key")) * float(1 << CODE_BITS)).cast("long")
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << PLACE_BITS))
+    return keyed.select("row", "size", "_mix_source", "_mix_key", F.shiftleft(code, PLACE_BITS).bitwiseOR(place).alias("_mix_at"))
 
 
-def mixed(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2, buckets: int = BUCKETS) -> DataFrame:
-    """The mix of rows that already have ``size``, ``_mix_source`` and ``_mix_key``."""
-    place = F.floor(F.col("_mix_key") / (1.0 + F.col("_mix_key")) * buckets).cast("int")
-    keyed = keyed.withColumn("_mix_bucket", place)
-    sums = support.written(keyed.groupBy("_mix_source", "_mix_bucket").agg(F.sum("size").alias("words")), "mix")
-    plan = budgets(sums.groupBy("_mix_source").agg(F.sum("words").alias("source_size")), weights, share, cap)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    plan = plan.withColumn("_mix_epochs", F.least(epochs, F.lit(cap)).cast("long")).withColumn("_mix_rest", F.col("target") - F.col("_mix_epochs") * F.col("source_size"))
-    run = Window.partitionBy("_mix_source").orderBy("_mix_bucket")
-    edges = sums.select(F.col("_mix_source").alias("_s"), "_mix_bucket", (F.sum("words").over(run) - F.col("words")).alias("before"))
+def bucket(level: int) -> Column:
+    """The bucket of a row at a level: leading bits of its place in the order."""
+    return F.shiftright("_mix_at", CODE_BITS + PLACE_BITS - level * LEVEL_BITS)
+
+
+def narrowed(keyed: DataFrame, plan: DataFrame, level: int) -> DataFrame:
+    """``plan`` with the bucket of ``level`` in which each source's budget ends (``_edge``), the words before it and its rows.
+
+    ``plan`` has the same of the level before, whose edge buckets are cut here.
+    """
+    if level > 1:
+        keyed = keyed.join(bounded(plan.select("_s", "_edge")), F.col("_mix_source").eqNullSafe(F.col("_s")) & (bucket(level - 1) == F.col("_edge")))
+    sums = support.written(keyed.groupBy("_mix_source", bucket(level).alias("_b")).agg(F.sum("size").alias("words"), F.count("*").alias("rows")), "mix")
+    run = Window.partitionBy("_mix_source").orderBy("_b")
+    edges = sums.select("_mix_source", "_b", "rows", (F.sum("words").over(run) - F.col("words")).alias("inside"))
+    before = F.col("_before") + F.col("inside")
+    joined = plan.join(edges, F.col("_s").eqNullSafe(F.col("_mix_source")) & (before <= F.col("_rest")), "left")
     # The last bucket that begins below the rest of the budget is the one in which it ends.
-    plan = plan.join(edges, F.col("_mix_source").eqNullSafe(F.col("_s")) & (F.col("before") <= F.col("_mix_rest")), "left").groupBy("_mix_source", "source_size", "target", "_mix_epochs", "_mix_rest")
-    plan = support.written(plan.agg(F.max_by("_mix_bucket", "_mix_bucket").alias("_mix_edge"), F.max_by("before", "_mix_bucket").alias("_mix_before")), "mix-plan").withColumnRenamed("_mix_source", "_s")
-    side = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
-    joined = keyed.join(side, F.col("_mix_source").eqNullSafe(F.col("_s")))
-    own = [c for c in keyed.columns if not c.startswith("_mix_")]
-    inside = Window.partitionBy("_mix_source").orderBy("_mix_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = F.col("_mix_bucket") == F.col("_mix_edge")
-    middle = F.col("_mix_before") + F.sum("size").over(inside) - F.col("size") / 2
-    edge = joined.filter(ends).withColumn("_drawn", middle <= F.col("_mix_rest"))
-    others = joined.filter(~ends).withColumn("_drawn", F.col("_mix_bucket") < F.col("_mix_edge"))
-    taken = F.col("size") * F.least(F.col("_mix_epochs") + F.col("_drawn").cast("long"), F.lit(cap).cast("long"))
-    return others.unionByName(edge).select(*own, "source_size", "target", taken.alias("taken"))
-
-
-def mixture(df: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of ``df`` as many times as the mix takes it."""
+    last = joined.groupBy("_s", "source_size", "target", "_epochs", "_rest").agg(F.max(F.struct("_b", before.alias("before"), "rows")).alias("last"))
+    own = [F.col("last._b").alias("_edge"), F.col("last.before").alias("_before"), F.col("last.rows").alias("_rows")]
+    return support.written(last.select("_s", "source_size", "target", "_epochs", "_rest", *own), "mix-plan")
+
+
+def bounded(plan: DataFrame) -> DataFrame:
+    return F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+
+def mixed(keyed: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[int, int] = (3, 2), cap: int = 2, edge_rows: int = EDGE_ROWS) -> DataFrame:
+    """The mix of rows that ``prepared`` made: ``row, size, source_size, target, taken``."""
+    plan = budgets(keyed.groupBy("_mix_source").agg(F.sum("size").alias("source_size")), weights, share, cap)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    plan = plan.withColumn("_epochs", F.least(epochs, F.lit(cap)).cast("long")).withColumn("_rest", F.col("target") - F.col("_epochs") * F.col("source_size"))
+    plan = plan.withColumnRenamed("_mix_source", "_s").withColumns({"_edge": F.lit(0).cast("long"), "_before": F.lit(0).cast("long")})
+    for level in range(1, (CODE_BITS + PLACE_BITS) // LEVEL_BITS + 1):
+        plan = narrowed(keyed, plan, level)
+        if (plan.agg(F.max("_rows")).first()[0] or 0) <= edge_rows:
+            break
+    joined = keyed.join(bounded(plan), F.col("_mix_source").eqNullSafe(F.col("_s"))).withColumn("_b", bucket(level))
+    ends = F.col("_b") == F.col("_edge")
+    # Where the buckets part rows with one code, their places decide, as they do between buckets.
+    order = ["_mix_key", "size", "_mix_at"] if level * LEVEL_BITS <= CODE_BITS else ["_mix_at"]
+    inside = Window.partitionBy("_mix_source").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    middle = F.col("_before") + F.sum("size").over(inside) - F.col("size") / 2
+    edge = joined.filter(ends).withColumn("_drawn", middle <= F.col("_rest"))
+    others = joined.filter(~ends).withColumn("_drawn", F.col("_b") < F.col("_edge"))
+    taken = F.col("size") * F.least(F.col("_epochs") + F.col("_drawn").cast("long"), F.lit(cap).cast("long"))
+    return others.unionByName(edge).select("row", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixture(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+    """The mix itself: every row of ``df``, as it is, as many times as the mix takes it. See ``mix`` for odd rows."""
+    keyed = support.written(prepared(df, F.struct("*"), id_column, text_column, source_column), "mix-rows")
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return mix(df, **options).withColumn("_times", F.explode(F.array_repeat(F.lit(0), times))).select(*df.columns)
+    return mixed(keyed, **options).select("row", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents."""
     docs = support.table(spark, sf_dir, "documents")
-    slim = prepared(docs, "doc_id", "text", "source", support.word_count(F.col("text"))).select("doc_id", "size", "_mix_source", "_mix_key")
-    return mixed(support.written(slim, "mix-keys"))
+    keyed = support.written(prepared(docs, F.struct("doc_id")), "mix-keys")
+    return mixed(keyed).select("row.*", "size", "source_size", "target", "taken")
 
 
 OP2_SQL = """

@@ -28,8 +28,9 @@ PACKED = "dim int, block int, ids binary, vectors binary"
 def usable(df: DataFrame, id_column: str, vector_column: str) -> DataFrame:
     """``id, v`` (array of doubles) of the rows that take part, one for each id.
 
-    Null ids, and vectors that are null, zero or hold null or non-finite components take no part. If
-    an id has several vectors, the least of them in the order of arrays counts.
+    Null ids, and vectors that are null, empty, zero or hold null or non-finite components take no
+    part. If an id has several vectors, the least of them in the order of arrays counts; repeated
+    rows count once. An empty table gives an empty table; other columns are not read.
     """
     v = F.col(vector_column).cast("array<double>")
     rows = df.filter(F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), v.alias("v"))
@@ -65,7 +66,8 @@ class Block:
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, summed in the order of components."""
+    """Row by row, summed in the order of components; scaled by powers of two, which change no digit, so that nothing overflows."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, initial=0.0))[1][:, None]) for x in (a, b))
     dot, aa, bb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for i in range(a.shape[1]):
         dot += a[:, i] * b[:, i]

@@ -43,37 +43,43 @@ def packed(*parts: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.stack(columns, axis=1).astype(">u8")).view("S24").ravel()
 
 
-def below(keys: np.ndarray) -> Column:
-    """For each row the number of ``keys`` that are not above the row's key."""
+def looked_up(keys: np.ndarray, values: np.ndarray, kind: str) -> Column:
+    """For each row the value of its interval: ``values[i]`` where i ``keys`` are not above the row's key."""
 
-    @F.pandas_udf("int")
+    @F.pandas_udf(kind)
     def place(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(keys, packed(a.to_numpy(), b.to_numpy(), c.to_numpy()), side="right").astype("int32"))
+        return pd.Series(values[np.searchsorted(keys, packed(a.to_numpy(), b.to_numpy(), c.to_numpy()), side="right")])
 
     return place(*KEY)
 
 
-def find_splitters(keyed: DataFrame, parts: int, tolerance: np.ndarray | float, draws: int = 8, seed: int = 17, most_rounds: int = 40) -> Splitters:
+def below(keys: np.ndarray) -> Column:
+    return looked_up(keys, np.arange(len(keys) + 1, dtype="int32"), "int")
+
+
+def find_splitters(keyed: DataFrame, parts: int, tolerance: np.ndarray | float, draws: int = 8, seed: int = 17, most_rounds: int = 200) -> Splitters:
     """Boundaries that cut ``keyed`` (the key columns and ``_hs_size``) into ``parts`` of equal bytes.
 
     ``tolerance`` is in bytes, one for all boundaries or one for each. A boundary is also settled
     when no row is left between its neighbours. Each round sends ``draws`` keys for each open
-    boundary to the driver, and one row of counts for each key.
+    boundary to the driver, and one row of counts for each key. The rounds are few, since each makes
+    the open intervals about ``draws`` times smaller; an error is raised if ``most_rounds`` don't suffice.
     """
     rows, size = (int(x or 0) for x in keyed.agg(F.count("*"), F.sum("_hs_size")).first())
     targets = np.arange(1, parts) * (size / parts)
     allowed = np.broadcast_to(np.asarray(tolerance, dtype=float), targets.shape)
     keys, lines, weight = np.array([], dtype="S24"), np.array([rows]), np.array([size])
     open_, done = np.arange(len(targets)) if rows else np.array([], dtype=int), 0
-    while len(open_) and done < most_rounds:
+    while len(open_):
+        if done == most_rounds:
+            raise RuntimeError(f"{len(open_)} boundaries are not settled after {most_rounds} rounds")
         done += 1
         inside = np.searchsorted(np.cumsum(weight)[:-1], targets[open_], side="right")
         wanted, count = np.unique(inside, return_counts=True)
         chance = np.zeros(len(lines))
         chance[wanted] = np.minimum(1.0, draws * count / np.maximum(lines[wanted], 1))
-        drawn = keyed.select(*KEY, below(keys).alias("_hs_in"), F.pmod(F.xxhash64(*KEY, F.lit(seed + done)), F.lit(1 << 30)).alias("_hs_u"))
-        odds = F.lit(",".join(repr(float(x)) for x in chance))
-        drawn = drawn.filter(F.col("_hs_u") < F.element_at(F.split(odds, ",").cast("array<double>"), F.col("_hs_in") + 1) * float(1 << 30)).select(*KEY).toPandas()
+        drawn = keyed.select(*KEY, looked_up(keys, chance * float(1 << 30), "double").alias("odds"))
+        drawn = drawn.filter(F.pmod(F.xxhash64(*KEY, F.lit(seed + done)), F.lit(1 << 30)) < F.col("odds")).select(*KEY).toPandas()
         fresh = packed(*(drawn[k].to_numpy() for k in KEY))
         merged = np.union1d(keys, fresh)
         if len(merged) > len(keys):
@@ -98,10 +104,11 @@ def nearest(ordered: np.ndarray, targets: np.ndarray) -> np.ndarray:
     return np.where(np.abs(ordered[left] - targets) <= np.abs(ordered[right] - targets), left, right)
 
 
-def shard(df: DataFrame, shards: int = 24, id_column: str = "doc_id", text_column: str = "text", size: Column | None = None, tolerance: float = 0.001, bucket_bytes: int = 64 << 20) -> DataFrame:
+def shard(df: DataFrame, shards: int = 24, id_column: str = "doc_id", text_column: str = "text", size: Column | None = None, digest: Column | None = None, tolerance: float = 0.001, bucket_bytes: int = 64 << 20) -> DataFrame:
     """``df`` with ``shard`` (0 to ``shards`` - 1) and ``slot`` (gapless from 0 in each shard).
 
-    ``size`` is what to even out; by default the UTF-8 bytes of the text plus 8. Shards differ by
+    ``size`` is what to even out; by default the UTF-8 bytes of the text plus 8. ``digest`` groups equal
+    texts; by default it is the text's xxhash64. Shards differ by
     at most ``tolerance`` of their mean, plus one row. ``bucket_bytes`` bounds what one task sorts.
     The input is written once to the shared folder, since every later pass must see the same rows
     in the same places.
@@ -114,29 +121,30 @@ def shard(df: DataFrame, shards: int = 24, id_column: str = "doc_id", text_colum
     kind = dict(df.dtypes)[id_column]
     identity = F.col(id_column).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(id_column)
     size = F.coalesce(F.octet_length(text_column), F.lit(0)).cast("long") + 8 if size is None else size
-    digest = F.col("_hs_hash") if "_hs_hash" in df.columns else F.xxhash64(text_column)
-    plain = df.drop("shard", "slot")
-    keyed = support.written(plain.withColumns({KEY[0]: digest, KEY[1]: F.coalesce(identity, F.lit(LOWEST)), KEY[2]: F.monotonically_increasing_id(), "_hs_size": size}), "shard")
+    digest = F.xxhash64(text_column) if digest is None else digest
+    plain = F.struct(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in ("shard", "slot")])
+    keys = {KEY[0]: digest, KEY[1]: F.coalesce(identity, F.lit(LOWEST)), KEY[2]: F.monotonically_increasing_id(), "_hs_size": size}
+    keyed = support.written(df.select(plain.alias("row"), *[c.alias(n) for n, c in keys.items()]), "shard")
     total = int(keyed.agg(F.sum("_hs_size")).first()[0] or 0)
-    each = int(np.clip(-(-total // (shards * bucket_bytes)), 4, 1 << 12))
+    each = max(4, -(-total // (shards * bucket_bytes)))
     parts = shards * each
     coarse = np.arange(1, parts) % each == 0
     found = find_splitters(keyed, parts, np.where(coarse, tolerance * total / shards / 2, 0.1 * total / parts))
-    first = found.rows_below[(np.arange(parts) // each) * each]
-    start = F.split(F.lit(",".join(map(str, found.rows_below - first))), ",").cast("array<bigint>")
+    start = found.rows_below - found.rows_below[(np.arange(parts) // each) * each]
     within = Window.partitionBy("_hs_bucket").orderBy(*KEY)
     return (
         keyed.withColumn("_hs_bucket", below(found.keys))
+        .withColumn("_hs_start", looked_up(found.keys, start, "long"))
         .withColumn("shard", F.floor(F.col("_hs_bucket") / each).cast("int"))
-        .withColumn("slot", (F.element_at(start, F.col("_hs_bucket") + 1) + F.row_number().over(within) - 1).cast("long"))
-        .select(*plain.columns if "_hs_hash" not in plain.columns else [c for c in plain.columns if c != "_hs_hash"], "shard", "slot")
+        .withColumn("slot", (F.col("_hs_start") + F.row_number().over(within) - 1).cast("long"))
+        .select("row.*", "shard", "slot")
     )
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near-equal bytes, as digests."""
     docs = support.table(spark, sf_dir, "documents")
-    slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), support.crc32_of(F.col("text")).alias("text_crc32"), F.xxhash64("text").alias("_hs_hash"))
-    return shard(slim, 24, size=F.col("size")).select(
+    slim = docs.select("doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8).alias("size"), support.crc32_of(F.col("text")).alias("text_crc32"), F.xxhash64("text").alias("hash"))
+    return shard(slim, 24, size=F.col("size"), digest=F.col("hash")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

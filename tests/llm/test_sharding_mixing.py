@@ -45,11 +45,43 @@ def test_rows_that_are_equal_in_everything_are_split(spark):
     assert out.groupby("shard").size().between(190, 210).all()
 
 
+def test_one_bucket_in_many_and_open_boundaries(spark, monkeypatch):
+    rows = [(i, f"text {i % 900} " * (1 + i % 5)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, find = [], sharding.find_splitters
+    monkeypatch.setattr(sharding, "find_splitters", lambda *a: seen.append(a[1]) or find(*a))
+    out = frame(sharding.shard(df, 2, bucket_bytes=4).select("shard", "slot"))
+    assert seen[0] > 2 * 4096 and len(out) == 2000  # the buckets are as many as the bytes need
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    monkeypatch.undo()
+    with pytest.raises(RuntimeError):
+        sharding.find_splitters(keyed(df), 500, 0.0, draws=1, most_rounds=1)
+
+
+def keyed(df):
+    a, b, c = sharding.KEY
+    return df.select(F.xxhash64("text").alias(a), F.col("doc_id").alias(b), F.monotonically_increasing_id().alias(c), F.octet_length("text").cast("long").alias("_hs_size")).cache()
+
+
+def test_shards_match_a_plain_sort(spark):
+    """Brute force: sort by hash and id, cut where the running sum of bytes comes nearest to each share."""
+    df = spark.createDataFrame([(i, f"text {i} " * (1 + i % 9)) for i in range(1500)], "doc_id long, text string")
+    out = frame(sharding.shard(df, 6, tolerance=0.0).select("doc_id", "shard", "slot", (F.octet_length("text") + 8).alias("size"), F.xxhash64("text").alias("h")))
+    out = out.sort_values(["h", "doc_id"]).reset_index(drop=True)
+    assert out["shard"].is_monotonic_increasing
+    upto = out["size"].cumsum().to_numpy()
+    cuts = [int(np.argmin(np.abs(upto - upto[-1] * k / 6))) + 1 for k in range(1, 6)]
+    assert [int((out["shard"] < k).sum()) for k in range(1, 6)] == cuts
+    assert all(g.slot.tolist() == list(range(len(g))) for _, g in out.groupby("shard"))
+
+
 def test_empty_and_clashing_columns(spark):
     empty = spark.createDataFrame([], DOCS)
     assert sharding.shard(empty).count() == 0
     clash = spark.createDataFrame([(1, "a b", "mine", 9)], "doc_id long, text string, shard string, slot int")
     assert sharding.shard(clash, 2).columns == ["doc_id", "text", "shard", "slot"] and sharding.shard(clash, 2).first()["slot"] == 0
+    mine = spark.createDataFrame([(1, "a b", "x", 9, 1.5, "z")], "doc_id long, text string, _hs_hash string, _hs_bucket int, `a.b` double, row string")
+    assert sharding.shard(mine, 2).drop("shard", "slot").first() == mine.first()
 
 
 def fill(sizes, weights, total, cap=2):
@@ -96,6 +128,22 @@ def test_mix_of_odd_documents(spark, tmp_path):
     assert mixing.mix(clash).columns == ["doc_id", "text", "source", "size", "source_size", "target", "taken"]
 
 
+def test_a_crowded_edge_is_cut_again(spark):
+    rows = [(i % 40 if i % 3 else 7, "the same words again" if i % 3 == 0 else f"w{i} " * (1 + i % 4), "a" if i % 5 else "b") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    one, many = (frame(mixing.mix(df, edge_rows=n)) for n in (10**6, 3))
+    totals = [x.groupby("source").agg({"taken": "sum", "target": "first"}) for x in (one, many)]
+    assert all((abs(t.taken - t.target) <= 2).all() for t in totals)
+    assert sorted(one.taken) == pytest.approx(sorted(many.taken), abs=4)
+
+
+def test_mixture_keeps_columns_as_they_are(spark):
+    df = spark.createDataFrame([(i, "some words here", "s", 5.5, "t", i) for i in range(9)], "doc_id long, text string, source string, size double, taken string, _mix_key int")
+    out = mixing.mixture(df)
+    assert out.columns == df.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in df.collect()}
+    assert mixing.mixture(df.limit(0)).count() == 0
+
+
 def test_mixture_repeats_rows(spark):
     df = spark.createDataFrame([(i, "some words here", f"s{i % 2}") for i in range(40)], "doc_id long, text string, source string")
     taken = frame(mixing.mix(df)).set_index("doc_id")
