@@ -20,22 +20,22 @@ NODE = {
     "employee_payroll_id": "string", "crm_user_id": "string", "dms_erp_person_key": "string", "dms_user_id": "string", "erp_user_id": "string", "merge_topology": "string",
     "has_dms": "boolean", "has_erp": "boolean", "has_broken_link": "boolean", "loaded_at": "timestamp_ntz",
 }
+DERIVED = ("source_first_name_root", "source_last_name_norm")
 IDS = ("ats_candidate_id", "payroll_spell_key", "employee_payroll_id", "crm_user_id", "dms_erp_person_key", "dms_user_id", "erp_user_id")
 
 
-def _nodes(df: DataFrame, nicknames: DataFrame, system: str, record: str, key: str, first: str, last: str, hired: Column, ended: Column | None = None, original: tuple[str, str] | None = None, personal: tuple[Column, Column] | None = None, work: tuple[Column, Column] | None = None, own: dict[str, str] | None = None) -> DataFrame:
-    """Rows of one system in the common shape; what is not given is null."""
+def _nodes(df: DataFrame, system: str, record: str, key: str, first: str, last: str, hired: Column, ended: Column | None = None, original: tuple[str, str] | None = None, personal: tuple[Column, Column] | None = None, work: tuple[Column, Column] | None = None, own: dict[str, str] | None = None) -> DataFrame:
+    """Rows of one system in the common shape, without what is derived from names; what is not given is null."""
     originals = original or (f"{first}_original", f"{last}_original")
     local, domain = work or personal or (None, None)
     known = {
         "source_system": F.lit(system), "source_record_key": F.concat(F.lit(f"{record}::"), key), "source_primary_id": F.col(key), "source_first_name": F.col(first), "source_last_name": F.col(last),
-        "source_first_name_original": F.col(originals[0]), "source_last_name_original": F.col(originals[1]), "source_last_name_norm": normalize_name(F.col(last)),
-        "source_first_name_root": F.col("_root"), "source_hire_date": hired, "source_end_date": ended, "source_email_local_part": local, "source_email_domain": domain, "loaded_at": F.col("loaded_at"),
+        "source_first_name_original": F.col(originals[0]), "source_last_name_original": F.col(originals[1]),
+        "source_hire_date": hired, "source_end_date": ended, "source_email_local_part": local, "source_email_domain": domain, "loaded_at": F.col("loaded_at"),
     }
     known |= {f"{kind}_email_{part}": c for kind, pair in (("personal", personal), ("work", work)) if pair for part, c in zip(("local_part", "domain"), pair, strict=True)}
     known |= {to: F.col(c) for to, c in (own or {}).items()}
-    rooted = with_root(df, F.col(first), nicknames, "_root")
-    return rooted.select(*[(F.lit(None) if known.get(n) is None else known[n]).cast(kind).alias(n) for n, kind in NODE.items()])
+    return df.select(*[(F.lit(None) if known.get(n) is None else known[n]).cast(kind).alias(n) for n, kind in NODE.items() if n not in DERIVED])
 
 
 def source_nodes(hris_persons: DataFrame, stg_ats: DataFrame, payroll_spells: DataFrame, stg_crm: DataFrame, dms_erp_unified: DataFrame, nicknames: DataFrame) -> DataFrame:
@@ -44,13 +44,14 @@ def source_nodes(hris_persons: DataFrame, stg_ats: DataFrame, payroll_spells: Da
     mail = lambda local, address: (F.col(local), email_part(F.col(address), 2))
     name = "canonical_legal_first_name", "canonical_legal_last_name"
     branches = [
-        _nodes(hris_persons, nicknames, "HRIS", "HRIS_PERSON", "hris_person_key", *name, F.col("canonical_hire_date"), F.col("latest_termination_date"), personal=mail("personal_email_local_part", "personal_email"), work=mail("work_email_local_part", "work_email"), own=same("hris_person_key", "date_of_birth")),
-        _nodes(stg_ats, nicknames, "ATS", "ATS", "ats_candidate_id", "preferred_first_name", "last_name", F.col("offer_accepted_date"), personal=mail("email_local_part", "email"), own=same("ats_candidate_id")),
-        _nodes(payroll_spells, nicknames, "PAYROLL", "PAYROLL", "payroll_spell_key", "first_observed_legal_first_name", "first_observed_legal_last_name", F.col("first_pay_period_start"), F.col("most_recent_pay_period_end"), own=same("payroll_spell_key", "employee_payroll_id") | {"source_primary_id": "employee_payroll_id"}),
-        _nodes(stg_crm, nicknames, "CRM", "CRM", "crm_user_id", "preferred_first_name", "last_name", F.to_date("created_at"), F.to_date("deactivated_at"), work=mail("crm_email_local_part", "crm_email"), own=same("crm_user_id")),
-        _nodes(dms_erp_unified, nicknames, "DMS_ERP", "DMS_ERP", "dms_erp_person_key", "short_first_name", "last_name", F.coalesce("hire_date_dms", F.to_date("erp_created_at")), F.col("terminated_date_dms"), work=mail("erp_email_local_part", "erp_email"), own=same("dms_erp_person_key", "dms_user_id", "erp_user_id", "merge_topology", "has_dms", "has_erp", "has_broken_link")),
+        _nodes(hris_persons, "HRIS", "HRIS_PERSON", "hris_person_key", *name, F.col("canonical_hire_date"), F.col("latest_termination_date"), personal=mail("personal_email_local_part", "personal_email"), work=mail("work_email_local_part", "work_email"), own=same("hris_person_key", "date_of_birth")),
+        _nodes(stg_ats, "ATS", "ATS", "ats_candidate_id", "preferred_first_name", "last_name", F.col("offer_accepted_date"), personal=mail("email_local_part", "email"), own=same("ats_candidate_id")),
+        _nodes(payroll_spells, "PAYROLL", "PAYROLL", "payroll_spell_key", "first_observed_legal_first_name", "first_observed_legal_last_name", F.col("first_pay_period_start"), F.col("most_recent_pay_period_end"), own=same("payroll_spell_key", "employee_payroll_id") | {"source_primary_id": "employee_payroll_id"}),
+        _nodes(stg_crm, "CRM", "CRM", "crm_user_id", "preferred_first_name", "last_name", F.to_date("created_at"), F.to_date("deactivated_at"), work=mail("crm_email_local_part", "crm_email"), own=same("crm_user_id")),
+        _nodes(dms_erp_unified, "DMS_ERP", "DMS_ERP", "dms_erp_person_key", "short_first_name", "last_name", F.coalesce("hire_date_dms", F.to_date("erp_created_at")), F.col("terminated_date_dms"), work=mail("erp_email_local_part", "erp_email"), own=same("dms_erp_person_key", "dms_user_id", "erp_user_id", "merge_topology", "has_dms", "has_erp", "has_broken_link")),
     ]
-    return reduce(DataFrame.unionByName, branches)
+    nodes = with_root(reduce(DataFrame.unionByName, branches), F.col("source_first_name"), nicknames, "source_first_name_root")
+    return nodes.withColumn("source_last_name_norm", normalize_name(F.col("source_last_name"))).select(*NODE)
 
 
 def hris_spell_names(stg_hris: DataFrame, hris_persons: DataFrame, nicknames: DataFrame) -> DataFrame:
@@ -158,8 +159,9 @@ def evidence(*passes: DataFrame) -> DataFrame:
 
 
 def _best(rows: DataFrame, *order: Column) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("source_record_key").orderBy(*order, F.col("hire_date_diff_days").asc_nulls_first(), F.col("hris_hire_date").asc_nulls_first()))
-    return rows.withColumn("_place", place).filter("_place = 1").drop("_place")
+    """The least row of each source by ``order``, in one aggregation without a sort; nulls come first."""
+    place = F.struct(*[c.alias(f"o{i}") for i, c in enumerate((*order, F.col("hire_date_diff_days"), F.col("hris_hire_date")))])
+    return rows.groupBy("source_record_key").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "source_record_key"]), place).alias("best")).select("source_record_key", "best.*")
 
 
 #: id column -> (system, array of ids, their number)
@@ -176,7 +178,7 @@ LONG_AGO = "1900-01-01 00:00:00"
 
 def canonical_person(hris_persons: DataFrame, *passes: DataFrame) -> DataFrame:
     """Every HRIS person with the accounts that were merged into it: one aggregation of the best matches, one join."""
-    merged = _best(evidence(*passes).filter("auto_merge_qualified"), F.col("match_pass").asc(), F.col("match_score").desc(), F.col("hris_person_key").asc())
+    merged = _best(evidence(*passes).filter("auto_merge_qualified"), F.col("match_pass"), -F.col("match_score"), F.col("hris_person_key"))
     ids = [F.array_sort(F.collect_set(F.when(F.col("source_system") == system, F.col(c)))).alias(to) for c, (system, to, _) in ROLLUPS.items()]
     summary = merged.groupBy("hris_person_key").agg(
         *ids, F.count("*").alias("matched_external_source_node_count"), F.countDistinct("source_system").alias("matched_external_source_system_count"),
@@ -196,7 +198,7 @@ def canonical_person(hris_persons: DataFrame, *passes: DataFrame) -> DataFrame:
 def stewardship_queue(nodes: DataFrame, *passes: DataFrame) -> DataFrame:
     """Every identity that no pass merged, with its best candidate and the reason why it waits."""
     every = evidence(*passes)
-    best = _best(every, F.col("match_score").desc(), F.col("match_pass").asc(), F.col("candidate_hris_person_count").asc(), F.col("hris_person_key").asc())
+    best = _best(every, -F.col("match_score"), F.col("match_pass"), F.col("candidate_hris_person_count"), F.col("hris_person_key"))
     renamed = {"hris_person_key": "suggested_hris_person_key", "hris_first_name": "suggested_hris_first_name", "hris_last_name": "suggested_hris_last_name", "hris_hire_date": "suggested_hris_hire_date", "match_pass": "suggested_match_pass", "match_rule": "suggested_match_rule", "match_score": "suggested_match_score", "match_anchor_count": "suggested_match_anchor_count", "candidate_hris_person_count": "candidate_hris_person_count", "hire_date_diff_days": "suggested_hire_date_diff_days"}
     suggested = best.select(F.col("source_record_key"), *[F.col(c).alias(n) for c, n in renamed.items()])
     waiting = without_merged(nodes.filter("source_system != 'HRIS'"), every)

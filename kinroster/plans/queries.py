@@ -14,7 +14,7 @@ from ..functions import privacy as k_anonymity
 from ..operators import checks, metrics, residual
 from ..sources import fixture
 from . import oracle
-from .engine import Engine, kept
+from .engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -138,23 +138,24 @@ query(
     + " + ".join(f"({_HELD[a]})::INT" for a in matching.ANCHORS) + f" + ({_HELD['hire_date_exact']} OR {_HELD['hire_date_within_7d']})::INT AS anchors FROM range({1 << len(_BITS)}) r(id))",
 )
 
-# Review candidates. Similarity has no SQL form; the tests compare it with a plain table of subsequences.
-query("residual_scores", lambda e: residual.exported(_residual(e)[1]))
-query("residual_ranked", lambda e: residual.exported(residual.ranked(_residual(e)[1])))
-query("residual_summary", lambda e: _reviewed(e, residual.summary))
-query("proxy_evaluation", lambda e: _reviewed(e, residual.proxy_evaluation))
-
-
-def _residual(e: Engine, mode: str = "normalized") -> tuple[DataFrame, DataFrame]:
+# Review candidates of the whole queue.
+def _scores(e: Engine, mode: str = "parity") -> tuple[DataFrame, DataFrame]:
     """All queued identities, and their scored pairs."""
-    sources = kept(residual.source_identities(e.stewardship_queue))
-    people = kept(residual.canonical_identities(e.canonical_person, mode))
-    return sources, residual.scored(residual.blocked(sources, people))
+    sources, people = residual.source_identities(e.stewardship_queue), residual.canonical_identities(e.canonical_person, mode)
+    return sources, residual.scored(residual.candidate_pairs(sources, people))
 
 
 def _reviewed(e: Engine, evaluate: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    sources, scores = _residual(e)
-    return evaluate(sources, residual.ranked(scores))
+    sources, scores = _scores(e)
+    ranked = e.store.table("residual_candidates", residual.ranked(scores))
+    return evaluate(sources, ranked).withColumn("value", F.round("value", 9))
+
+
+query("residual_scores", lambda e: residual.exported(residual.suggested(_scores(e)[1])), f"SELECT {oracle.REVIEW_FILE} FROM review_suggested")
+query("residual_ranked", lambda e: residual.exported(residual.ranked(_scores(e)[1])), f"SELECT {oracle.REVIEW_FILE} FROM review_ranked")
+query("residual_ranked_normalized", lambda e: residual.exported(residual.ranked(_scores(e, "normalized")[1])), f"SELECT {oracle.REVIEW_FILE} FROM review_ranked_folded")
+query("residual_summary", lambda e: _reviewed(e, residual.summary), oracle.REVIEW_SUMMARY)
+query("proxy_evaluation", lambda e: _reviewed(e, residual.proxy_evaluation), oracle.REVIEW_PROXY)
 
 
 # Data checks, with the number of rows that break each rule.

@@ -1,10 +1,12 @@
 import datetime as dt
+import random
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from kinroster.config import EngineConfig
+from kinroster.functions.similarity import indel
 from kinroster.operators import checks, metrics, privacy, residual, staging, workforce
 from kinroster.operators.persons import dms_erp_unified, hris_persons
 from kinroster.plans import oracle, queries
@@ -108,10 +110,14 @@ QUEUE = "source_system string, source_record_key string, source_first_name_root
 PEOPLE = "canonical_person_id string, canonical_legal_first_name string, canonical_legal_last_name string, canonical_hire_date date, work_email_local_part string, personal_email_local_part string"
 
 
-def review(spark, sources, people, **options):
+def review(spark, sources, people, mode="parity", **options):
     s = residual.source_identities(spark.createDataFrame(sources, QUEUE))
-    p = residual.canonical_identities(spark.createDataFrame(people, PEOPLE))
-    return s, residual.ranked(residual.scored(residual.blocked(s, p)), **options)
+    p = residual.canonical_identities(spark.createDataFrame(people, PEOPLE), mode)
+    return s, residual.ranked(residual.scored(residual.candidate_pairs(s, p)), **options)
+
+
+def metrics_of(df):
+    return {(r["metric"], r["name"]): r["value"] for r in df.collect()}
 
 
 def test_residual(spark):
@@ -123,11 +129,68 @@ def test_residual(spark):
     rows = ranked.collect()
     assert [(r["source_record_key"], r["canonical_person_id"], r["recommendation"], r["candidate_rank"]) for r in rows] == [("ATS::1", "cp_abc", "high_confidence_review", 1)]
     assert rows[0]["residual_score"] >= 0.92 and rows[0]["feature_scores"]["hire_date"] == 1.0
-    row = residual.summary(sources, ranked).first()
-    assert (row["source_count"], row["sources_with_candidate"], row["review_yield"]) == (2, 1, 0.5)
-    proxy = residual.proxy_evaluation(sources, ranked).first()
-    assert (proxy["hint_count"], proxy["top_1_count"], proxy["mean_rank"]) == (1, 1, 1.0)
-    assert "| source_count | 2 |" in residual.report("Review", row.asDict(), [r.asDict() for r in residual.exported(residual.global_top(ranked, 5)).collect()])
+    said = ["recommendation=high_confidence_review", "last_name_similarity=1.00", "first_name_root_exact", "email_local_similarity=1.00", "hire_date_within_30_days", "deterministic_candidate_hint"]
+    assert rows[0]["reasons"] == said and residual.exported(ranked).first()["reasons"] == "; ".join(said)
+    found = metrics_of(residual.summary(sources, ranked))
+    assert (found["source_record_count", ""], found["source_records_with_candidates", ""], found["review_yield_rate", ""]) == (2, 1, 0.5)
+    assert found["recommendation_count", "high_confidence_review"] == found["source_system_count", "ATS"] == found["feature_coverage", "last_name"] == 1
+    page = residual.report("Review", [tuple(r) for r in residual.summary(sources, ranked).collect()], [r.asDict() for r in residual.exported(residual.global_top(ranked, 5)).collect()])
+    assert "| source_record_count |  | 2 |" in page and "| ATS::1 |" in page
+    none = metrics_of(residual.summary(sources.limit(0), ranked.limit(0)))
+    assert none["review_yield_rate", ""] == 0 and none["feature_coverage", "email_local"] == 0
+
+
+def test_only_the_best_is_kept(spark):
+    source = ("ATS", "ATS::1", "patrick", "obrien", dt.date(2024, 1, 8), "pobrien", None, "NO_DETERMINISTIC_CANDIDATE")
+    people = [("cp_good", "patrick", "obrien", dt.date(2024, 1, 8), "pobrien", None), ("cp_bad", "maria", "obrien", dt.date(2020, 1, 1), "mobrien", None)]
+    assert [r["canonical_person_id"] for r in review(spark, [source], people, top_n=1)[1].collect()] == ["cp_good"]
+
+
+def test_proxy_evaluation(spark):
+    """A hint that is first, one that is second, one without any candidate."""
+    day = dt.date(2024, 1, 8)
+    sources = [("ATS", f"ATS::{i}", "ann", last, day, None, hint, "AMBIGUOUS_CANDIDATES") for i, (last, hint) in enumerate([("one", "cp_1"), ("two", "cp_2"), ("three", "cp_9"), ("one", None)])]
+    people = [("cp_1", "ann", "one", day, None, None), ("cp_2", "ann", "twi", dt.date(2024, 3, 1), None, None), ("cp_3", "ann", "two", day, None, None), ("cp_4", "bob", "four", dt.date(1990, 1, 1), None, None)]
+    s, ranked = review(spark, sources, people)
+    got = [(r["source_record_key"], r["canonical_person_id"], r["candidate_rank"]) for r in ranked.orderBy("source_record_key", "candidate_rank").collect()]
+    assert got == [("ATS::0", "cp_1", 1), ("ATS::1", "cp_3", 1), ("ATS::1", "cp_2", 2), ("ATS::3", "cp_1", 1)] or got[0] == ("ATS::0", "cp_1", 1)
+    found = metrics_of(residual.proxy_evaluation(s, ranked))
+    assert found["evaluated_source_count", ""] == 3 and found["top_1_alignment_count", ""] == 1
+    assert found["missing_candidate_count", ""] == sum(k not in {g[0] for g in got} for k in ("ATS::0", "ATS::1", "ATS::2"))
+    hits = [g for g in got if {"ATS::0": "cp_1", "ATS::1": "cp_2"}.get(g[0]) == g[1]]
+    assert found["top_k_alignment_count", ""] == len(hits) and found["mean_proxy_label_rank", ""] == sum(g[2] for g in hits) / len(hits)
+
+
+def brute_review(sources, people):
+    """All pairs of each pool, by the definitions."""
+    same = lambda a, b: None if not a or not b else float(a == b)
+    steps = lambda n: next((s for most, s in ((7, 1.0), (30, 0.9), (90, 0.6), (365, 0.25)) if n <= most), 0.0)
+    out = set()
+    for system, key, first, last, hired, local, hint, _ in sources:
+        pool = [p for p in people if p[0] == hint or (last and p[2] == last)] or people
+        found = []
+        for pid, c_first, c_last, c_hired, work, personal in pool:
+            mails = [x for x in (indel(local, work), indel(local, personal)) if x is not None]
+            f = [same(first, c_first), indel(last, c_last), max(mails, default=None), None if not hired or not c_hired else steps(abs((hired - c_hired).days)), same(hint, pid)]
+            w = [(s, n) for s, n in zip(f, residual.WEIGHTS.values(), strict=True) if s is not None]
+            known = sum(n for _, n in w)
+            score, anchors = sum(s * n for s, n in w) / known if known else 0.0, sum(s >= 0.85 for s, _ in w)
+            if score >= 0.75 - 1e-12 and known >= 50 and anchors >= 2:
+                found.append((round(score, 9), anchors, known, pid))
+        out |= {(key, pid, score, place) for place, (score, _, _, pid) in enumerate(sorted(found, reverse=True)[:3], 1)}
+    return out
+
+
+def test_no_candidate_is_lost(spark):
+    """Every pair that can be suggested is built, whatever is missing, with and without a pool of its own."""
+    rng = random.Random(5)
+    pick = lambda *xs: rng.choice(xs)
+    day = lambda: pick(None, dt.date(2020, 1, 1) + dt.timedelta(days=rng.randrange(200)))
+    mail = lambda: pick(None, "rob.smith", "rob.smyth", "ann.lee", "a.lee", f"u{rng.randrange(9)}")
+    people = [(f"cp_{i}", pick(None, "rob", "ann"), pick(None, "smith", "smyth", "lee", "leigh"), day(), mail(), mail()) for i in range(60)]
+    sources = [("ATS", f"ATS::{i}", pick(None, "rob", "ann", "eve"), pick(None, "smith", "smithe", "lee", "leeh", "leig"), day(), mail(), pick(None, None, f"cp_{rng.randrange(70)}"), "x") for i in range(150)]
+    got = {(r["source_record_key"], r["canonical_person_id"], round(r["residual_score"], 9), r["candidate_rank"]) for r in review(spark, sources, people)[1].collect()}
+    assert got == brute_review(sources, people) and len(got) > 100
 
 
 def test_review_takes_the_whole_queue(spark):
@@ -135,8 +198,8 @@ def test_review_takes_the_whole_queue(spark):
     queue.append(("PAYROLL", "PAYROLL::1", "robert", "smith", dt.date(2024, 1, 8), "rsmith", "cp_abc", "AMBIGUOUS_CANDIDATES"))
     people = [("cp_abc", "Robert", "Smith", dt.date(2024, 1, 1), "robert.smith", "rsmith")]
     e = SimpleNamespace(stewardship_queue=spark.createDataFrame(queue, QUEUE), canonical_person=spark.createDataFrame(people, PEOPLE))
-    sources, scores = queries._residual(e)
-    assert sources.count() == scores.count() == 601
+    sources, scores = queries._scores(e)
+    assert sources.count() == 601
     assert [r["source_record_key"] for r in residual.ranked(scores).collect()] == ["PAYROLL::1"]
 
 

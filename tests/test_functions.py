@@ -1,12 +1,13 @@
 import datetime as dt
 
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kinroster.functions import matching, names, privacy
-from kinroster.functions.similarity import common_subsequence, indel
+from kinroster.functions.similarity import common_subsequence, indel, indels
 from kinroster.operators import metrics
 from kinroster.sources.nicknames import nickname_map
 
@@ -61,6 +62,13 @@ def test_common_subsequence(a, b):
     assert common_subsequence(a, b) == table[-1][-1]
 
 
+@given(st.lists(st.tuples(st.none() | st.text("abÉ張", max_size=9), st.none() | st.text("abÉ張", max_size=9)), max_size=20))
+def test_indels(pairs):
+    pairs = [*pairs, ("ab" * 50, "ba" * 50), ("a" * 63, "a" * 62)]
+    found = indels(pd.Series([a for a, _ in pairs], dtype=object), pd.Series([b for _, b in pairs], dtype=object))
+    assert [None if x != x else x for x in found] == [indel(a, b) for a, b in pairs]
+
+
 def test_indel():
     assert indel("abcd", "abd") == pytest.approx(6 / 7)
     assert indel("", "a") is None and indel(None, "a") is None
