@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import support
 
@@ -22,6 +24,8 @@ ORDERS = (3, 4, 5)
 BITS = 20
 #: Labelled rows of each label that a fit uses at most; those with the smallest hash of doc_id.
 SAMPLE = (2500, 3500)
+#: Bytes of the texts of each label that a fit uses at most, in the same order; a fit holds about twelve times as much.
+SAMPLE_BYTES = (16 << 20, 16 << 20)
 #: Bytes of a window. A text is as toxic as its worst window, so length alone doesn't raise a score.
 WINDOW = 4096
 #: Texts with this score or more count as toxic.
@@ -137,27 +141,59 @@ def sample(labels: DataFrame, id_column: str, label_column: str, most: tuple[int
     return one.unionByName(zero)
 
 
-def train(df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: tuple[int, int] = SAMPLE, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Model:
+def train(
+    df: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most: tuple[int, int] = SAMPLE, most_bytes: tuple[int, int] = SAMPLE_BYTES,
+    orders: tuple[int, ...] = ORDERS, bits: int = BITS,
+) -> Model:
     """A model of the texts in ``df`` that ``labels`` (id and label) mark.
 
-    The ids of the sample are fewer than the sum of ``most``, so they are broadcast, and their texts
-    are fitted in one task. Only the finished table comes to the driver.
+    The sample is bounded twice: by ``most`` rows of each label, and by ``most_bytes`` of their texts.
+    It takes rows in the order of a hash of id and text until one of both is reached, at least one row,
+    whatever their lengths. Repeated rows count once; an id that is labelled twice has the greater
+    label; an id with several texts gives several rows; null and empty texts are rows without features;
+    very long texts are used whole; null ids and labels other than 0 and 1 are not used; without rows
+    of both labels the model says 0.5 of everything.
+
+    The ids of the sample are broadcast, and its texts are fitted in one task. Only the finished table,
+    and a number for each label, comes to the driver.
     """
     chosen = sample(labels, id_column, label_column, most)
+    known = df.select(F.col(id_column).alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id")
+    known = known.withColumn("h", F.xxhash64("_id", "_text"))
+    sizes = known.groupBy("y", "h").agg(F.max(F.octet_length("_text")).alias("size"))
+    ends = []
+    for y, number, limit in ((1, *(x[0] for x in (most, most_bytes))), (0, *(x[1] for x in (most, most_bytes)))):
+        first = sizes.filter(F.col("y") == y).orderBy("h").limit(number)
+        upto = first.withColumn("upto", F.sum("size").over(Window.orderBy("h")) - F.when(F.row_number().over(Window.orderBy("h")) == 1, F.col("size")).otherwise(0))
+        ends.append(upto.filter(F.col("upto") <= limit).agg(F.lit(y).alias("y"), F.max("h").alias("end")))
+    end = {r["y"]: r["end"] for r in ends[0].union(ends[1]).collect() if r["end"] is not None}
+    used = [(F.col("y") == y) & (F.col("h") <= h) for y, h in end.items()] or [F.lit(False)]
+    rows = known.filter(reduce(lambda a, b: a | b, used)).groupBy("y", "h").agg(F.first("_text").alias("_text"))
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_id", "h"])
+        pdf = pdf.sort_values(["h", "y"])
         buckets = Buckets(orders, bits)
         model = learn([buckets(t) for t in pdf["_text"]], pdf["y"].to_numpy(), bits)
         return pd.DataFrame({"weights": [model.weights.tobytes()], "bias": [model.bias]})
 
-    rows = df.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text")).join(F.broadcast(chosen), "_id").withColumn("h", F.xxhash64("_text"))
     found = rows.groupBy().applyInPandas(fitted, "weights binary, bias double").first()
     if found is None:
         return fit([], np.array([]), bits=bits)
     return Model(np.frombuffer(found["weights"], dtype=np.float32), found["bias"])
 
 
+def probability(text: Column, model: Model, spark, orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> Column:
+    """Probability that a text is toxic."""
+    support.short_batches(spark)
+    shared = spark.sparkContext.broadcast(model)  # of fixed size: 2 ** bits floats
+
+    def scores(texts: pd.Series) -> pd.Series:
+        buckets, fitted = Buckets(orders, bits), shared.value
+        return pd.Series([fitted.score(buckets(t)) for t in texts], dtype=float)
+
+    return F.pandas_udf(scores, "double")(text)
+
+
 def score(df: DataFrame, model: Model, text_column: str = "text", orders: tuple[int, ...] = ORDERS, bits: int = BITS, to: str = "score") -> DataFrame:
     """``df`` with ``score`` (or the name ``to``), the probability that the text is toxic.
 
@@ -165,19 +201,12 @@ def score(df: DataFrame, model: Model, text_column: str = "text", orders: tuple[
     window by window; equal texts score alike; an empty table gives an empty table. A column named
     ``score`` is replaced; others are kept.
     """
-    support.short_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 ** bits floats
-
-    def scores(texts: pd.Series) -> pd.Series:
-        buckets, fitted = Buckets(orders, bits), shared.value
-        return pd.Series([fitted.score(buckets(t)) for t in texts], dtype=float)
-
-    return df.withColumn(to, F.pandas_udf(scores, "double")(F.col(text_column)))
+    return df.withColumn(to, probability(F.col(text_column), model, df.sparkSession, orders, bits))
 
 
 def without_toxic(df: DataFrame, model: Model, text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` whose score stays below ``threshold``."""
-    return score(df, model, text_column, to="_score").filter(F.col("_score") < threshold).select(*df.columns)
+    """The rows of ``df`` whose score stays below ``threshold``, as they are; see ``score`` for odd texts."""
+    return df.filter(probability(F.col(text_column), model, df.sparkSession) < threshold)
 
 
 def held_out(identity: Column) -> Column:

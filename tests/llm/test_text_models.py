@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinroster.llm import kneser_ney, toxicity, words
 
@@ -125,6 +126,44 @@ def test_toxicity_on_held_out_labels(spark):
     assert np.mean([s >= 0.7 for s in clean]) < 0.05
 
 
+def grams(text, window):
+    """The n-grams of each window of a text, by the definition."""
+    data = f" {text} ".lower().encode()
+    return [{data[at:][:window + 5][i : i + n] for n in toxicity.ORDERS for i in range(len(data[at:][: window + 5]) - n + 1)} for at in range(0, max(len(data) - 5, 1), window)]
+
+
+def test_features_and_ratios_follow_their_definitions():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["idiot", "moron", "the", "sea", "Ö", "a"]) for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    labels = np.array([int("idiot" in t) for t in texts])
+    one = toxicity.Buckets(window=64)
+    bucket = lambda gram: int(toxicity.Buckets(orders=(len(gram),)).distinct(np.frombuffer(gram, dtype=np.uint8).astype(np.uint32))[0])
+    for t in texts:
+        assert [set(w.tolist()) for w in one(t)] == [{bucket(g) for g in w} for w in grams(t, 64)]
+    rows = [one(t)[0] for t in texts]
+    got = toxicity.log_count_ratios(rows, labels, 1 << toxicity.BITS, prior=2.0, least=1.0)
+    share = labels.mean()
+    for b in set(np.concatenate(rows).tolist()):
+        ones, zeros = (sum(b in set(r.tolist()) for r, y in zip(rows, labels, strict=True) if y == v) for v in (1, 0))
+        p, q = ((c + 2.0 * s) / (s * (len(rows) + 2.0)) for c, s in ((ones, share), (zeros, 1 - share)))
+        evidence = 2 * sum(c * math.log(c / ((ones + zeros) * s)) for c, s in ((ones, share), (zeros, 1 - share)) if c)
+        assert got[b] == pytest.approx(math.log(p / q) if evidence >= 1.0 else 0.0)
+    model = toxicity.Model(got.astype(np.float32), -0.3)
+    for t in texts:
+        margin = max(sum(float(got[bucket_]) for bucket_ in {bucket(g) for g in w}) for w in grams(t, 64)) - 0.3
+        assert model.score(one(t)) == pytest.approx(1 / (1 + math.exp(-margin)), rel=1e-4)
+
+
+def test_the_sample_is_bounded_whatever_the_lengths(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"bad text {i} " * (400 if i % 2 else 1)) for i in range(40)] + [(0, "again")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 4 // 2) for i in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "reduce", lambda f, parts: seen.append(parts) or parts[0] | parts[1])
+    toxicity.train(df, labels, most_bytes=(9000, 9000))
+    sizes = [[r[0] for r in df.distinct().join(labels, "doc_id").filter(F.col("toxic") == y).withColumn("y", F.col("toxic")).withColumn("h", F.xxhash64("doc_id", "text")).filter(part).select(F.octet_length("text")).collect()] for y, part in zip((1, 0), seen[0], strict=True)]
+    assert all(1 <= len(s) < 20 and sum(s) - max(s) <= 9000 for s in sizes) and any(max(s) > 4000 for s in sizes)
+
+
 def test_toxicity_learns_from_long_texts(spark):
     rng = random.Random(11)
     prose = lambda n: " ".join("".join(rng.choices(["tion", "ea", "th", "in", "or", "er", "an"], k=rng.randrange(1, 4))) for _ in range(n))
