@@ -46,8 +46,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again; a stage's table is deleted once the next is written.
+
+    Null and empty texts are clean and without copies or benchmark items, but have no words, so the
+    mixture never takes them; null ids are documents like others; very long texts are read whole by
+    every stage; of repeated rows one stays before the mixture, which may repeat it; an empty table of
+    documents gives an empty table; without labels nothing is toxic, without benchmark nothing leaks.
+    Columns beside those of ``documents`` go through as they are, whatever their names; only ``shard``
+    and ``slot`` are replaced.
+    """
     docs = support.table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = support.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        before, docs = docs, support.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        if i:
+            support.drop_written(before)
     return docs
