@@ -46,7 +46,14 @@ def balance(**sides: DataFrame) -> DataFrame:
     return out.filter(" OR ".join(f"{names[0]} <> {n}" for n in names[1:]))
 
 
-def identifying_columns(frames: dict[str, DataFrame], denied: tuple[str, ...] = ("canonical_person_id", "hris_person_key", "hris_employee_id", "employee_sk", "legal_first_name", "legal_last_name", "preferred_name", "date_of_birth", "personal_email", "work_email", "sin_last_4")) -> list[tuple[str, str]]:
+#: Columns that no public mart may have.
+IDENTIFIERS = (
+    "canonical_person_id", "hris_person_key", "hris_employee_id", "employee_sk", "daily_workforce_key", "date_of_birth", "sin_last_4", "legal_first_name", "legal_last_name", "preferred_name",
+    "legal_first_name_original", "legal_last_name_original", "preferred_name_original",
+)
+
+
+def identifying_columns(frames: dict[str, DataFrame], denied: tuple[str, ...] = IDENTIFIERS) -> list[tuple[str, str]]:
     """Columns of public marts that name a person."""
     return [(name, c) for name, df in frames.items() for c in df.columns if c.lower() in denied]
 
@@ -64,6 +71,31 @@ def shown_though_suppressed(mart: DataFrame, *metrics: str) -> DataFrame:
     return mart.filter("NOT is_reportable").filter(" OR ".join(f"{m} IS NOT NULL" for m in metrics))
 
 
+#: What staged tables have to hold: columns that are never null, the unique key, the values of codes, links to other tables.
+STAGED = {
+    "stg_hris": (("hris_employee_id", "legal_first_name", "legal_last_name", "hire_date", "employment_status"), "hris_employee_id", {"employment_status": ["ACTIVE", "TERMINATED", "ON_LEAVE"], "employment_type": ["FTE", "CONTRACTOR", "PART_TIME"]}, {}),
+    "stg_ats": (("ats_candidate_id", "preferred_first_name", "last_name"), "ats_candidate_id", {"sourced_from": ["LinkedIn", "Referral", "Career Site", "Indeed", "Recruiter"]}, {}),
+    "stg_payroll": (("payroll_record_id", "employee_payroll_id", "legal_first_name", "legal_last_name", "pay_period_start", "pay_period_end"), "payroll_record_id", {}, {}),
+    "stg_crm": (("crm_user_id", "preferred_first_name", "last_name", "active", "created_at"), "crm_user_id", {"role": ["SALES_REP", "SUPPORT_AGENT", "MARKETING"]}, {}),
+    "stg_dms": (("dms_user_id", "short_first_name", "last_name"), "dms_user_id", {}, {}),
+    "stg_erp": (("erp_user_id", "short_first_name", "last_name"), "erp_user_id", {}, {"linked_dms_user_id": ("stg_dms", "dms_user_id")}),
+}
+
+
+def staged_checks(e) -> dict[str, DataFrame]:
+    """The generic checks of every staged table, as violation frames."""
+    found = {}
+    for name, (needed, key, codes, links) in STAGED.items():
+        df = getattr(e, name)
+        found |= {f"{name}.{c}.not_null": not_null(df, c) for c in needed}
+        found[f"{name}.{key}.unique"] = unique(df, key)
+        found |= {f"{name}.{c}.accepted_values": accepted_values(df, c, values) for c, values in codes.items()}
+        found |= {f"{name}.{c}.relationship": relationship(df, c, getattr(e, to), at) for c, (to, at) in links.items()}
+    found["stg_payroll.period.in_order"] = holds(e.stg_payroll, F.col("pay_period_start") <= F.col("pay_period_end"))
+    found["identity_source_nodes.system_and_key.unique"] = unique(e.identity_source_nodes, "source_system", "source_record_key")
+    return found
+
+
 def all_checks(e) -> dict[str, DataFrame]:
     """Every check of the engine's models, as violation frames."""
     usable = e.stg_hris.filter("date_of_birth IS NOT NULL AND personal_email_local_part IS NOT NULL")

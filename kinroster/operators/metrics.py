@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import decimal
 import json
 import re
 import uuid
@@ -30,10 +29,17 @@ class Filters:
     location: str | None = None
     employment_type: str | None = None
     limit: int = USUAL_ROWS
+    privacy_surface: str | None = None
+
+    def payload(self) -> dict:
+        """What the audit log keeps: everything that was given."""
+        given = {k: v for k, v in asdict(self).items() if v is not None}
+        return {k: v.isoformat() if isinstance(v, dt.date) else v for k, v in given.items()}
 
 
 @dataclass(frozen=True)
 class Surface:
+    name: str
     date: str
     columns: tuple[str, ...]
     order: tuple[str, ...]
@@ -42,9 +48,9 @@ class Surface:
 _END = ("cohort_size_bucket", "is_reportable", "suppression_reason", "k_anonymity_threshold")
 #: The surfaces that may be asked for.
 SURFACES = {
-    "headcount": Surface("snapshot_date", ("snapshot_date", *privacy.DIMENSIONS, "headcount", "reportable_cohort_employee_count", *_END), ("snapshot_date", *privacy.DIMENSIONS)),
-    "attrition": Surface("month_start_date", ("month_start_date", "month_end_date", *privacy.DIMENSIONS, "start_headcount", "terminations", "attrition_rate", *_END), ("month_start_date", *privacy.DIMENSIONS)),
-    "suppression": Surface("", ("privacy_surface", "date_grain", "row_count", "reportable_row_count", "suppressed_row_count", "suppressed_row_rate", "k_anonymity_threshold", "generated_at"), ("privacy_surface",)),
+    "headcount": Surface("workforce_headcount_daily", "snapshot_date", ("snapshot_date", *privacy.DIMENSIONS, "headcount", "reportable_cohort_employee_count", *_END), ("snapshot_date", *privacy.DIMENSIONS)),
+    "attrition": Surface("workforce_attrition_monthly", "month_start_date", ("month_start_date", "month_end_date", *privacy.DIMENSIONS, "start_headcount", "terminations", "attrition_rate", *_END), ("month_start_date", *privacy.DIMENSIONS)),
+    "suppression": Surface("privacy_suppression_summary", "", ("privacy_surface", "date_grain", "row_count", "reportable_row_count", "suppressed_row_count", "suppressed_row_rate", "k_anonymity_threshold", "generated_at"), ("privacy_surface",)),
 }
 
 
@@ -52,6 +58,12 @@ class UnknownSurface(ValueError):
     pass
 
 
+class SourceUnavailable(RuntimeError):
+    """A mart that could not be read; a server would answer with this status."""
+
+    status = 503
+
+
 def identifier(name: str) -> str:
     """A table or schema name in upper case; anything but letters, digits and underscores is refused."""
     if not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", name):
@@ -73,6 +85,8 @@ def metric_query(mart: DataFrame, surface: str, filters: Filters = Filters()) ->
         wanted += [F.col(known.date) >= F.lit(filters.start_date)] if filters.start_date else []
         wanted += [F.col(known.date) <= F.lit(filters.end_date)] if filters.end_date else []
         wanted += [F.col(n) == getattr(filters, n) for n in privacy.DIMENSIONS if getattr(filters, n)]
+    elif filters.privacy_surface:
+        wanted.append(F.col("privacy_surface") == filters.privacy_surface)
     rows = mart.filter(reduce(and_, wanted)) if wanted else mart
     return rows.select(*known.columns).orderBy(*known.order).limit(bounded(filters.limit))
 
@@ -87,29 +101,37 @@ def metadata_response(summary: DataFrame) -> dict:
     return row | {"surfaces": [s for s in (row["surfaces"] or "").split("||") if s.strip()]}
 
 
-def plain(value):
-    """A value as JSON can hold it: dates as ISO text, whole decimals as integers, others as floats."""
-    if isinstance(value, (dt.date, dt.datetime)):
-        return value.isoformat()
-    if isinstance(value, decimal.Decimal):
-        return int(value) if value == value.to_integral_value() else float(value)
-    return value
+def as_json(df: DataFrame) -> DataFrame:
+    """Columns of types that JSON has: days and times as ISO text, decimals as whole or floating numbers."""
+    out = {}
+    for name, kind in df.dtypes:
+        if kind == "date":
+            out[name] = F.date_format(name, "yyyy-MM-dd")
+        elif kind.startswith("timestamp"):
+            out[name] = F.date_format(name, "yyyy-MM-dd'T'HH:mm:ss")
+        elif kind.startswith("decimal"):
+            out[name] = F.col(name).cast("long" if kind.endswith(",0)") else "double")
+    return df.withColumns(out).toDF(*map(str.lower, df.columns))
 
 
 def fetch(df: DataFrame) -> list[dict]:
     """At most ``MOST_ROWS`` rows as plain dictionaries with lower-case names."""
-    return [{k.lower(): plain(v) for k, v in r.asDict().items()} for r in df.limit(MOST_ROWS).collect()]
+    return [r.asDict() for r in as_json(df).limit(MOST_ROWS).collect()]
 
 
 def respond(spark: SparkSession, mart: DataFrame, surface: str, filters: Filters, cfg: EngineConfig, purpose: str, log_path: str, actor: str | None = None) -> dict:
     """The rows of a surface in an envelope, after the access was logged. A log that fails does not fail the answer."""
     if not 1 <= len(purpose) <= 255:
         raise ValueError("a purpose has 1 to 255 characters")
-    rows = fetch(metric_query(mart, surface, filters))
+    query = metric_query(mart, surface, filters)
+    try:
+        rows = fetch(query)
+    except Exception as error:
+        raise SourceUnavailable(SURFACES[surface].name) from error
     hidden = sum(r.get("is_reportable") is False for r in rows)
-    asked = json.dumps({k: plain(v) for k, v in asdict(filters).items() if v}, sort_keys=True)
+    event = (actor or "anonymous", SURFACES[surface].name, purpose, json.dumps(filters.payload(), sort_keys=True), len(rows), hidden)
     try:
-        privacy.append_audit(privacy.audit_event(spark, cfg, actor or "anonymous", surface, purpose, asked, len(rows), hidden, str(uuid.uuid4())), log_path)
+        privacy.append_audit(privacy.audit_event(spark, cfg, *event, str(uuid.uuid4())), log_path)
         logged = True
     except Exception:  # the log is best effort, whatever keeps it from being written
         logged = False

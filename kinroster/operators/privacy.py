@@ -117,4 +117,12 @@ def audit_event(spark: SparkSession, cfg: EngineConfig, actor: str, surface: str
 
 
 def append_audit(event: DataFrame, path: str) -> None:
-    event.write.mode("append").parquet(path)
+    """Add to the log under ``path``, which is made if there is none."""
+    event.select(*empty_audit_log(event.sparkSession).columns).write.mode("append").parquet(path)
+
+
+def audit_log(spark: SparkSession, path: str) -> DataFrame:
+    """The log under ``path``; empty if nothing was logged yet."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(AUDIT).parquet(path) if there else empty_audit_log(spark)

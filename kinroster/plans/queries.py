@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import matching, names
 from ..functions import privacy as k_anonymity
-from ..operators import checks, metrics, residual
+from ..operators import checks, metrics, privacy, residual
 from ..sources import fixture
 from . import oracle
 from .engine import Engine
@@ -68,14 +68,21 @@ for _name in Engine.MODELS:
         query(_name, lambda e, n=_name: getattr(e, n), shown(_name))
 
 query("payroll_spells", lambda e: e.payroll_spells.withColumn("gross_amount_cad_avg_per_period", F.col("gross_amount_cad_total").cast("double") / F.col("pay_period_count")), ORACLES["payroll_spells"])
-# A row for each spell, from all of its days: the days themselves are checked by key.
+# A row for each spell, from all of its days; ``content`` adds up a hash of every column of every day.
+_DAY = ("daily_workforce_key", "snapshot_date", "employee_sk", "canonical_person_id", "department", "location", "employment_type", "is_active_on_date", "is_hire_date", "is_termination_date", "tenure_days")
+
+
+def _by_spell(e: Engine) -> DataFrame:
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in _DAY])
+    content = F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")).alias("content")
+    return e.workforce_daily.groupBy("employee_sk").agg(F.count("*").alias("days"), F.min("snapshot_date").alias("first_day"), F.max("snapshot_date").alias("last_day"), content)
+
+
 query(
     "workforce_daily",
-    lambda e: e.workforce_daily.groupBy("employee_sk").agg(
-        F.count("*").alias("days"), F.min("snapshot_date").alias("first_day"), F.max("snapshot_date").alias("last_day"), F.count_if("is_active_on_date").alias("active_days"), F.count_if("is_hire_date").alias("hire_days"),
-        F.count_if("is_termination_date").alias("termination_days"), F.sum("tenure_days").alias("tenure"), F.min("daily_workforce_key").alias("least_key"), F.max("daily_workforce_key").alias("greatest_key"),
-    ),
-    "SELECT employee_sk, count(*) AS days, min(snapshot_date) AS first_day, max(snapshot_date) AS last_day, count(*) FILTER (is_active_on_date) AS active_days, count(*) FILTER (is_hire_date) AS hire_days, count(*) FILTER (is_termination_date) AS termination_days, sum(tenure_days)::BIGINT AS tenure, min(daily_workforce_key) AS least_key, max(daily_workforce_key) AS greatest_key FROM workforce_daily GROUP BY 1",
+    _by_spell,
+    "SELECT employee_sk, count(*) AS days, min(snapshot_date) AS first_day, max(snapshot_date) AS last_day, sum(CAST('0x' || substr(md5(concat_ws('|', "
+    + ", ".join(f"coalesce({c}::VARCHAR, '~')" for c in _DAY) + ")), 1, 8) AS BIGINT))::BIGINT AS content FROM workforce_daily GROUP BY 1",
 )
 
 # Metric queries and what the dashboard shows.
@@ -92,6 +99,7 @@ def surface_sql(name: str, table: str, where: str) -> str:
 query("metric_headcount_filtered", lambda e: metrics.metric_query(e.headcount_daily, "headcount", _FIRST_QUARTER), surface_sql("headcount", "headcount_daily", f"snapshot_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' AND {_WHERE}"))
 query("metric_attrition_filtered", lambda e: metrics.metric_query(e.attrition_monthly, "attrition", _FIRST_QUARTER), surface_sql("attrition", "attrition_monthly", f"month_start_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' AND {_WHERE}"))
 query("metric_suppression", lambda e: metrics.metric_query(e.suppression_summary, "suppression", metrics.Filters(limit=100)), surface_sql("suppression", "suppression_summary", "true"))
+query("metric_suppression_of_one", lambda e: metrics.metric_query(e.suppression_summary, "suppression", metrics.Filters(privacy_surface="workforce_headcount_daily")), surface_sql("suppression", "suppression_summary", "privacy_surface = 'workforce_headcount_daily'"))
 query("metric_metadata", lambda e: metrics.metadata(e.suppression_summary), "SELECT string_agg(privacy_surface, '||' ORDER BY privacy_surface) AS surfaces, count(*) AS surface_count, sum(row_count)::BIGINT AS row_count, count(*) FILTER (suppressed_row_count > 0) AS surfaces_with_suppression, min(k_anonymity_threshold) AS k_anonymity_threshold FROM suppression_summary")
 query("dashboard_headcount_trend", lambda e: metrics.headcount_trend(e.headcount_daily), "SELECT snapshot_date, sum(headcount)::BIGINT AS headcount FROM headcount_daily WHERE is_reportable GROUP BY 1")
 query("dashboard_attrition_trend", lambda e: metrics.attrition_trend(e.attrition_monthly).withColumn("attrition_rate", F.round("attrition_rate", 9)), "SELECT month_start_date, round(avg(attrition_rate), 9) AS attrition_rate FROM attrition_monthly WHERE attrition_rate IS NOT NULL GROUP BY 1")
@@ -100,6 +108,26 @@ query("dashboard_latest_attrition", lambda e: metrics.latest_attrition(e.attriti
 query("dashboard_suppression", lambda e: metrics.suppression_kpis(e.suppression_summary), "SELECT sum(reportable_row_count)::BIGINT AS reportable_rows, sum(suppressed_row_count)::DOUBLE / sum(row_count)::DOUBLE AS suppression_rate FROM suppression_summary")
 query("dashboard_window", lambda e: metrics.default_window(e.headcount_daily), "SELECT greatest(min(snapshot_date), max(snapshot_date) - 6) AS start_date, max(snapshot_date) AS end_date FROM headcount_daily")
 
+_ASKED = metrics.Filters(dt.date(1998, 1, 1), dt.date(1998, 1, 31), None, None, "FTE", 50)
+
+
+def _audited(e: Engine) -> DataFrame:
+    """Two answers, and what the log then holds; event ids are random."""
+    log = f"{e.store.path}/audit"
+    for surface, mart in (("headcount", e.headcount_daily), ("suppression", e.suppression_summary)):
+        metrics.respond(e.spark, mart, surface, _ASKED, e.cfg, "review", log, "analyst" if surface == "headcount" else None)
+    return privacy.audit_log(e.spark, log).drop("audit_event_id")
+
+
+def _logged(actor: str, surface: str, rows: str, hidden: str) -> str:
+    return f"""SELECT '2001-12-31 00:00:00' AS audited_at, '{actor}' AS actor, '{surface}' AS query_surface, 'review' AS purpose,
+ '{{"employment_type": "FTE", "end_date": "1998-01-31", "limit": 50, "start_date": "1998-01-01"}}' AS filters_json, 5 AS k_anonymity_threshold, ({rows})::BIGINT AS result_row_count, ({hidden})::BIGINT AS suppressed_row_count,
+ 'k-anonymity-v1' AS privacy_policy_version, NULL::VARCHAR AS dbt_invocation_id"""
+
+
+_SHOWN = "SELECT is_reportable FROM headcount_daily WHERE snapshot_date BETWEEN DATE '1998-01-01' AND DATE '1998-01-31' AND employment_type = 'FTE' ORDER BY snapshot_date, department, location, employment_type LIMIT 50"
+query("privacy_audit_log", _audited, _logged("analyst", "workforce_headcount_daily", f"SELECT count(*) FROM ({_SHOWN})", f"SELECT count(*) FROM ({_SHOWN}) WHERE NOT is_reportable") + " UNION ALL " + _logged("anonymous", "privacy_suppression_summary", "SELECT count(*) FROM suppression_summary", "0"))
+
 # Golden cases of the scalar functions.
 NAME_CASES = ("Robert", "  Robert  ", "Édouard", "Anaïs", "Mary-Jane", "O'Brien", "Jean Paul", "Núñez", "François", "", None, "Robert3", "张伟", "محمد", "Łukasz")
 ROOT_CASES = ("Robert", "Bob", "Bobby", "Rob", "Liz", "Beth", "Raj", "Paco", "Aiden", "Steve", "  BoB  ", "Mária", "", None)
@@ -160,9 +188,7 @@ query("proxy_evaluation", lambda e: _reviewed(e, residual.proxy_evaluation), ora
 
 # Data checks, with the number of rows that break each rule.
 def _counts(e: Engine, *parts: str) -> DataFrame:
-    found = {n: df for n, df in checks.all_checks(e).items() if any(p in n for p in parts)}
-    rows = [df.agg(F.count("*").alias("violations")).select(F.lit(n).alias("check_name"), "violations") for n, df in sorted(found.items())]
-    return reduce(DataFrame.unionByName, rows)
+    return _violations({n: df for n, df in checks.all_checks(e).items() if any(p in n for p in parts)})
 
 
 _BREAKS = {
@@ -191,6 +217,29 @@ _BREAKS = {
 }
 
 
+_STAGED = {
+    **{f"{t}.{c}.not_null": f"SELECT 1 FROM {t} WHERE {c} IS NULL" for t, (needed, *_) in checks.STAGED.items() for c in needed},
+    **{f"{t}.{key}.unique": f"SELECT 1 FROM {t} WHERE {key} IS NOT NULL GROUP BY {key} HAVING count(*) > 1" for t, (_, key, *_) in checks.STAGED.items()},
+    **{f"{t}.{c}.accepted_values": f"SELECT 1 FROM {t} WHERE {c} NOT IN ({', '.join(repr(v) for v in values)})" for t, (_, _, codes, _) in checks.STAGED.items() for c, values in codes.items()},
+    **{f"{t}.{c}.relationship": f"SELECT 1 FROM {t} WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {to} o WHERE o.{at} = {t}.{c})" for t, (*_, links) in checks.STAGED.items() for c, (to, at) in links.items()},
+    "stg_payroll.period.in_order": "SELECT 1 FROM stg_payroll WHERE pay_period_start > pay_period_end",
+    "identity_source_nodes.system_and_key.unique": "SELECT 1 FROM identity_source_nodes GROUP BY source_system, source_record_key HAVING count(*) > 1",
+}
+
+
+def _violations(found: dict[str, DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("violations")).select(F.lit(n).alias("check_name"), "violations") for n, df in sorted(found.items())])
+
+
+query("checks_staged", lambda e: _violations(checks.staged_checks(e)), " UNION ALL ".join(f"SELECT '{n}' AS check_name, (SELECT count(*) FROM ({text})) AS violations" for n, text in _STAGED.items()))
+_FRESH = "SELECT max(loaded_at) AS loaded FROM {0}"
+query(
+    "source_freshness",
+    lambda e: reduce(DataFrame.unionByName, [checks.freshness(getattr(e, t), "loaded_at", e.cfg.as_of).select(F.lit(t).alias("source"), F.date_format("loaded", "yyyy-MM-dd HH:mm:ss").alias("loaded"), "state") for t in checks.STAGED]),
+    " UNION ALL ".join(f"SELECT '{t}' AS source, strftime(loaded, '%Y-%m-%d %H:%M:%S') AS loaded, CASE WHEN loaded IS NULL OR date_diff('day', loaded::DATE, {oracle.AS_OF}) > 30 THEN 'ERROR' WHEN date_diff('day', loaded::DATE, {oracle.AS_OF}) > 7 THEN 'WARN' ELSE 'PASS' END AS state FROM ({_FRESH.format(t)})" for t in checks.STAGED),
+)
+
+
 def _checks(name: str, *parts: str) -> None:
     wanted = sorted(n for n in _BREAKS if any(p in f"check_{n}" for p in parts))
     query(name, lambda e: _counts(e, *parts), " UNION ALL ".join(f"SELECT 'check_{n}' AS check_name, (SELECT count(*) FROM ({_BREAKS[n]})) AS violations" for n in wanted))

@@ -1,4 +1,5 @@
 import datetime as dt
+import json
 import random
 from types import SimpleNamespace
 
@@ -210,8 +211,13 @@ def test_metrics_are_filtered_and_logged(spark, engine, tmp_path):
     assert answer["row_count"] == len(answer["data"]) <= 50 and answer["audit_logged"]
     assert {r["employment_type"] for r in answer["data"]} == {"FTE"} and answer["suppressed_row_count"] == sum(not r["is_reportable"] for r in answer["data"])
     log = spark.read.parquet(str(tmp_path / "log")).first()
-    assert (log["actor"], log["query_surface"], log["result_row_count"], log["dbt_invocation_id"]) == ("anonymous", "headcount", answer["row_count"], "r1")
+    assert (log["actor"], log["query_surface"], log["result_row_count"], log["dbt_invocation_id"]) == ("anonymous", "workforce_headcount_daily", answer["row_count"], "r1")
     assert not metrics.respond(spark, engine.suppression_summary, "suppression", metrics.Filters(), cfg, "x", "/proc/none/log")["audit_logged"]
+    assert json.loads(log["filters_json"]) == {"start_date": "1998-01-01", "end_date": "1998-01-31", "department": "", "employment_type": "FTE", "limit": 50}
+    assert privacy.audit_log(spark, str(tmp_path / "log")).count() == 1 and privacy.audit_log(spark, str(tmp_path / "none")).count() == 0
+    gone = spark.createDataFrame([(1,)], "snapshot_date int").withColumns({c: F.raise_error(F.lit("gone")) for c in metrics.SURFACES["headcount"].columns[1:]})
+    with pytest.raises(metrics.SourceUnavailable):
+        metrics.respond(spark, gone, "headcount", metrics.Filters(), cfg, "x", str(tmp_path / "log"))
     with pytest.raises(metrics.UnknownSurface):
         metrics.metric_query(engine.headcount_daily, "salaries")
 

@@ -1,5 +1,3 @@
-import datetime as dt
-
 import pandas as pd
 import pytest
 from hypothesis import given
@@ -74,9 +72,13 @@ def test_indel():
     assert indel("", "a") is None and indel(None, "a") is None
 
 
+def test_rows_as_json(spark):
+    df = spark.sql("SELECT DATE '2020-01-02' AS Day, TIMESTAMP_NTZ '2020-01-02 03:04:05' AS at, CAST(7 AS DECIMAL(9, 0)) AS n, CAST(1.25 AS DECIMAL(9, 2)) AS x, 'a' AS s, CAST(NULL AS DATE) AS none")
+    assert metrics.fetch(df) == [{"day": "2020-01-02", "at": "2020-01-02T03:04:05", "n": 7, "x": 1.25, "s": "a", "none": None}]
+
+
 def test_metric_helpers():
     assert metrics.identifier("abc_1") == "ABC_1"
     with pytest.raises(ValueError):
         metrics.identifier("a; drop")
     assert [metrics.bounded(n) for n in (0, 7, 9999)] == [1, 7, 5000]
-    assert metrics.plain(dt.date(2020, 1, 2)) == "2020-01-02"
