@@ -17,7 +17,7 @@ def norm(name: str) -> str:
     return f"regexp_replace(lower(translate(trim({name}), '{FOLDED}', '{PLAIN}')), '[^a-z]', '', 'g')"
 
 
-_LONG = "MAP {" + ", ".join(f"'{s}': '{long}'" for long, names in NICKNAMES.items() for s in names.split()) + "}"
+_LONG = "MAP {" + ", ".join(f"'{s}': '{long}'" for s, long in NICKNAMES.items()) + "}"
 
 
 def root(name: str) -> str:

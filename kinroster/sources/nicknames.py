@@ -4,19 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Nicknames by canonical first name. Ambiguous ones (steve, kate, alex, sam, chris, ...) are left out on purpose.
+#: Nickname and canonical first name. Ambiguous ones (steve, kate, alex, sam, chris, ...) are left out on purpose.
 NICKNAMES = {
-    "robert": "bob bobby rob", "william": "bill billy will", "richard": "dick rich", "james": "jim jimmy jamie", "john": "jack johnny",
-    "michael": "mike mikey", "matthew": "matt matty", "joshua": "josh", "daniel": "dan danny", "david": "dave davey", "anthony": "tony",
-    "thomas": "tom tommy", "joseph": "joe joey", "benjamin": "ben benny", "nicholas": "nick nicky", "alexander": "xander", "jonathan": "jon jonny",
-    "patrick": "paddy", "timothy": "tim timmy", "gregory": "greg gregg", "frederick": "fred freddie", "lawrence": "larry",
-    "elizabeth": "liz beth eliza lizzie betty", "margaret": "maggie meg peggy marge", "patricia": "patty trish tricia", "jennifer": "jen jenny jenni",
-    "jessica": "jess jessie", "stephanie": "stephie", "rebecca": "becky becca", "deborah": "deb debbie", "barbara": "barb babs", "susan": "sue susie",
-    "victoria": "vicky tori", "nicole": "nicki nikki", "rajesh": "raj", "manpreet": "mani", "jaspreet": "jas", "surinder": "sunny", "inderjit": "indy",
-    "abdullah": "abdul abdi", "francisco": "paco cisco", "roberto": "beto", "eduardo": "lalo",
+    "bob": "robert", "bobby": "robert", "rob": "robert", "bill": "william", "billy": "william", "will": "william",
+    "dick": "richard", "rich": "richard", "jim": "james", "jimmy": "james", "jamie": "james", "jack": "john",
+    "johnny": "john", "mike": "michael", "mikey": "michael", "matt": "matthew", "matty": "matthew", "josh": "joshua",
+    "dan": "daniel", "danny": "daniel", "dave": "david", "davey": "david", "tony": "anthony", "tom": "thomas",
+    "tommy": "thomas", "joe": "joseph", "joey": "joseph", "ben": "benjamin", "benny": "benjamin", "nick": "nicholas",
+    "nicky": "nicholas", "xander": "alexander", "jon": "jonathan", "jonny": "jonathan", "paddy": "patrick",
+    "tim": "timothy", "timmy": "timothy", "greg": "gregory", "gregg": "gregory", "fred": "frederick",
+    "freddie": "frederick", "larry": "lawrence", "liz": "elizabeth", "beth": "elizabeth", "eliza": "elizabeth",
+    "lizzie": "elizabeth", "betty": "elizabeth", "maggie": "margaret", "meg": "margaret", "peggy": "margaret",
+    "marge": "margaret", "patty": "patricia", "trish": "patricia", "tricia": "patricia", "jen": "jennifer",
+    "jenny": "jennifer", "jenni": "jennifer", "jess": "jessica", "jessie": "jessica", "stephie": "stephanie",
+    "becky": "rebecca", "becca": "rebecca", "deb": "deborah", "debbie": "deborah", "barb": "barbara",
+    "babs": "barbara", "sue": "susan", "susie": "susan", "vicky": "victoria", "tori": "victoria", "nicki": "nicole",
+    "nikki": "nicole", "raj": "rajesh", "mani": "manpreet", "jas": "jaspreet", "sunny": "surinder",
+    "indy": "inderjit", "abdul": "abdullah", "abdi": "abdullah", "paco": "francisco", "cisco": "francisco",
+    "beto": "roberto", "lalo": "eduardo",
 }
 
 
 def nickname_map(spark: SparkSession) -> DataFrame:
-    rows = [(short, long) for long, names in NICKNAMES.items() for short in names.split()]
-    return spark.createDataFrame(rows, "nickname string, canonical_first_name string")
+    return spark.createDataFrame(list(NICKNAMES.items()), "nickname string, canonical_first_name string")

@@ -6,13 +6,14 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
+from kinroster.__main__ import main
 from kinroster.config import EngineConfig
 from kinroster.functions.similarity import indel
 from kinroster.operators import checks, metrics, privacy, residual, staging, workforce
 from kinroster.operators.persons import dms_erp_unified, hris_persons
 from kinroster.plans import oracle, queries
 from kinroster.plans.engine import Engine
-from kinroster.sources import fixture
+from kinroster.sources import fixture, generator, raw
 
 SF = "/root/testdata/sf0.001"
 AS_OF = dt.date(2024, 12, 31)
@@ -222,6 +223,48 @@ def test_metrics_are_filtered_and_logged(spark, engine, tmp_path):
         metrics.metric_query(engine.headcount_daily, "salaries")
 
 
+def test_raw_tables_and_commands(spark, tmp_path):
+    """Raw tables are loaded, read in both formats, and give the same candidates, report and evaluation by command."""
+    derived = fixture.sources(spark, SF)
+    for name, df in derived.items():
+        raw.load(df, str(tmp_path / "raw"), name)
+        raw.shaped(df, name).write.option("header", True).csv(str(tmp_path / "csv" / f"{name}.csv"))
+    for kind, folder in (("parquet", "raw"), ("csv", "csv")):
+        tables = raw.read(spark, str(tmp_path / folder), kind)
+        assert tables.keys() == derived.keys() and all(df.count() == derived[n].count() for n, df in tables.items())
+    assert tables["payroll_records"].exceptAll(raw.shaped(derived["payroll_records"], "payroll_records")).count() == 0
+    with pytest.raises(ValueError, match="termination_date"):
+        raw.shaped(derived["hris_employees"].drop("termination_date"), "hris_employees")
+    given = ["--raw", str(tmp_path / "raw")]
+    main(["residual-candidates", *given, "--out", str(tmp_path / "csv_out"), "--limit", "200"], spark)
+    rows = spark.read.option("header", True).csv(str(tmp_path / "csv_out"))
+    assert rows.columns[:3] == ["source_record_key", "source_system", "candidate_canonical_person_id"] and rows.count() > 0
+    main(["residual-evaluate", *given, "--out", str(tmp_path / "eval"), "--limit", "200"], spark)
+    found = json.loads("\n".join(r[0] for r in spark.read.text(str(tmp_path / "eval" / "metrics.json")).collect()))
+    assert found["evaluated_source_count"] >= found["top_k_alignment_count"] >= found["top_1_alignment_count"]
+    assert spark.read.text(str(tmp_path / "eval" / "report.md")).first()[0] == "# Alignment with hints"
+
+
+def test_generated_staff(spark):
+    """Shares and links are as declared, the same arguments give the same rows, and the engine's checks hold on them."""
+    made, again = (generator.generate(spark, 400) for _ in range(2))
+    assert all(df.exceptAll(again[n]).count() == 0 for n, df in made.items())
+    assert generator.generate(spark, 50, seed=1)["dms_users"].exceptAll(made["dms_users"]).count() > 0
+    n = {name: df.count() for name, df in made.items()}
+    spells = n["dms_users"]
+    assert 400 <= spells <= 440 and n["ats_candidates"] == n["erp_users"] == spells <= n["hris_employees"]
+    assert 0.15 < n["crm_sales_reps"] / spells < 0.4 and n["payroll_records"] > 5 * spells
+    e = Engine(spark, made, EngineConfig(as_of=dt.date(2026, 5, 5)))
+    assert e.hris_persons.count() == 400
+    broken = e.dms_erp_unified.filter("has_broken_link").count()
+    assert 0.05 < broken / spells < 0.16 and e.identity_source_nodes.count() == 400 + 3 * spells + broken + n["crm_sales_reps"]
+    bad = {name: df.count() for name, df in checks.staged_checks(e).items()}
+    assert not any(bad.values())
+    queued = {r[0]: r[1] for r in e.stewardship_queue.groupBy("source_system").count().collect()}
+    assert queued["PAYROLL"] == spells and 0 < queued["ATS"] < 0.2 * spells and 0 < queued["DMS_ERP"] < spells
+    e.drop()
+
+
 def test_generic_checks(spark):
     df = spark.createDataFrame([(1, "a"), (1, "b"), (2, None)], "k int, v string")
     assert checks.not_null(df, "v").count() == 1 and checks.unique(df, "k").count() == 1 and checks.unique(df, "k", "v").count() == 0
