@@ -5,8 +5,11 @@ set is embedded into ``COORDINATES`` min-hash tokens, so two sets share about as
 their Jaccard similarity says. In each run all sets start in one bucket. A bucket is split on
 tokens that it samples, 1 / threshold of them on average, so a pair at the threshold stays together
 on one path on average. Buckets of up to ``SMALL`` sets are compared pair by pair, on their
-min-hashes with a wide margin, and give a spanning forest of what agrees; larger ones are split again. A bucket that is still large after
-``DEPTH`` splits holds sets that are nearly alike, and is linked as a whole. The runs are
+min-hashes with a wide margin, and give a spanning forest of what agrees. In a larger bucket all sets
+are compared with one of them. Those that agree are one linked group already; if no more than
+``SMALL`` do not, these are compared with all of the bucket, and the bucket is finished. So a group of
+near copies of any size is not split. Other large buckets are split again; one that is still large
+after ``DEPTH`` splits is linked as a whole. The runs are
 independent. There are enough of them for pairs that meet in a small bucket after the first splits;
 sets whose buckets were split further take part in more runs, as many as the full depth needs.
 Together a pair at the threshold is missed with probability ``1 - RECALL`` at most, over the spread
@@ -179,6 +182,49 @@ def edges_of(pdf: pd.DataFrame, cut: np.ndarray, least: float) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
+def agreeing(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Whether sets agree with their bucket's leader."""
+    for pdf in batches:
+        if len(pdf):
+            linked = (as_signatures(pdf["sig"]) == as_signatures(pdf["leader_sig"])).mean(axis=1) >= least
+            yield pd.DataFrame({"path": pdf["path"], "sid": pdf["sid"], "leader": pdf["leader"], "linked": linked})
+
+
+def stranger_edges(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    """Edges of sets with those of the few strangers of their bucket that they agree with."""
+    for pdf in batches:
+        found = []
+        for sid, sig, strangers in zip(pdf["sid"], as_signatures(pdf["sig"]) if len(pdf) else [], pdf["strangers"], strict=True):
+            agree = (as_signatures([x["sig"] for x in strangers]) == sig).mean(axis=1) >= least
+            found += [(x["sid"], sid) for x, hit in zip(strangers, agree, strict=True) if hit and x["sid"] != sid]
+        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    return F.broadcast(rows) if rows.limit(BROADCAST_SETS + 1).count() <= BROADCAST_SETS else rows
+
+
+def finished(large: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """Edges of the large buckets that need no further split, and the rows of the others (``path, sid``).
+
+    A bucket's leader is drawn by a hash. Sets that agree with it form one group; the others must be
+    few, and are compared with the whole bucket, so no pair of the bucket is lost.
+    """
+    signed = sets.select("sid", "sig")
+    chosen = large.groupBy("path").agg(F.min_by("sid", F.xxhash64("path", "sid")).alias("leader"))
+    leaders = support.written(chosen.join(signed.select(F.col("sid").alias("leader"), F.col("sig").alias("leader_sig")), "leader"), "leaders")
+    judged = large.join(signed, "sid").join(bounded(leaders), "path").mapInPandas(lambda batches: agreeing(batches, least), "path long, sid long, leader long, linked boolean")
+    judged = support.written(judged, "judged")
+    others = support.written(judged.groupBy("path").agg(F.count_if(~F.col("linked")).alias("others")), "others")
+    alike = bounded(others.filter(F.col("others") <= SMALL).select("path", "others"))
+    edges = judged.join(alike, "path").filter("linked AND sid != leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
+    strange = judged.filter("NOT linked").join(alike, "path").join(signed, "sid").groupBy("path").agg(F.collect_list(F.struct("sid", "sig")).alias("strangers"))
+    strange = support.written(strange, "strangers")
+    beside = judged.join(bounded(strange), "path").join(signed, "sid").select("sid", "sig", "strangers").mapInPandas(lambda batches: stranger_edges(batches, least), "a long, b long")
+    crowded = bounded(others.filter(F.col("others") > SMALL).select("path"))
+    return support.written(edges.union(beside).distinct(), "alike"), judged.join(crowded, "path").select("path", "sid")
+
+
 def bucketed(sets: DataFrame, runs: range, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
     """Small buckets, links of large ones, and the ids of sets whose buckets were split beyond the first step, if any."""
     paths = support.written(first_paths(sets, runs, threshold), "paths")
@@ -190,7 +236,10 @@ def bucketed(sets: DataFrame, runs: range, threshold: float) -> tuple[list[DataF
         many = sizes.filter(F.col("n") > SMALL).select("path")
         if not many.limit(1).count():
             break
-        large = paths.join(many, "path")
+        edges, large = finished(paths.join(many, "path"), sets, threshold - MARGIN)
+        linked.append(edges)
+        if not large.limit(1).count():
+            break
         if depth == FIRST_DEPTH + STEP:
             deep = support.written(large.select("sid").distinct(), "deep")
         if depth >= DEPTH:
@@ -344,7 +393,6 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     key = ["doc_id", "text_hash"]
     gone = flags.filter("NOT is_kept").select(*key).distinct()
     twins = flags.filter("is_kept AND n_links > 0").groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").select(*key)
-    bounded = lambda rows: F.broadcast(rows) if rows.count() <= BROADCAST_SETS else rows
     same = lambda rows: F.xxhash64(text_column).eqNullSafe(rows["text_hash"]) & df[id_column].cast("long").eqNullSafe(rows["doc_id"])
     gone, twins = bounded(support.written(gone, "gone")), bounded(support.written(twins, "twins"))
     left = df.join(gone, same(gone), "left_anti")

@@ -87,15 +87,29 @@ def test_runs_reach_the_recall_in_crowded_buckets(spark, monkeypatch):
 
     taken, paths = [], jaccard.first_paths
     monkeypatch.setattr(jaccard, "first_paths", lambda sets, runs, threshold: taken.append((sets.count(), runs)) or paths(sets, runs, threshold))
-    group = [f"g{i}" for i in range(200)]
-    texts = [" ".join([*group[:k], f"x{k}", *group[k + 1 :]]) for k in range(100)] + [f"nothing like that number {k} at all" for k in range(30)]
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    shared = [f"g{i}" for i in range(60)]  # alike enough to meet, not enough to be linked
+    texts = [" ".join([*shared, *(f"o{k}x{i}" for i in range(35))]) for k in range(300)] + [f"nothing like that number {k} at all" for k in range(30)]
     jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     (every, first), (crowded, more) = taken
-    assert every == 130 and 50 < crowded <= 100 and first.stop == more.start
+    assert every == 330 and 8 < crowded <= 300 and first.stop == more.start
     assert lost(jaccard.FIRST_DEPTH + jaccard.STEP, len(first)) + lost(jaccard.DEPTH, len(first) + len(more)) <= 1.2e-4  # the spread is sampled
     assert lost(jaccard.DEPTH, jaccard.runs_for(depth=jaccard.DEPTH)) <= 1.2e-4
 
 
+def test_near_copies_are_not_split(spark, monkeypatch):
+    """A large group of near copies with a few strangers: finished in the first step, and every link is found."""
+    splits, longer = [], jaccard.longer_paths
+    monkeypatch.setattr(jaccard, "longer_paths", lambda paths, threshold: splits.append(paths.count()) or longer(paths, threshold))
+    group = [f"g{i}" for i in range(200)]
+    texts = [" ".join([*group[:k], f"x{k}", *group[k + 1 :]]) for k in range(150)]
+    texts += [" ".join([*group[:-n], *(f"y{n}z{i}" for i in range(n))]) for n in (10, 20, 25, 30, 40, 80)] + [f"other words number {k} here" for k in range(20)]
+    out = frame(jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).sort_values("doc_id")
+    links, roots = brute_links(texts)
+    assert out.n_links.tolist() == [links[i] for i in range(len(texts))] and out.class_id.tolist() == roots
+    assert sum(splits) <= 10 * len(texts)  # a leader may be a stranger; without leaders it is some 500 times
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
