@@ -5,12 +5,11 @@ set is embedded into ``COORDINATES`` min-hash tokens, so two sets share about as
 their Jaccard similarity says. In each run all sets start in one bucket. A bucket is split on
 tokens that it samples, 1 / threshold of them on average, so a pair at the threshold stays together
 on one path on average. Buckets of up to ``SMALL`` sets are compared pair by pair, on their
-min-hashes with a wide margin, and give a spanning forest of what agrees. In a larger bucket all sets
-are compared with one of them. Those that agree are one linked group already; if no more than
-``SMALL`` do not, these are compared with all of the bucket, and the bucket is finished. So a group of
-near copies of any size is not split. Other large buckets are split again; one that is still large
-after ``DEPTH`` splits is linked as a whole. The runs are
-independent. There are enough of them for pairs that meet in a small bucket after the first splits;
+min-hashes with a wide margin, and give a spanning forest of what agrees; larger ones are split
+again. In a bucket of more than ``BIG`` sets all are compared with one of them before. Those that agree
+are one linked group already; if no more than ``SMALL`` do not, these are compared with all of the
+bucket, and the bucket is finished. So a group of near copies of any size is not split. A bucket that
+is still large after ``DEPTH`` splits is linked as a whole. The runs are independent. There are enough of them for pairs that meet in a small bucket after the first splits;
 sets whose buckets were split further take part in more runs, as many as the full depth needs.
 Together a pair at the threshold is missed with probability ``1 - RECALL`` at most, over the spread
 of shared tokens too.
@@ -34,7 +33,7 @@ from . import graph, support, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 COORDINATES, FIRST_DEPTH, DEPTH, STEP = 128, 3, 9, 2
-RECALL, SMALL = 0.9999, 48
+RECALL, SMALL, BIG = 0.9999, 48, 512
 #: Min-hash agreement may fall so far below the threshold, 5.7 standard deviations at 0.8.
 MARGIN = 0.2
 #: Sets in a tile's side, and so many representatives at most are broadcast.
@@ -191,13 +190,16 @@ def agreeing(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataF
 
 
 def stranger_edges(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    """Edges of sets with those of the few strangers of their bucket that they agree with."""
+    """Edges of the few strangers of a bucket with each other, and of each with one of the linked sets that it agrees with, for each batch."""
     for pdf in batches:
-        found = []
-        for sid, sig, strangers in zip(pdf["sid"], as_signatures(pdf["sig"]) if len(pdf) else [], pdf["strangers"], strict=True):
+        found: dict[tuple, int] = {}
+        signatures = as_signatures(pdf["sig"]) if len(pdf) else []
+        for path, sid, linked, sig, strangers in zip(pdf["path"], pdf["sid"], pdf["linked"], signatures, pdf["strangers"], strict=True):
             agree = (as_signatures([x["sig"] for x in strangers]) == sig).mean(axis=1) >= least
-            found += [(x["sid"], sid) for x, hit in zip(strangers, agree, strict=True) if hit and x["sid"] != sid]
-        yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            for x, hit in zip(strangers, agree, strict=True):
+                if hit and x["sid"] != sid:
+                    found.setdefault((path, x["sid"], None if linked else sid), sid)
+        yield pd.DataFrame([(key[1], sid) for key, sid in found.items()], columns=["a", "b"], dtype="int64")
 
 
 def bounded(rows: DataFrame) -> DataFrame:
@@ -212,17 +214,19 @@ def finished(large: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame
     """
     signed = sets.select("sid", "sig")
     chosen = large.groupBy("path").agg(F.min_by("sid", F.xxhash64("path", "sid")).alias("leader"))
-    leaders = support.written(chosen.join(signed.select(F.col("sid").alias("leader"), F.col("sig").alias("leader_sig")), "leader"), "leaders")
-    judged = large.join(signed, "sid").join(bounded(leaders), "path").mapInPandas(lambda batches: agreeing(batches, least), "path long, sid long, leader long, linked boolean")
+    leaders = support.written(signed.select(F.col("sid").alias("leader"), F.col("sig").alias("leader_sig")).join(bounded(chosen), "leader"), "leaders")
+    judged = signed.join(bounded(large), "sid").join(bounded(leaders), "path").mapInPandas(lambda batches: agreeing(batches, least), "path long, sid long, leader long, linked boolean")
     judged = support.written(judged, "judged")
     others = support.written(judged.groupBy("path").agg(F.count_if(~F.col("linked")).alias("others")), "others")
-    alike = bounded(others.filter(F.col("others") <= SMALL).select("path", "others"))
+    alike = bounded(others.filter(F.col("others") <= SMALL).select("path"))
     edges = judged.join(alike, "path").filter("linked AND sid != leader").select(F.col("leader").alias("a"), F.col("sid").alias("b"))
-    strange = judged.filter("NOT linked").join(alike, "path").join(signed, "sid").groupBy("path").agg(F.collect_list(F.struct("sid", "sig")).alias("strangers"))
+    strange = signed.join(bounded(judged.filter("NOT linked").join(alike, "path")), "sid").groupBy("path").agg(F.collect_list(F.struct("sid", "sig")).alias("strangers"))
     strange = support.written(strange, "strangers")
-    beside = judged.join(bounded(strange), "path").join(signed, "sid").select("sid", "sig", "strangers").mapInPandas(lambda batches: stranger_edges(batches, least), "a long, b long")
+    met = judged.select("path", "sid", "linked").join(bounded(strange.select("path")), "path")
+    beside = signed.join(bounded(met), "sid").join(bounded(strange), "path").select("path", "sid", "linked", "sig", "strangers")
+    beside = beside.mapInPandas(lambda batches: stranger_edges(batches, least), "a long, b long")
     crowded = bounded(others.filter(F.col("others") > SMALL).select("path"))
-    return support.written(edges.union(beside).distinct(), "alike"), judged.join(crowded, "path").select("path", "sid")
+    return support.written(edges.union(beside), "alike"), judged.join(crowded, "path").select("path", "sid")
 
 
 def bucketed(sets: DataFrame, runs: range, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
@@ -236,10 +240,14 @@ def bucketed(sets: DataFrame, runs: range, threshold: float) -> tuple[list[DataF
         many = sizes.filter(F.col("n") > SMALL).select("path")
         if not many.limit(1).count():
             break
-        edges, large = finished(paths.join(many, "path"), sets, threshold - MARGIN)
-        linked.append(edges)
-        if not large.limit(1).count():
-            break
+        large = paths.join(many, "path")
+        big = sizes.filter(F.col("n") > BIG).select("path")
+        if big.limit(1).count():
+            edges, rest = finished(paths.join(big, "path"), sets, threshold - MARGIN)
+            linked.append(edges)
+            large = paths.join(sizes.filter((F.col("n") > SMALL) & (F.col("n") <= BIG)).select("path"), "path").select("path", "sid").union(rest)
+            if not large.limit(1).count():
+                break
         if depth == FIRST_DEPTH + STEP:
             deep = support.written(large.select("sid").distinct(), "deep")
         if depth >= DEPTH:

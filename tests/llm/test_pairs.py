@@ -101,6 +101,7 @@ def test_near_copies_are_not_split(spark, monkeypatch):
     """A large group of near copies with a few strangers: finished in the first step, and every link is found."""
     splits, longer = [], jaccard.longer_paths
     monkeypatch.setattr(jaccard, "longer_paths", lambda paths, threshold: splits.append(paths.count()) or longer(paths, threshold))
+    monkeypatch.setattr(jaccard, "BIG", 64)
     group = [f"g{i}" for i in range(200)]
     texts = [" ".join([*group[:k], f"x{k}", *group[k + 1 :]]) for k in range(150)]
     texts += [" ".join([*group[:-n], *(f"y{n}z{i}" for i in range(n))]) for n in (10, 20, 25, 30, 40, 80)] + [f"other words number {k} here" for k in range(20)]
