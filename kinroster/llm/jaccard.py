@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import graph, support, words
 
 SHINGLE, THRESHOLD = 5, 0.8
-COORDINATES, FIRST_DEPTH, DEPTH, STEP = 128, 3, 9, 2
+COORDINATES, FIRST_DEPTH, DEPTH, STEP = 128, 3, 7, 2
 RECALL, SMALL = 0.9999, 48
 #: Min-hash agreement may fall so far below the threshold, 5.7 standard deviations at 0.8.
 MARGIN = 0.2
