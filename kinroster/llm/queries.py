@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, kneser_ney, leaks, lines, mixing, neighbours, secrets, sharding, toxicity, urls, whitening
+from . import chat, jaccard, kneser_ney, leaks, lines, mixing, neighbours, secrets, sharding, spelling, toxicity, urls, whitening
 
 QUERIES = {
     "op1_histogram_sort_shards": sharding.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_secret_scan": secrets.op8,
     "op9_benchmark_leaks": leaks.op9,
     "op10_url_filter": urls.op10,
+    "op11_spelling_variants": spelling.op11,
     "op12_lobpcg_whitening": whitening.op12,
     "op13_line_dedup": lines.op13,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op2_weighted_mix": mixing.OP2_SQL,
     "op5_block_neighbours": neighbours.OP5_SQL,
     "op6_prefix_target_chat": chat.OP6_SQL,
+    "op11_spelling_variants": spelling.OP11_SQL,
     "op13_line_dedup": lines.OP13_SQL,
 }
