@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,6 +58,15 @@ def identifying_columns(frames: dict[str, DataFrame], denied: tuple[str, ...] =
     return [(name, c) for name, df in frames.items() for c in df.columns if c.lower() in denied]
 
 
+def catalog_columns(spark: SparkSession, database: str, denied: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
+    """``table_name, column_name, is_denied`` of every view and table of a database, as the catalog lists them."""
+    found = []
+    for table in spark.catalog.listTables(database):
+        if not table.isTemporary and not table.name.endswith("_files"):
+            found += [(table.name, c.name, c.name.lower() in denied) for c in spark.catalog.listColumns(f"`{database}`.`{table.name}`")]
+    return spark.createDataFrame(found, "table_name string, column_name string, is_denied boolean")
+
+
 def overlapping_spells(dim: DataFrame) -> DataFrame:
     following = F.lead("effective_start_date").over(Window.partitionBy("canonical_person_id").orderBy("effective_start_date", "hris_employee_id"))
     return dim.withColumn("following", following).filter("effective_end_date >= following").select("canonical_person_id", "hris_employee_id", "effective_end_date", "following")

@@ -10,6 +10,8 @@ from dataclasses import asdict, dataclass
 from functools import reduce
 from operator import and_
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +86,9 @@ def metric_query(mart: DataFrame, surface: str, filters: Filters = Filters()) ->
     if known.date:
         wanted += [F.col(known.date) >= F.lit(filters.start_date)] if filters.start_date else []
         wanted += [F.col(known.date) <= F.lit(filters.end_date)] if filters.end_date else []
+        if privacy.MONTH in mart.columns:  # a table with a folder for each month: others are not listed
+            wanted += [F.col(privacy.MONTH) >= F.lit(filters.start_date.replace(day=1))] if filters.start_date else []
+            wanted += [F.col(privacy.MONTH) <= F.lit(filters.end_date)] if filters.end_date else []
         wanted += [F.col(n) == getattr(filters, n) for n in privacy.DIMENSIONS if getattr(filters, n)]
     elif filters.privacy_surface:
         wanted.append(F.col("privacy_surface") == filters.privacy_surface)
@@ -91,6 +96,52 @@ def metric_query(mart: DataFrame, surface: str, filters: Filters = Filters()) ->
     return rows.select(*known.columns).orderBy(*known.order).limit(bounded(filters.limit))
 
 
+@dataclass(frozen=True)
+class Statement:
+    """SQL with named markers, and their values; no value is ever part of the text."""
+
+    sql: str
+    args: dict
+
+    def run(self, spark: SparkSession) -> DataFrame:
+        return spark.sql(self.sql, args=self.args)
+
+
+def table_name(database: str, name: str) -> str:
+    """A table's full name, of identifiers only."""
+    return f"{identifier(database)}.{identifier(name)}"
+
+
+def statement(surface: str, filters: Filters = Filters(), database: str = "people_analytics", table: str | None = None, by_month: bool = True) -> Statement:
+    """The query of ``metric_query`` as SQL over a named table, whose filters are bound values.
+
+    ``table`` is the surface's table in ``database``. With ``by_month`` the table has a folder for each
+    month, and others are not read.
+    """
+    if surface not in SURFACES:
+        raise UnknownSurface(surface)
+    known = SURFACES[surface]
+    args: dict = {"table": table_name(database, table or known.name), "most": bounded(filters.limit)}
+    where = []
+    if known.date:
+        for name, sign in (("start_date", ">="), ("end_date", "<=")):
+            if day := getattr(filters, name):
+                where.append(f"{known.date} {sign} :{name}")
+                args[name] = day
+                if by_month:
+                    where.append(f"{privacy.MONTH} {sign} :{name}_month")
+                    args[f"{name}_month"] = day.replace(day=1)
+        for name in privacy.DIMENSIONS:
+            if value := getattr(filters, name):
+                where.append(f"{name} = :{name}")
+                args[name] = value
+    elif filters.privacy_surface:
+        where.append("privacy_surface = :privacy_surface")
+        args["privacy_surface"] = filters.privacy_surface
+    text = f"SELECT {', '.join(known.columns)} FROM IDENTIFIER(:table)" + (" WHERE " + " AND ".join(where) if where else "")
+    return Statement(f"{text} ORDER BY {', '.join(known.order)} LIMIT :most", args)
+
+
 def metadata(summary: DataFrame) -> DataFrame:
     """One row over the suppression summary: surfaces, rows, reportable rows, k."""
     return summary.agg(F.array_join(F.array_sort(F.collect_set("privacy_surface")), "||").alias("surfaces"), F.count("*").alias("surface_count"), F.sum("row_count").alias("row_count"), F.count_if(F.col("suppressed_row_count") > 0).alias("surfaces_with_suppression"), F.min("k_anonymity_threshold").alias("k_anonymity_threshold"))
@@ -126,14 +177,14 @@ def respond(spark: SparkSession, mart: DataFrame, surface: str, filters: Filters
     query = metric_query(mart, surface, filters)
     try:
         rows = fetch(query)
-    except Exception as error:
+    except (PySparkException, Py4JError) as error:
         raise SourceUnavailable(SURFACES[surface].name) from error
     hidden = sum(r.get("is_reportable") is False for r in rows)
     event = (actor or "anonymous", SURFACES[surface].name, purpose, json.dumps(filters.payload(), sort_keys=True), len(rows), hidden)
     try:
         privacy.append_audit(privacy.audit_event(spark, cfg, *event, str(uuid.uuid4())), log_path)
         logged = True
-    except Exception:  # the log is best effort, whatever keeps it from being written
+    except (PySparkException, Py4JError, OSError):  # the log is best effort: storage that fails does not fail the answer
         logged = False
     return {"data": rows, "row_count": len(rows), "suppressed_row_count": hidden, "audit_logged": logged}
 

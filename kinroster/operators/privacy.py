@@ -11,8 +11,11 @@ from pyspark.sql.window import Window
 from ..config import EngineConfig
 from ..functions.keys import surrogate_key
 from ..functions.privacy import masked, privacy_columns
+from ..plans.tables import Table
 
 DIMENSIONS = ("department", "location", "employment_type")
+#: The column of a written mart whose values, first days of months, have folders of their own.
+MONTH = "month"
 
 
 def _dimensions() -> list[Column]:
@@ -32,8 +35,8 @@ def headcount_daily(daily: DataFrame, k: int) -> DataFrame:
     return _headcount(active.groupBy("snapshot_date", *DIMENSIONS).agg(F.countDistinct("canonical_person_id").alias("n")), k)
 
 
-def headcount_from_spells(spells: DataFrame, as_of: dt.date, k: int) -> DataFrame:
-    """The same mart without the daily rows.
+def headcount_from_spells(spells: DataFrame, as_of: dt.date, k: int, since: dt.date | None = None) -> DataFrame:
+    """The same mart without the daily rows; with ``since``, its days from then on.
 
     Spells of a person in one cohort are merged where they overlap or touch; each merged spell adds
     one on its first day and takes one away after its last. Running sums over these events give the
@@ -50,7 +53,9 @@ def headcount_from_spells(spells: DataFrame, as_of: dt.date, k: int) -> DataFram
     events = merged.select(*DIMENSIONS, F.explode(both).alias("e")).groupBy(*DIMENSIONS, F.col("e.day").alias("day")).agg(F.sum("e.by").alias("by"))
     of_cohort = Window.partitionBy(*DIMENSIONS).orderBy("day")
     sizes = events.select(*DIMENSIONS, "day", F.sum("by").over(of_cohort).alias("n"), F.lead("day").over(of_cohort).alias("next")).filter("n > 0")
-    return _headcount(sizes.select(F.explode(F.sequence(F.col("day"), F.date_sub("next", 1))).alias("snapshot_date"), *DIMENSIONS, "n"), k)
+    first = F.greatest("day", F.lit(since)) if since else F.col("day")
+    shown = sizes.filter(F.col("next") > first)
+    return _headcount(shown.select(F.explode(F.sequence(first, F.date_sub("next", 1))).alias("snapshot_date"), *DIMENSIONS, "n"), k)
 
 
 def _attrition(persons: DataFrame, k: int) -> DataFrame:
@@ -75,12 +80,13 @@ def attrition_monthly(daily: DataFrame, k: int) -> DataFrame:
     return _attrition(persons.agg(F.max(first).alias("starts"), F.max("is_termination_date").alias("leaves")), k)
 
 
-def attrition_from_spells(spells: DataFrame, as_of: dt.date, k: int) -> DataFrame:
-    """The same mart from months of spells instead of days."""
+def attrition_from_spells(spells: DataFrame, as_of: dt.date, k: int, since: dt.date | None = None) -> DataFrame:
+    """The same mart from months of spells instead of days; with ``since``, a first of a month, its months from then on."""
     start, ended = F.col("effective_start_date"), F.col("termination_date")
     last = F.least(F.coalesce(ended, F.lit(as_of)), F.lit(as_of))
-    months = F.sequence(F.trunc(start, "MM"), F.trunc(last, "MM"), F.expr("INTERVAL 1 MONTH"))
-    rows = spells.filter(last >= start).select("canonical_person_id", *_dimensions(), start.alias("lo"), ended.alias("ended"), F.explode(months).alias("month_start_date"))
+    first_month = F.greatest(F.trunc(start, "MM"), F.lit(since)) if since else F.trunc(start, "MM")
+    months = F.sequence(first_month, F.trunc(last, "MM"), F.expr("INTERVAL 1 MONTH"))
+    rows = spells.filter((last >= start) & (F.trunc(last, "MM") >= first_month)).select("canonical_person_id", *_dimensions(), start.alias("lo"), ended.alias("ended"), F.explode(months).alias("month_start_date"))
     opening = F.broadcast(rows.groupBy("month_start_date").agg(F.min(F.greatest("lo", "month_start_date")).alias("first_day")))  # a row for each month
     first = F.col("first_day")
     starts = (F.col("lo") <= first) & (F.col("ended").isNull() | (first < F.col("ended")))
@@ -89,6 +95,11 @@ def attrition_from_spells(spells: DataFrame, as_of: dt.date, k: int) -> DataFram
     return _attrition(persons.agg(F.max(starts).alias("starts"), F.max(leaves).alias("leaves")), k)
 
 
+def by_month(mart: DataFrame, date: str) -> DataFrame:
+    """``mart`` with its ``month``, in the order in which it is asked for."""
+    return mart.withColumn(MONTH, F.trunc(date, "MM")).sortWithinPartitions(MONTH, *[c for c in DIMENSIONS if c in mart.columns], date)
+
+
 def suppression_summary(headcount: DataFrame, attrition: DataFrame, cfg: EngineConfig) -> DataFrame:
     """How much of each surface is suppressed."""
 
@@ -116,13 +127,41 @@ def audit_event(spark: SparkSession, cfg: EngineConfig, actor: str, surface: str
     return row.withColumn("filters_json", F.when(F.try_parse_json("filters_json").isNotNull(), F.col("filters_json")))
 
 
-def append_audit(event: DataFrame, path: str) -> None:
-    """Add to the log under ``path``, which is made if there is none."""
-    event.select(*empty_audit_log(event.sparkSession).columns).write.mode("append").parquet(path)
+def audit_table(spark: SparkSession, path: str) -> Table:
+    """The log under ``path``: one row for each ``audit_event_id``, whatever is delivered twice."""
+    return Table(spark, path, key=("audit_event_id",))
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Add events to the log, which is made if there is none.
+
+    An event that is there already is replaced by its new row. Columns that the log does not have are
+    added, and are null in older rows; columns that the events lack stay. Writers may come at once.
+    """
+    audit_table(events.sparkSession, path).merge(events, "append_new_columns")
+
+
+def keep_audit_log(spark: SparkSession, path: str) -> None:
+    """What a build does with the log: make it, empty, if it is not there, and leave it alone if it is."""
+    if not audit_table(spark, path).exists:
+        append_audit(empty_audit_log(spark), path)
 
 
 def audit_log(spark: SparkSession, path: str) -> DataFrame:
     """The log under ``path``; empty if nothing was logged yet."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(AUDIT).parquet(path) if there else empty_audit_log(spark)
+    log = audit_table(spark, path)
+    return log.read() if log.exists else empty_audit_log(spark)
+
+
+def order_events(orders: DataFrame, day: str, cfg: EngineConfig) -> DataFrame:
+    """Access events as the log has them, derived from orders: each order was looked at on ``day``.
+
+    Number and suppression of the rows follow from the customer and the order's status.
+    """
+    c = F.col
+    return orders.select(
+        F.md5(F.concat_ws("-", F.lit("order"), "o_orderkey")).alias("audit_event_id"), c(day).cast("timestamp_ntz").alias("audited_at"), F.concat(F.lit("actor-"), c("o_custkey") % 10).alias("actor"),
+        F.when(c("o_orderstatus") == "O", "workforce_headcount_daily").otherwise("workforce_attrition_monthly").alias("query_surface"), c("o_orderpriority").alias("purpose"),
+        F.to_json(F.struct(c("o_orderstatus").alias("status"))).alias("filters_json"), F.lit(cfg.k).alias("k_anonymity_threshold"), (c("o_custkey") % 100).alias("result_row_count"),
+        F.when(c("o_orderstatus") == "F", c("o_custkey") % 100).otherwise(0).cast("long").alias("suppressed_row_count"), F.lit(cfg.policy_version).alias("privacy_policy_version"), F.lit(cfg.run_id).cast("string").alias("dbt_invocation_id"),
+    )

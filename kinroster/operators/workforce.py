@@ -39,8 +39,8 @@ def cohort_spells(stg_hris: DataFrame, hris_persons: DataFrame) -> DataFrame:
     return joined.select(F.concat(F.lit("cp_"), "hris_person_key").alias("canonical_person_id"), F.col("hire_date").alias("effective_start_date"), "termination_date", "department", "location", "employment_type")
 
 
-def workforce_daily(dim: DataFrame, as_of: dt.date) -> DataFrame:
-    """One row for each spell and day from hire to termination (its day included) or ``as_of``.
+def workforce_daily(dim: DataFrame, as_of: dt.date, since: dt.date | None = None) -> DataFrame:
+    """One row for each spell and day from hire to termination (its day included) or ``as_of``; with ``since``, the days from then on.
 
     The days of a spell are generated from the spell itself; no calendar is joined.
     """
@@ -48,7 +48,8 @@ def workforce_daily(dim: DataFrame, as_of: dt.date) -> DataFrame:
     day, ended = F.col("snapshot_date"), F.col("termination_date")
     own = ["employee_sk", "canonical_person_id", "hris_person_key", "hris_employee_id", "employment_spell_number", "effective_start_date", "effective_end_date", "termination_date", "legal_first_name_original", "legal_last_name_original", "preferred_name_original", "employment_type", "department", "job_title", "manager_hris_id", "location"]
     rest = ["has_rehires", "has_name_change_marriage", "matched_external_source_system_count", "loaded_at"]
-    days = dim.filter(last >= start).select(F.explode(F.sequence(start, last)).alias("snapshot_date"), *own, *rest)
+    first = F.greatest(start, F.lit(since)) if since else start
+    days = dim.filter((last >= start) & (last >= first)).select(F.explode(F.sequence(first, last)).alias("snapshot_date"), *own, *rest)
     return days.select(
         surrogate_key("snapshot_date", "employee_sk").alias("daily_workforce_key"), "snapshot_date", *own, (ended.isNull() | (day < ended)).alias("is_active_on_date"), (day == start).alias("is_hire_date"),
         F.coalesce(day == ended, F.lit(False)).alias("is_termination_date"), F.datediff(day, start).alias("tenure_days"), *rest, F.lit(1).alias("employee_day_count"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..operators import identity, persons, privacy, staging, workforce
@@ -101,13 +100,3 @@ class Engine:
         "stg_hris", "stg_ats", "stg_payroll", "stg_crm", "stg_dms", "stg_erp", "hris_persons", "payroll_spells", "dms_erp_unified", "identity_source_nodes", "identity_pass_1",
         "identity_pass_2", "identity_pass_3", "canonical_person", "stewardship_queue", "dim_employee", "workforce_daily", "headcount_daily", "attrition_monthly", "suppression_summary",
     )
-
-    def build(self, path: str, models: tuple[str, ...] = MODELS, mode: str = "overwrite") -> None:
-        """Write models as Parquet tables under ``path``; with ``run_id``, each row says which run made it.
-
-        ``mode`` is "overwrite" (drop and write) or "append".
-        """
-        for name in models:
-            df = getattr(self, name)
-            df = df.withColumn("_invocation_id", F.lit(self.cfg.run_id)) if self.cfg.run_id else df
-            df.write.mode(mode).parquet(f"{path}/{name}")

@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matching, names
 from ..functions import privacy as k_anonymity
-from ..operators import checks, metrics, privacy, residual
-from ..sources import fixture
-from . import oracle
+from ..operators import checks, gates, metrics, privacy, residual
+from ..sources import fixture, raw
+from . import build, oracle
 from .engine import Engine
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,7 +26,16 @@ ORACLES: dict[str, str] = {}
 
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
-    return Engine(spark, fixture.sources(spark, sf_dir))
+    """An engine over the derived tables. Its run's tables outlive the query, whose result reads them, and go when the process ends."""
+    made = Engine(spark, {})
+    made.sources = fixture.sources(spark, sf_dir, made.store.table)
+    atexit.register(_dropped, made)
+    return made
+
+
+def _dropped(made: Engine) -> None:
+    with contextlib.suppress(Py4JError, OSError):  # the session may have ended before
+        made.drop()
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -96,8 +109,24 @@ def surface_sql(name: str, table: str, where: str) -> str:
     return f"SELECT {', '.join(columns)} FROM {table} WHERE {where} ORDER BY {', '.join(known.order)} LIMIT 5000"
 
 
-query("metric_headcount_filtered", lambda e: metrics.metric_query(e.headcount_daily, "headcount", _FIRST_QUARTER), surface_sql("headcount", "headcount_daily", f"snapshot_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' AND {_WHERE}"))
-query("metric_attrition_filtered", lambda e: metrics.metric_query(e.attrition_monthly, "attrition", _FIRST_QUARTER), surface_sql("attrition", "attrition_monthly", f"month_start_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' AND {_WHERE}"))
+def written(e: Engine, model: str) -> DataFrame:
+    """A mart as a build writes it, with a folder for each month."""
+    build.run(e, f"{e.store.path}/built", model, rules=[])
+    return getattr(e, model)
+
+
+def by_name(e: Engine, surface: str, model: str, filters: metrics.Filters) -> DataFrame:
+    """The same rows by SQL with bound values over the published table."""
+    written(e, model)
+    database = f"run_{uuid.uuid4().hex}"
+    build.publish(e.spark, f"{e.store.path}/built", database, (model,))
+    return metrics.statement(surface, filters, database, model).run(e.spark)
+
+
+query("metric_headcount_filtered", lambda e: metrics.metric_query(written(e, "headcount_daily"), "headcount", _FIRST_QUARTER), surface_sql("headcount", "headcount_daily", f"snapshot_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' AND {_WHERE}"))
+query("metric_attrition_filtered", lambda e: metrics.metric_query(written(e, "attrition_monthly"), "attrition", _FIRST_QUARTER), surface_sql("attrition", "attrition_monthly", f"month_start_date BETWEEN DATE '1998-01-01' AND DATE '1998-03-31' AND {_WHERE}"))
+query("metric_headcount_sql", lambda e: by_name(e, "headcount", "headcount_daily", _FIRST_QUARTER), ORACLES["metric_headcount_filtered"])
+query("metric_attrition_sql", lambda e: by_name(e, "attrition", "attrition_monthly", _FIRST_QUARTER), ORACLES["metric_attrition_filtered"])
 query("metric_suppression", lambda e: metrics.metric_query(e.suppression_summary, "suppression", metrics.Filters(limit=100)), surface_sql("suppression", "suppression_summary", "true"))
 query("metric_suppression_of_one", lambda e: metrics.metric_query(e.suppression_summary, "suppression", metrics.Filters(privacy_surface="workforce_headcount_daily")), surface_sql("suppression", "suppression_summary", "privacy_surface = 'workforce_headcount_daily'"))
 query("metric_metadata", lambda e: metrics.metadata(e.suppression_summary), "SELECT string_agg(privacy_surface, '||' ORDER BY privacy_surface) AS surfaces, count(*) AS surface_count, sum(row_count)::BIGINT AS row_count, count(*) FILTER (suppressed_row_count > 0) AS surfaces_with_suppression, min(k_anonymity_threshold) AS k_anonymity_threshold FROM suppression_summary")
@@ -187,8 +216,8 @@ query("proxy_evaluation", lambda e: _reviewed(e, residual.proxy_evaluation), ora
 
 
 # Data checks, with the number of rows that break each rule.
-def _counts(e: Engine, *parts: str) -> DataFrame:
-    return _violations({n: df for n, df in checks.all_checks(e).items() if any(p in n for p in parts)})
+def _counted(e: Engine, rules: list[gates.Rule]) -> DataFrame:
+    return gates.counts(lambda model: getattr(e, model), gates.rules_of(e.cfg, rules))
 
 
 _BREAKS = {
@@ -227,11 +256,7 @@ _STAGED = {
 }
 
 
-def _violations(found: dict[str, DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("violations")).select(F.lit(n).alias("check_name"), "violations") for n, df in sorted(found.items())])
-
-
-query("checks_staged", lambda e: _violations(checks.staged_checks(e)), " UNION ALL ".join(f"SELECT '{n}' AS check_name, (SELECT count(*) FROM ({text})) AS violations" for n, text in _STAGED.items()))
+query("checks_staged", lambda e: _counted(e, gates.STAGED), " UNION ALL ".join(f"SELECT '{n}' AS check_name, (SELECT count(*) FROM ({text})) AS violations" for n, text in _STAGED.items()))
 _FRESH = "SELECT max(loaded_at) AS loaded FROM {0}"
 query(
     "source_freshness",
@@ -242,10 +267,124 @@ query(
 
 def _checks(name: str, *parts: str) -> None:
     wanted = sorted(n for n in _BREAKS if any(p in f"check_{n}" for p in parts))
-    query(name, lambda e: _counts(e, *parts), " UNION ALL ".join(f"SELECT 'check_{n}' AS check_name, (SELECT count(*) FROM ({_BREAKS[n]})) AS violations" for n in wanted))
+    rules = [r for r in gates.SINGULAR if r.name.removeprefix("check_") in wanted]
+    query(name, lambda e: _counted(e, rules), " UNION ALL ".join(f"SELECT 'check_{n}' AS check_name, (SELECT count(*) FROM ({_BREAKS[n]})) AS violations" for n in wanted))
 
 
 _checks("checks_persons", "check_hris", "check_payroll", "check_dms", "check_erp", "check_broken", "check_work")
 _checks("checks_identity", "check_nodes", "check_source", "check_no_orphan", "check_queue")
 _checks("checks_workforce", "check_dim", "check_daily")
 _checks("checks_privacy", "check_headcount", "check_attrition", "check_summary")
+
+# The rules of built models, and the summary against the marts that it sums up.
+_FROM = {"workforce_daily": "(SELECT w.*, d.hris_employee_id, 1 AS employee_day_count FROM workforce_daily w JOIN dim_employee d USING (employee_sk))"}
+_MADE = {
+    **{f"{t}.{c}.not_null": f"SELECT 1 FROM {_FROM.get(t, t)} WHERE {c} IS NULL" for t, columns in gates.REQUIRED.items() for c in columns},
+    **{f"{t}.{'_and_'.join(k)}.unique": f"SELECT 1 FROM {t} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in k)} GROUP BY {', '.join(k)} HAVING count(*) > 1" for t, keys in gates.KEYS.items() for k in keys},
+    **{f"{t}.{c}.accepted_values": f"SELECT 1 FROM {_FROM.get(t, t)} WHERE {c} NOT IN ({', '.join(repr(v) for v in values)})" for t, codes in gates.CODES.items() for c, values in codes.items()},
+    **{f"{t}.{c}.at_least_one": f"SELECT 1 FROM {t} WHERE {c} < 1" for t, c in (("hris_persons", "spell_count"), ("payroll_spells", "pay_period_count"))},
+}
+query("checks_models", lambda e: _counted(e, gates.BUILT), " UNION ALL ".join(f"SELECT '{n}' AS check_name, (SELECT count(*) FROM ({text})) AS violations" for n, text in _MADE.items()))
+_PAIRS = [(m, t, s) for m, t, s in (("headcount", "headcount_daily", "workforce_headcount_daily"), ("attrition", "attrition_monthly", "workforce_attrition_monthly"))]
+_SIZES = (("rows", "row_count", "true"), ("reportable", "reportable_row_count", "is_reportable"), ("suppressed", "suppressed_row_count", "NOT is_reportable"))
+query(
+    "checks_summary_matches_marts",
+    lambda e: _counted(e, [r for r in gates.SINGULAR if r.name.startswith("check_summary_matches")]),
+    " UNION ALL ".join(f"SELECT 'check_summary_matches_{m}_{n}' AS check_name, ((SELECT count(*) FROM {t} WHERE {c}) <> (SELECT {column} FROM suppression_summary WHERE privacy_surface = '{s}'))::BIGINT AS violations" for m, t, s in _PAIRS for n, column, c in _SIZES),
+)
+
+
+# What the catalog says of published tables: the public marts name no person, the dimension does.
+def _columns(e: Engine) -> DataFrame:
+    shown = ("headcount_daily", "attrition_monthly", "suppression_summary", "dim_employee")
+    build.run(e, f"{e.store.path}/built", " ".join(shown), rules=[])
+    database = f"run_{uuid.uuid4().hex}"
+    build.publish(e.spark, f"{e.store.path}/built", database, shown)
+    return checks.catalog_columns(e.spark, database).filter(F.col("column_name") != privacy.MONTH)
+
+
+_DENIED = ", ".join(f"'{c}'" for c in checks.IDENTIFIERS)
+query(
+    "catalog_identifier_columns",
+    _columns,
+    " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, column_name IN ({_DENIED}) AS is_denied FROM (SELECT unnest(json_keys(to_json(t))) AS column_name FROM (SELECT * FROM {t} LIMIT 1) t)" for t in ("headcount_daily", "attrition_monthly", "suppression_summary", "dim_employee")),
+)
+
+# An access log that grows by deliveries, of which the second repeats and corrects part of the first and has a column more.
+_FIRST_DELIVERY, _SECOND_DELIVERY = dt.date(1995, 7, 1), dt.date(1995, 1, 1)
+
+
+def order_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of all orders after two deliveries that overlap in half a year."""
+    e = engine(spark, sf_dir)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("o_orderdate", F.to_date("o_orderdate"))
+    log = f"{e.store.path}/order_log"
+    privacy.keep_audit_log(spark, log)
+    privacy.append_audit(privacy.order_events(orders.filter(F.col("o_orderdate") < F.lit(_FIRST_DELIVERY)), "o_orderdate", e.cfg), log)
+    again = privacy.order_events(orders.filter(F.col("o_orderdate") >= F.lit(_SECOND_DELIVERY)), "o_orderdate", e.cfg)
+    privacy.append_audit(again.withColumns({"purpose": F.concat("purpose", F.lit(" (corrected)")), "channel": F.lit("second")}), log)
+    return flat(privacy.audit_log(spark, log))
+
+
+QUERIES["audit_log_of_orders"] = order_log
+ORACLES["audit_log_of_orders"] = f"""
+SELECT md5('order-' || o_orderkey) AS audit_event_id, strftime(o_orderdate::DATE, '%Y-%m-%d %H:%M:%S') AS audited_at, 'actor-' || (o_custkey % 10) AS actor,
+  CASE WHEN o_orderstatus = 'O' THEN 'workforce_headcount_daily' ELSE 'workforce_attrition_monthly' END AS query_surface,
+  o_orderpriority || CASE WHEN o_orderdate::DATE >= DATE '{_SECOND_DELIVERY}' THEN ' (corrected)' ELSE '' END AS purpose, '{{"status":"' || o_orderstatus || '"}}' AS filters_json, 5 AS k_anonymity_threshold,
+  (o_custkey % 100)::BIGINT AS result_row_count, CASE WHEN o_orderstatus = 'F' THEN o_custkey % 100 ELSE 0 END::BIGINT AS suppressed_row_count, 'k-anonymity-v1' AS privacy_policy_version, NULL::VARCHAR AS dbt_invocation_id,
+  CASE WHEN o_orderdate::DATE >= DATE '{_SECOND_DELIVERY}' THEN 'second' END AS channel
+FROM orders"""
+
+
+# The additive confidence of every pair of pass 2, from the anchors that the pass has found.
+def _pair_confidence(e: Engine) -> DataFrame:
+    days, born = F.col("hire_date_diff_days"), F.coalesce("dob_match", F.lit(False))
+    anchors = {"dob_match": born, "name_match": F.col("name_match"), "hire_date_exact": days == 0, "hire_date_within_7d": days <= 7, "hire_date_within_30d": days <= 30}
+    linked = F.coalesce(F.col("merge_topology") == "DMS_AND_ERP", F.lit(False))
+    score, count = F.round(matching.match_score(**anchors, structural_fk_match=linked), 2), matching.match_anchor_count(**anchors)
+    pairs = e.identity_pass_2.select("source_record_key", "hris_person_key", days, score.alias("score"), count.alias("anchors"), matching.auto_merge_qualified(score, count, linked).alias("qualified"))
+    return pairs.distinct()
+
+
+query(
+    "match_confidence_pairs",
+    _pair_confidence,
+    """SELECT DISTINCT source_record_key, hris_person_key, hire_date_diff_days, score, anchors, linked OR (score >= 0.95 AND anchors >= 2) AS qualified FROM (
+ SELECT *, CASE WHEN linked THEN 1.0 ELSE least(100, CASE WHEN born THEN 30 ELSE 0 END + 20 + CASE WHEN hire_date_diff_days = 0 THEN 20 WHEN hire_date_diff_days <= 7 THEN 10 WHEN hire_date_diff_days <= 30 THEN 5 ELSE 0 END) / 100.0 END::DOUBLE AS score,
+  born::INT + 1 + (hire_date_diff_days <= 7)::INT AS anchors
+ FROM (SELECT *, coalesce(merge_topology = 'DMS_AND_ERP', false) AS linked, coalesce(dob_match, false) AS born FROM identity_pass_2))""",
+)
+
+
+# Raw tables through CSV files and back, with cells that are not of their type.
+def raw_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six tables as CSV, loaded with rejects: what came in, and what was rejected and why."""
+    e = engine(spark, sf_dir)
+    for name, df in e.sources.items():
+        df = raw.shaped(df, name)
+        if name == "payroll_records":
+            df = df.withColumn("hours_worked", F.when(F.col("payroll_record_id").endswith("7"), "n/a").otherwise(F.col("hours_worked").cast("string")))
+        df.write.option("header", True).csv(f"{e.store.path}/files/{name}.csv")
+    raw.bulk_load(spark, f"{e.store.path}/files", f"{e.store.path}/raw")
+    loaded = raw.read(spark, f"{e.store.path}/raw")
+    own = lambda name: f"sum(CAST(CONV(SUBSTRING(md5(CONCAT_WS('|', {', '.join(_TRIP[name])})), 1, 8), 16, 10) AS BIGINT))"
+    rows = [df.agg(F.count("*").alias("loaded"), F.expr(own(n)).alias("content")).select(F.lit(n).alias("table_name"), "*") for n, df in loaded.items()]
+    rejected = [build.Table(spark, f"{e.store.path}/raw/rejects/{n}").read() for n in loaded]
+    bad = reduce(DataFrame.union, rejected).groupBy("table_name").agg(F.count("*").alias("rejected"), F.max("reason").alias("reason"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))), ",").alias("columns"))
+    return reduce(DataFrame.union, rows).join(bad, "table_name", "left").select("table_name", "loaded", "content", F.coalesce("rejected", F.lit(0)).alias("rejected"), "reason", "columns")
+
+
+#: Columns whose text both engines print alike.
+_TRIP = {
+    "hris_employees": ("hris_employee_id", "trim(legal_first_name)", "legal_last_name", "CAST(hire_date AS STRING)"), "ats_candidates": ("ats_candidate_id", "last_name", "CAST(application_date AS STRING)"),
+    "payroll_records": ("payroll_record_id", "legal_last_name", "CAST(gross_amount_cad AS STRING)", "CAST(pay_period_end AS STRING)"), "crm_sales_reps": ("crm_user_id", "display_name", "CAST(active AS STRING)"),
+    "dms_users": ("dms_user_id", "dms_username", "CAST(hire_date_dms AS STRING)"), "erp_users": ("erp_user_id", "erp_email", "role_code"),
+}
+QUERIES["raw_csv_round_trip"] = raw_round_trip
+ORACLES["raw_csv_round_trip"] = oracle.sql(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, count(*) FILTER (NOT bad) AS loaded, (sum(CAST('0x' || substr(md5(concat_ws('|', {', '.join(c.replace('STRING', 'VARCHAR') for c in columns)})), 1, 8) AS BIGINT)) FILTER (NOT bad))::BIGINT AS content, count(*) FILTER (bad) AS rejected, "
+        f"CASE WHEN count(*) FILTER (bad) > 0 THEN '{raw.BAD_TYPE}' END AS reason, CASE WHEN count(*) FILTER (bad) > 0 THEN 'hours_worked' END AS columns FROM (SELECT *, {'payroll_record_id LIKE ' + repr('%7') if n == 'payroll_records' else 'false'} AS bad FROM {n})"
+        for n, columns in _TRIP.items()
+    )
+)

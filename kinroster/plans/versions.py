@@ -16,19 +16,33 @@ class Folder:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-        self._at = lambda *name: hadoop.Path("/".join((path, *name)))
-        self._fs = self._at().getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._at = hadoop.Path
+        self._fs = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def names(self, folder: str) -> dict[str, float]:
+        """What is in a folder, by name, with the time of its last change; nothing if there is no folder."""
+        if not self._fs.exists(self._at(folder)):
+            return {}
+        found = {s.getPath().getName(): s.getModificationTime() / 1000 for s in self._fs.listStatus(self._at(folder))}
+        return dict(sorted(found.items()))
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._at(path), True)
+
+    def file(self, number: int) -> str:
+        return f"{self.path}/version-{number:012d}.json"
+
+    def numbers(self) -> list[int]:
+        """All versions that are there, in order."""
+        return sorted(int(n[8:-5]) for n in self.names(self.path) if n.startswith("version-") and n.endswith(".json"))
 
     def latest(self) -> tuple[int, dict | None]:
         """Number and content of the last version; ``0, None`` before the first."""
-        if not self._fs.exists(self._at()):
-            return 0, None
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._at())]
-        numbers = [int(n[8:-5]) for n in names if n.startswith("version-") and n.endswith(".json")]
-        return (max(numbers), self.read(max(numbers))) if numbers else (0, None)
+        numbers = self.numbers()
+        return (numbers[-1], self.read(numbers[-1])) if numbers else (0, None)
 
     def read(self, number: int) -> dict:
-        stream = self._fs.open(self._at(_name(number)))
+        stream = self._fs.open(self._at(self.file(number)))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
@@ -40,25 +54,21 @@ class Folder:
         The file is written under a name of its own and then gets its number in one step that fails if
         the number is taken: a hard link on a local disk, a rename elsewhere.
         """
-        self._fs.mkdirs(self._at())
-        part = f".{uuid.uuid4().hex}.part"
+        self._fs.mkdirs(self._at(self.path))
+        part = f"{self.path}/.{uuid.uuid4().hex}.part"
         stream = self._fs.create(self._at(part))
         stream.write(bytearray(json.dumps(content, sort_keys=True).encode()))
         stream.close()
-        if self._at().toUri().getScheme() in (None, "file"):
-            folder = urlparse(self.path).path
+        if self._fs.getScheme() == "file":
             try:
-                os.link(f"{folder}/{part}", f"{folder}/{_name(number)}")
+                os.link(urlparse(part).path, urlparse(self.file(number)).path)
                 return True
             except FileExistsError:
                 return False
             finally:
-                os.remove(f"{folder}/{part}")
-        done = not self._fs.exists(self._at(_name(number))) and self._fs.rename(self._at(part), self._at(_name(number)))
+                os.remove(urlparse(part).path)
+        to = self._at(self.file(number))
+        done = not self._fs.exists(to) and self._fs.rename(self._at(part), to)
         if not done:
-            self._fs.delete(self._at(part), False)
+            self.delete(part)
         return bool(done)
-
-
-def _name(number: int) -> str:
-    return f"version-{number:012d}.json"
