@@ -5,12 +5,20 @@ set is embedded into ``COORDINATES`` min-hash tokens, so two sets share about as
 their Jaccard similarity says. In each run all sets start in one bucket. A bucket is split on
 tokens that it samples, 1 / threshold of them on average, so a pair at the threshold stays together
 on one path on average. Buckets of up to ``SMALL`` sets are compared pair by pair, on their
-min-hashes with a wide margin, and give a spanning forest of what agrees; larger ones are split again. A bucket that is still large after
-``DEPTH`` splits holds sets that are nearly alike, and is linked as a whole. The runs are
-independent. There are enough of them for pairs that meet in a small bucket after the first splits;
-sets whose buckets were split further take part in more runs, as many as the full depth needs.
-Together a pair at the threshold is missed with probability ``1 - RECALL`` at most, over the spread
-of shared tokens too.
+min-hashes with a wide margin, and give a spanning forest of what agrees; larger ones are split
+again, however often it takes. Strangers that share boilerplate part on the way: at a similarity of
+0.5 a split leaves 0.64 of a bucket together.
+
+Only sets that truly agree would never part. So a large bucket gets a centre, the commonest token at
+each coordinate in a sample of its sets. If most of the sample lies within ``CLOSE`` of the centre,
+every set within ``CLOSE`` is finished here: whatever is similar to it lies within ``CLOSE + REACH`` of
+the centre, by the triangle inequality of the distance between embeddings, and all sets that do so are
+linked. The others are split on.
+
+The runs are independent. There are enough of them for pairs that meet after the first splits; sets
+whose buckets were split further take part in more runs, as many as that depth needs. Together a pair
+at the threshold is missed with probability ``1 - RECALL`` at most, over the spread of shared tokens
+too.
 
 What has been linked is then checked exactly: the linked sets are grouped by component, their
 texts are read again, and each group's shingle sets are compared in tiles of bounded size. Tiles
@@ -30,12 +38,18 @@ from pyspark.sql import functions as F
 from . import graph, support, words
 
 SHINGLE, THRESHOLD = 5, 0.8
-COORDINATES, FIRST_DEPTH, DEPTH, STEP = 128, 3, 7, 2
-RECALL, SMALL = 0.9999, 48
+COORDINATES, FIRST_DEPTH, STEP = 128, 3, 2
+#: Further depths for which runs are added; a bucket that is split beyond the last needs as many as each doubling.
+DEPTHS = (5, 9, 15, 25, 50, 100)
+RECALL, SMALL = 0.9999, 128
 #: Min-hash agreement may fall so far below the threshold, 5.7 standard deviations at 0.8.
 MARGIN = 0.2
-#: Sets in a tile's side, and so many representatives at most are broadcast.
-TILE, BROADCAST_SETS = 512, 400_000
+#: Distance of a set from a centre that finishes it, and of what may be similar to it: 0.2 at the threshold and 3.5 standard deviations.
+CLOSE, REACH = 0.2, 0.32
+#: Sets from which a bucket's centre is made; centres that are broadcast at most.
+CENTRE_SAMPLE, BROADCAST_CENTRES = 64, 20_000
+#: Sets in a tile's side, and their shingles; so many representatives at most are broadcast.
+TILE, TILE_SHINGLES, BROADCAST_SETS = 512, 4_000_000, 400_000
 
 _rng = np.random.default_rng(20240607)
 _FACTORS = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
@@ -65,11 +79,10 @@ def runs_for(recall: float = RECALL, depth: int = FIRST_DEPTH + STEP, threshold:
     return runs
 
 
-def runs_of(recall: float = RECALL, threshold: float = THRESHOLD) -> tuple[range, range]:
-    """The runs of all sets, and those of sets that were split to the full depth; each may miss half of what ``recall`` allows."""
-    half = (1 + recall) / 2
-    first = runs_for(half, FIRST_DEPTH + STEP, threshold)
-    return range(first), range(first, max(first, runs_for(half, DEPTH, threshold)))
+def runs_of(recall: float = RECALL, threshold: float = THRESHOLD) -> list[range]:
+    """The runs for each of ``DEPTHS``: the first of all sets, the others of sets that were split beyond the depth before."""
+    enough = [runs_for(recall, depth, threshold) for depth in DEPTHS]
+    return [range(a, b) for a, b in zip([0, *enough[:-1]], enough, strict=True)]
 
 
 def min_hashes(grams: np.ndarray) -> np.ndarray:
@@ -95,10 +108,11 @@ def sets_of(texts: pd.Series, n: int = SHINGLE) -> Iterator[np.ndarray]:
 
 def embedded(batches: Iterator[pd.DataFrame], n: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(set_hash(g), min_hashes(g).tobytes()) if len(g) else (None, None) for g in sets_of(pdf["text"], n)]
+        rows = [(set_hash(g), min_hashes(g).tobytes(), len(g)) if len(g) else (None, None, 0) for g in sets_of(pdf["text"], n)]
         out = pd.DataFrame({"doc_id": pdf["doc_id"], "th": pdf["th"]})
         out["sid"] = pd.array([r[0] for r in rows], dtype="Int64")
         out["sig"] = [r[1] for r in rows]
+        out["shingles"] = [r[2] for r in rows]
         yield out
 
 
@@ -132,17 +146,48 @@ def first_paths(sets: DataFrame, runs: range, threshold: float) -> DataFrame:
     return sets.select("sid", "sig").mapInPandas(walk, "path long, sid long")
 
 
-def longer_paths(paths: DataFrame, threshold: float) -> DataFrame:
+def further(rows: DataFrame, threshold: float) -> DataFrame:
+    """One step of large buckets: ``path, sid`` of sets that are split on, and ``hub, sid`` of sets that are linked at their centre.
+
+    ``rows`` has ``path, sid, sig`` and of the bucket's centre ``centre, hub``, null where there is none.
+    """
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            if len(pdf):
-                signatures, ids = as_signatures(pdf["sig"]), pdf["sid"].to_numpy()
-                node, rows = pdf["path"].to_numpy().view(np.uint64), np.arange(len(pdf))
-                for _ in range(STEP):
-                    node, rows = split(node, rows, signatures, threshold)
-                yield pd.DataFrame({"path": node.view(np.int64), "sid": ids[rows]})
-
-    return paths.mapInPandas(walk, "path long, sid long")
+            if not len(pdf):
+                continue
+            signatures, ids, node = as_signatures(pdf["sig"]), pdf["sid"].to_numpy(), pdf["path"].to_numpy().view(np.uint64)
+            far = np.ones(len(pdf))
+            central = np.flatnonzero(pdf["hub"].notna().to_numpy())
+            if len(central):
+                far[central] = (signatures[central] != as_signatures(pdf["centre"].iloc[central])).mean(axis=1)
+                linked = central[far[central] <= CLOSE + REACH]
+                yield pd.DataFrame({"path": pd.array([None] * len(linked), dtype="Int64"), "hub": pdf["hub"].iloc[linked].astype("Int64").to_numpy(), "sid": ids[linked]})
+            rows = np.flatnonzero(far > CLOSE)
+            node = node[rows]
+            for _ in range(STEP):
+                node, rows = split(node, rows, signatures, threshold)
+            yield pd.DataFrame({"path": pd.array(node.view(np.int64), dtype="Int64"), "hub": pd.array([None] * len(rows), dtype="Int64"), "sid": ids[rows]})
+
+    return rows.mapInPandas(walk, "path long, hub long, sid long")
+
+
+def centre_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The centre of a bucket's sample, if most of the sample is close to it, and the least close set as its ``hub``."""
+    signatures = as_signatures(pdf["sig"])
+    centre = np.empty(COORDINATES, dtype="<u2")
+    for k in range(COORDINATES):
+        tokens, times = np.unique(signatures[:, k], return_counts=True)
+        centre[k] = tokens[times.argmax()]
+    close = (signatures != centre).mean(axis=1) <= CLOSE
+    some = 2 * close.sum() > len(pdf)
+    return pd.DataFrame({"path": pdf["path"].iloc[:1], "centre": [centre.tobytes()], "hub": [pdf["sid"][close].min()]})[: int(some)]
+
+
+def centres(large: DataFrame, sets: DataFrame) -> DataFrame:
+    """``path, centre, hub`` of the large buckets (``path, sid, n``) whose sets agree."""
+    drawn = large.filter(F.pmod(F.xxhash64("sid", "path"), F.lit(1 << 30)) * F.col("n") < F.lit(CENTRE_SAMPLE << 30))
+    return drawn.join(sets.select("sid", "sig"), "sid").select("path", "sid", "sig").groupBy("path").applyInPandas(centre_of, "path long, centre binary, hub long")
 
 
 def forest(ids: np.ndarray, signatures: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -179,36 +224,62 @@ def edges_of(pdf: pd.DataFrame, cut: np.ndarray, least: float) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
-def bucketed(sets: DataFrame, runs: range, threshold: float) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
-    """Small buckets, links of large ones, and the ids of sets whose buckets were split beyond the first step, if any."""
-    paths = support.written(first_paths(sets, runs, threshold), "paths")
-    small, linked, deep, depth = [], [], None, FIRST_DEPTH
+class Scratch:
+    """Written tables of a join that go when it is done."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(support.written(df, name))
+        return self.tables[-1]
+
+    def drop(self, *kept: DataFrame) -> None:
+        support.drop_written(*[t for t in self.tables if not any(t is k for k in kept)])
+        self.tables = [t for t in self.tables if any(t is k for k in kept)]
+
+
+def bucketed(sets: DataFrame, runs: range, depth: int, threshold: float, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Small buckets, links at centres, and the ids of sets that were split beyond ``depth``, if any."""
+    paths = scratch.written(first_paths(sets, runs, threshold), "paths")
+    small, linked, deep, at = [], [], [], FIRST_DEPTH
     while True:
-        sizes = support.written(paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
+        sizes = scratch.written(paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
         few = paths.join(sizes.filter(F.col("n") <= SMALL).select("path"), "path")
-        small.append(support.written(few.groupBy("path").agg(F.sort_array(F.collect_set("sid")).alias("m")).select("m").distinct(), "buckets"))
-        many = sizes.filter(F.col("n") > SMALL).select("path")
-        if not many.limit(1).count():
+        small.append(scratch.written(few.groupBy("path").agg(F.sort_array(F.collect_set("sid")).alias("m")).select("m").distinct(), "buckets"))
+        many = sizes.filter(F.col("n") > SMALL)
+        number = many.count()
+        if not number:
             break
-        large = paths.join(many, "path")
-        if depth == FIRST_DEPTH + STEP:
-            deep = support.written(large.select("sid").distinct(), "deep")
-        if depth >= DEPTH:
-            least = large.groupBy("path").agg(F.min("sid").alias("a"))
-            linked.append(large.join(least, "path").select("a", F.col("sid").alias("b")))
-            break
-        paths = support.written(longer_paths(large.join(sets.select("sid", "sig"), "sid"), threshold), "paths")
-        depth += STEP
-    return small, linked, deep
-
-
-def candidate_edges(sets: DataFrame, threshold: float, recall: float) -> DataFrame:
+        large = scratch.written(paths.join(F.broadcast(many) if number <= BROADCAST_CENTRES else many, "path"), "large")
+        hubs = scratch.written(centres(large, sets), "centres")
+        few_hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_CENTRES else hubs
+        rows = large.select("path", "sid").join(sets.select("sid", "sig"), "sid").join(few_hubs, "path", "left")
+        steps = scratch.written(further(rows, threshold), "steps")
+        linked.append(steps.filter("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("sid").alias("b")))
+        paths, at = steps.filter("path IS NOT NULL").select("path", "sid"), at + STEP
+        if at > depth:
+            deep.append(paths.select("sid"))
+    if not deep:
+        return small, linked, None
+    every = deep[0]
+    for more in deep[1:]:
+        every = every.union(more)
+    return small, linked, scratch.written(every.distinct(), "deep")
+
+
+def candidate_edges(sets: DataFrame, threshold: float, recall: float, scratch: Scratch) -> DataFrame:
     """Pairs of set ids that may be similar, each linked group connected."""
-    first, more_runs = runs_of(recall, threshold)
-    small, linked, deep = bucketed(sets, first, threshold)
-    if deep is not None and len(more_runs):
-        again = bucketed(sets.join(deep, "sid", "left_semi"), more_runs, threshold)
-        small, linked = small + again[0], linked + again[1]
+    small, linked, taking = [], [], sets
+    for depth, runs in zip(DEPTHS, runs_of(recall, threshold), strict=True):
+        buckets, links, deep = bucketed(taking, runs, depth, threshold, scratch)
+        small, linked = small + buckets, linked + links
+        if deep is None:
+            break
+        taking = scratch.written(sets.join(deep, "sid", "left_semi"), "deep-sets")
+    else:
+        if deep.limit(1).count():
+            raise RuntimeError(f"buckets were split beyond {DEPTHS[-1]} times")
     buckets = small[0]
     for more in small[1:]:
         buckets = buckets.union(more)
@@ -303,11 +374,14 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", th
     """
     support.short_batches(df.sparkSession)
     texts = df.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).withColumn("th", F.xxhash64("text"))
-    docs = support.written(texts.mapInPandas(lambda batches: embedded(batches, shingle), "doc_id long, th long, sid long, sig binary"), "documents")
-    sets = support.written(docs.filter("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.first("sig").alias("sig")), "sets")
-    groups = graph.components(candidate_edges(sets, threshold, recall))
-    blocks = groups.groupBy(F.col("label").alias("comp")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("blocks"))
-    members = sets.join(groups, sets["sid"] == groups["node"]).join(blocks, F.col("label") == F.col("comp"))
+    docs = support.written(texts.mapInPandas(lambda batches: embedded(batches, shingle), "doc_id long, th long, sid long, sig binary, shingles long"), "documents")
+    sets = support.written(docs.filter("sid IS NOT NULL").groupBy("sid").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("rep"), F.first("sig").alias("sig"), F.first("shingles").alias("shingles")), "sets")
+    scratch = Scratch()
+    groups = graph.components(candidate_edges(sets, threshold, recall, scratch))
+    grouped = scratch.written(sets.join(groups, sets["sid"] == groups["node"]).select("sid", "copies", "rep", "shingles", F.col("label").alias("comp")), "grouped")
+    # Blocks of sets and of shingles that a tile can hold.
+    number = F.ceil(F.greatest(F.count("*") / TILE, F.sum("shingles") / TILE_SHINGLES)).cast("int")
+    members = grouped.join(grouped.groupBy("comp").agg(number.alias("blocks")), "comp")
     members = members.select("sid", "copies", "comp", "blocks", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), F.col("rep.doc_id").alias("r_id"), F.col("rep.th").alias("r_th"))
     members = support.written(members, "members")
     side = F.broadcast(members) if members.count() <= BROADCAST_SETS else members
@@ -319,6 +393,7 @@ def join(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", th
     classes = graph.components(links.filter("sid != root").select(F.col("root").alias("a"), F.col("sid").alias("b")))
     counted = links.groupBy("sid").agg(F.sum("links").alias("links"))
     known = sets.select("sid", "copies", "rep").join(counted, "sid", "left").join(classes.withColumnRenamed("node", "sid"), "sid", "left")
+    scratch.drop()
     known = support.written(known.select("sid", "rep", F.coalesce("label", "sid").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "classes")
     named = known.groupBy("class").agg(F.min("rep").alias("kept"))
     known = known.join(named, "class").select("sid", "n_links", "kept")
