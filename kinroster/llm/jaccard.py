@@ -56,7 +56,7 @@ _FACTORS = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1
 _SHIFTS = _rng.integers(0, 1 << 32, COORDINATES, dtype=np.uint32)
 
 
-def survival(depth: int, threshold: float = THRESHOLD, share: float | None = None) -> float:
+def survival(depth: int, threshold: float = THRESHOLD, share: float | np.ndarray | None = None) -> float | np.ndarray:
     """Probability that a pair shares a path of ``depth`` splits in one run; ``share`` of its tokens are common, ``threshold`` if not given."""
     share = threshold if share is None else share
     extra, gone = 1 / threshold - 1, 0.0
@@ -66,23 +66,27 @@ def survival(depth: int, threshold: float = THRESHOLD, share: float | None = Non
     return 1 - gone
 
 
-def missed(runs: int, depth: int, threshold: float = THRESHOLD) -> float:
-    """Probability that a pair at the threshold shares no path in any run, over the binomial spread of its common tokens."""
-    odds = [math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in range(COORDINATES + 1)]
-    return sum(p * (1 - survival(depth, threshold, k / COORDINATES)) ** runs for k, p in enumerate(odds))
-
-
 def runs_for(recall: float = RECALL, depth: int = FIRST_DEPTH + STEP, threshold: float = THRESHOLD) -> int:
-    runs = 1
-    while missed(runs, depth, threshold) > 1 - recall:
-        runs += 1
-    return runs
-
-
-def runs_of(recall: float = RECALL, threshold: float = THRESHOLD) -> list[range]:
-    """The runs for each of ``DEPTHS``: the first of all sets, the others of sets that were split beyond the depth before."""
-    enough = [runs_for(recall, depth, threshold) for depth in DEPTHS]
-    return [range(a, b) for a, b in zip([0, *enough[:-1]], enough, strict=True)]
+    """Fewest runs that miss a pair at the threshold with probability ``1 - recall`` at most, over the binomial spread of its common tokens."""
+    common = np.arange(COORDINATES + 1)
+    odds = np.array([math.comb(COORDINATES, k) * threshold**k * (1 - threshold) ** (COORDINATES - k) for k in common.tolist()])
+    parted = 1 - survival(depth, threshold, common / COORDINATES)
+    low, high = 0, 1
+    while odds @ parted**high > 1 - recall:
+        low, high = high, 2 * high
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (middle, high) if odds @ parted**middle > 1 - recall else (low, middle)
+    return high
+
+
+def runs_of(recall: float = RECALL, threshold: float = THRESHOLD) -> Iterator[tuple[int, range]]:
+    """Each of ``DEPTHS`` and its runs: the first of all sets, the others of sets that were split beyond the depth before."""
+    done = 0
+    for depth in DEPTHS:
+        enough = max(done, runs_for(recall, depth, threshold))
+        yield depth, range(done, enough)
+        done = enough
 
 
 def min_hashes(grams: np.ndarray) -> np.ndarray:
@@ -271,7 +275,7 @@ def bucketed(sets: DataFrame, runs: range, depth: int, threshold: float, scratch
 def candidate_edges(sets: DataFrame, threshold: float, recall: float, scratch: Scratch) -> DataFrame:
     """Pairs of set ids that may be similar, each linked group connected."""
     small, linked, taking = [], [], sets
-    for depth, runs in zip(DEPTHS, runs_of(recall, threshold), strict=True):
+    for depth, runs in runs_of(recall, threshold):
         buckets, links, deep = bucketed(taking, runs, depth, threshold, scratch)
         small, linked = small + buckets, linked + links
         if deep is None:

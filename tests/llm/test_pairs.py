@@ -85,15 +85,32 @@ def test_runs_reach_the_recall_in_crowded_buckets(spark, monkeypatch):
             gone = once * (0.75 + 0.25 * once)
         return float(odds @ gone**runs)
 
+    for depth, runs in jaccard.runs_of():
+        assert lost(depth, runs.stop) <= 1.3e-4  # the spread is sampled
+        if depth == 15:
+            break
     taken, paths = [], jaccard.first_paths
     monkeypatch.setattr(jaccard, "first_paths", lambda sets, runs, threshold: taken.append((sets.count(), runs)) or paths(sets, runs, threshold))
-    group = [f"g{i}" for i in range(200)]
-    texts = [" ".join([*group[:k], f"x{k}", *group[k + 1 :]]) for k in range(100)] + [f"nothing like that number {k} at all" for k in range(30)]
-    jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    (every, first), (crowded, more) = taken
-    assert every == 130 and 50 < crowded <= 100 and first.stop == more.start
-    assert lost(jaccard.FIRST_DEPTH + jaccard.STEP, len(first)) + lost(jaccard.DEPTH, len(first) + len(more)) <= 1.2e-4  # the spread is sampled
-    assert lost(jaccard.DEPTH, jaccard.runs_for(depth=jaccard.DEPTH)) <= 1.2e-4
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    texts = [" ".join([*(f"g{i}" for i in range(140)), *(f"own{k}-{i}" for i in range(64))]) for k in range(150)]  # boilerplate: 0.51
+    texts += [f"nothing like that number {k} at all" for k in range(30)]
+    texts.append(texts[0] + " end")
+    out = frame(jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).sort_values("doc_id")
+    assert out.n_links.tolist() == [1] + [0] * (len(texts) - 2) + [1]
+    (every, first), (crowded, more) = taken[:2]
+    assert every == 181 and crowded <= 151 and first.stop == more.start
+
+
+def test_large_buckets_are_finished_at_a_centre(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 8)
+    linked, further = [], jaccard.further
+    monkeypatch.setattr(jaccard, "further", lambda rows, threshold: linked.append(rows.filter("hub IS NOT NULL").count()) or further(rows, threshold))
+    texts = near_copies(5)
+    out = frame(jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).sort_values("doc_id")
+    links, roots = brute_links(texts)
+    assert linked[0] > 0
+    assert out.n_links.tolist() == [links[i] for i in range(len(texts))]
+    assert out.class_id.tolist() == roots
 
 
 def test_components(spark):
