@@ -15,6 +15,12 @@ every set within ``CLOSE`` is finished here: whatever is similar to it lies with
 the centre, by the triangle inequality of the distance between embeddings, and all sets that do so are
 linked. The others are split on.
 
+Near copies walk together. A set that shares a band of tokens with many others takes the least set of
+that band as its head, if all but ``NEAR`` of their tokens agree, and its paths are written under the
+head's name, once for all sets that take them: a head walks the paths of all that it stands for, so no
+path is lost. In a small bucket a head is compared with a margin that is wider by the distance of its
+farthest set; where a bucket is still large, heads are replaced by their sets again.
+
 The runs are independent. There are enough of them for pairs that meet after the first splits; sets
 whose buckets were split further take part in more runs, as many as that depth needs. Together a pair
 at the threshold is missed with probability ``1 - RECALL`` at most, over the spread of shared tokens
@@ -46,6 +52,8 @@ RECALL, SMALL = 0.9999, 128
 MARGIN = 0.2
 #: Distance of a set from a centre that finishes it, and of what may be similar to it: 0.2 at the threshold and 3.5 standard deviations.
 CLOSE, REACH = 0.2, 0.32
+#: Distance of a set from the head under whose name it walks; bands, tokens of a band, and sets of a band that have a head.
+NEAR, BANDS, BAND, CROWD = 0.05, 4, 8, 16
 #: Sets from which a bucket's centre is made; centres that are broadcast at most.
 CENTRE_SAMPLE, BROADCAST_CENTRES = 64, 20_000
 #: Sets in a tile's side, and their shingles; so many representatives at most are broadcast.
@@ -136,31 +144,60 @@ def as_signatures(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), COORDINATES)
 
 
+def headed(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """``sid, rep, apart`` of the sets that walk under the name of a head ``rep``, at that distance from it.
+
+    Heads are an aggregation with partial sums, and joined by broadcast up to a count: no task holds a band.
+    """
+    bands = [F.xxhash64(F.lit(b), F.substring("sig", 2 * BAND * b + 1, 2 * BAND)) for b in range(BANDS)]
+    at = sets.select("sid", "sig", F.explode(F.array(*bands)).alias("band"))
+    crowds = at.groupBy("band").agg(F.count("*").alias("n"), F.min("sid").alias("rep")).filter(F.col("n") >= CROWD)
+    heads = crowds.join(sets.select(F.col("sid").alias("rep"), F.col("sig").alias("head")), "rep").select("band", "rep", "head")
+    heads = scratch.written(heads, "heads")
+    few = F.broadcast(heads) if heads.count() <= BROADCAST_CENTRES else heads
+    met = at.join(few, "band").filter("sid != rep").select("sid", "sig", "rep", "head").mapInPandas(near_heads, "sid long, rep long, apart double")
+    return scratch.written(met.groupBy("sid").agg(F.min(F.struct("rep", "apart")).alias("r")).select("sid", "r.*"), "headed")
+
+
+def near_heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        apart = (as_signatures(pdf["sig"]) != as_signatures(pdf["head"])).mean(axis=1)
+        yield pdf[["sid", "rep"]].assign(apart=apart)[apart <= NEAR]
+
+
+def once(paths: pd.DataFrame, ids: np.ndarray, reps: np.ndarray) -> pd.DataFrame:
+    """Paths of a batch without those that sets of one head share."""
+    return paths.drop_duplicates() if (ids != reps).any() else paths
+
+
 def first_paths(sets: DataFrame, runs: range, threshold: float) -> DataFrame:
+    """``path, sid`` of all sets (``sid, sig, rep``), under the names of their heads; a path may come several times."""
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            signatures, ids = as_signatures(pdf["sig"]), pdf["sid"].to_numpy()
+            signatures, ids, reps = as_signatures(pdf["sig"]), pdf["sid"].to_numpy(), pdf["rep"].to_numpy()
             for run in runs if len(pdf) else ():
                 rows = np.arange(len(pdf))
                 node = words.mix(np.full(len(pdf), run + 1, dtype=np.uint64))
                 for _ in range(FIRST_DEPTH):
                     node, rows = split(node, rows, signatures, threshold)
-                yield pd.DataFrame({"path": node.view(np.int64), "sid": ids[rows]})
+                yield once(pd.DataFrame({"path": node.view(np.int64), "sid": reps[rows]}), ids, reps)
 
-    return sets.select("sid", "sig").mapInPandas(walk, "path long, sid long")
+    return sets.select("sid", "sig", "rep").mapInPandas(walk, "path long, sid long")
 
 
 def further(rows: DataFrame, threshold: float) -> DataFrame:
-    """One step of large buckets: ``path, sid`` of sets that are split on, and ``hub, sid`` of sets that are linked at their centre.
+    """One step of large buckets: ``path, sid`` of sets that are split on, under the names of their heads, and ``hub, sid`` of sets that are linked at their centre.
 
-    ``rows`` has ``path, sid, sig`` and of the bucket's centre ``centre, hub``, null where there is none.
+    ``rows`` has ``path, rep, sid, sig`` and of the bucket's centre ``centre, hub``, null where there is none.
     """
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if not len(pdf):
                 continue
-            signatures, ids, node = as_signatures(pdf["sig"]), pdf["sid"].to_numpy(), pdf["path"].to_numpy().view(np.uint64)
+            signatures, ids, reps = as_signatures(pdf["sig"]), pdf["sid"].to_numpy(), pdf["rep"].to_numpy()
+            node = pdf["path"].to_numpy().view(np.uint64)
             far = np.ones(len(pdf))
             central = np.flatnonzero(pdf["hub"].notna().to_numpy())
             if len(central):
@@ -171,7 +208,8 @@ def further(rows: DataFrame, threshold: float) -> DataFrame:
             node = node[rows]
             for _ in range(STEP):
                 node, rows = split(node, rows, signatures, threshold)
-            yield pd.DataFrame({"path": pd.array(node.view(np.int64), dtype="Int64"), "hub": pd.array([None] * len(rows), dtype="Int64"), "sid": ids[rows]})
+            paths = once(pd.DataFrame({"path": node.view(np.int64), "sid": reps[rows]}), ids, reps)
+            yield pd.DataFrame({"path": paths["path"].astype("Int64"), "hub": pd.array([None] * len(paths), dtype="Int64"), "sid": paths["sid"]})
 
     return rows.mapInPandas(walk, "path long, hub long, sid long")
 
@@ -194,9 +232,9 @@ def centres(large: DataFrame, sets: DataFrame) -> DataFrame:
     return drawn.join(sets.select("sid", "sig"), "sid").select("path", "sid", "sig").groupBy("path").applyInPandas(centre_of, "path long, centre binary, hub long")
 
 
-def forest(ids: np.ndarray, signatures: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of a bucket that agree in a share of ``least`` min-hashes or more."""
-    agree = (signatures[:, None, :] == signatures[None, :, :]).mean(axis=2) >= least
+def forest(ids: np.ndarray, signatures: np.ndarray, reach: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of a bucket that agree in a share of ``least`` min-hashes or more, less the reach of both."""
+    agree = (signatures[:, None, :] == signatures[None, :, :]).mean(axis=2) + reach[:, None] + reach[None, :] >= least
     free, edges = np.ones(len(ids), dtype=bool), []
     for root in range(len(ids)):
         reached = [root] if free[root] else []
@@ -223,8 +261,8 @@ def bucket_edges(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.D
 
 
 def edges_of(pdf: pd.DataFrame, cut: np.ndarray, least: float) -> pd.DataFrame:
-    ids, signatures = pdf["sid"].to_numpy(), as_signatures(pdf["sig"])
-    found = [edge for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for edge in forest(ids[a:b], signatures[a:b], least)]
+    ids, signatures, reach = pdf["sid"].to_numpy(), as_signatures(pdf["sig"]), pdf["reach"].to_numpy()
+    found = [edge for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) for edge in forest(ids[a:b], signatures[a:b], reach[a:b], least)]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -243,22 +281,27 @@ class Scratch:
         self.tables = [t for t in self.tables if any(t is k for k in kept)]
 
 
-def bucketed(sets: DataFrame, runs: range, depth: int, threshold: float, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
-    """Small buckets, links at centres, and the ids of sets that were split beyond ``depth``, if any."""
-    paths = scratch.written(first_paths(sets, runs, threshold), "paths")
+def bucketed(taking: DataFrame, sets: DataFrame, runs: range, depth: int, threshold: float, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame], DataFrame | None]:
+    """Small buckets, links at centres, and the names of what was split beyond ``depth``, if any, in runs of the sets ``taking``."""
+    paths = scratch.written(first_paths(taking, runs, threshold), "paths")
     small, linked, deep, at = [], [], [], FIRST_DEPTH
     while True:
         sizes = scratch.written(paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
-        few = paths.join(sizes.filter(F.col("n") <= SMALL).select("path"), "path")
-        small.append(scratch.written(few.groupBy("path").agg(F.sort_array(F.collect_set("sid")).alias("m")).select("m").distinct(), "buckets"))
-        many = sizes.filter(F.col("n") > SMALL)
+        few, many = sizes.filter(F.col("n") <= SMALL).select("path"), sizes.filter(F.col("n") > SMALL).select("path")
         number = many.count()
+        if number:  # a head's path may have come from several batches
+            again = paths.join(F.broadcast(many) if number <= BROADCAST_CENTRES else many, "path").distinct().groupBy("path").agg(F.count("*").alias("n"))
+            again = scratch.written(again, "sizes")
+            few, many = few.union(again.filter(F.col("n") <= SMALL).select("path")), again.filter(F.col("n") > SMALL)
+            number = many.count()
+        sets_of_path = paths.join(few, "path").groupBy("path").agg(F.sort_array(F.collect_set("sid")).alias("m"))
+        small.append(scratch.written(sets_of_path.select("m").filter(F.size("m") > 1).distinct(), "buckets"))
         if not number:
             break
-        large = scratch.written(paths.join(F.broadcast(many) if number <= BROADCAST_CENTRES else many, "path"), "large")
+        large = scratch.written(paths.join(F.broadcast(many) if number <= BROADCAST_CENTRES else many, "path").distinct(), "large")
         hubs = scratch.written(centres(large, sets), "centres")
         few_hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_CENTRES else hubs
-        rows = large.select("path", "sid").join(sets.select("sid", "sig"), "sid").join(few_hubs, "path", "left")
+        rows = large.select("path", F.col("sid").alias("rep")).join(taking.select("rep", "sid", "sig"), "rep").join(few_hubs, "path", "left")
         steps = scratch.written(further(rows, threshold), "steps")
         linked.append(steps.filter("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("sid").alias("b")))
         paths, at = steps.filter("path IS NOT NULL").select("path", "sid"), at + STEP
@@ -274,20 +317,25 @@ def bucketed(sets: DataFrame, runs: range, depth: int, threshold: float, scratch
 
 def candidate_edges(sets: DataFrame, threshold: float, recall: float, scratch: Scratch) -> DataFrame:
     """Pairs of set ids that may be similar, each linked group connected."""
-    small, linked, taking = [], [], sets
+    heads = headed(sets, scratch)
+    known = F.broadcast(heads) if heads.count() <= BROADCAST_SETS else heads
+    named = sets.select("sid", "sig").join(known.select("sid", "rep"), "sid", "left").select("sid", "sig", F.coalesce("rep", "sid").alias("rep"))
+    small, linked, taking = [], [heads.select(F.col("rep").alias("a"), F.col("sid").alias("b"))], named
     for depth, runs in runs_of(recall, threshold):
-        buckets, links, deep = bucketed(taking, runs, depth, threshold, scratch)
+        buckets, links, deep = bucketed(taking, sets, runs, depth, threshold, scratch)
         small, linked = small + buckets, linked + links
         if deep is None:
             break
-        taking = scratch.written(sets.join(deep, "sid", "left_semi"), "deep-sets")
+        taking = scratch.written(named.join(deep.select(F.col("sid").alias("rep")), "rep", "left_semi").select("sid", "sig", "rep"), "deep-sets")
     else:
         if deep.limit(1).count():
             raise RuntimeError(f"buckets were split beyond {DEPTHS[-1]} times")
     buckets = small[0]
     for more in small[1:]:
         buckets = buckets.union(more)
-    members = buckets.distinct().select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("sid")).join(sets.select("sid", "sig"), "sid")
+    reach = known.groupBy(F.col("rep").alias("sid")).agg(F.max("apart").alias("reach"))
+    compared = sets.select("sid", "sig").join(reach, "sid", "left").select("sid", "sig", F.coalesce("reach", F.lit(0.0)).alias("reach"))
+    members = buckets.distinct().select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("sid")).join(compared, "sid")
     members = members.repartition("bucket").sortWithinPartitions("bucket", "sid")
     edges = members.mapInPandas(lambda batches: bucket_edges(batches, threshold - MARGIN), "a long, b long")
     for more in linked:

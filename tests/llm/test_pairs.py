@@ -113,6 +113,49 @@ def test_large_buckets_are_finished_at_a_centre(spark, monkeypatch):
     assert out.class_id.tolist() == roots
 
 
+def crowds():
+    """Two large groups of near copies that are just similar enough to each other in part, and strangers."""
+    base = [f"g{i}" for i in range(1000)]
+    texts = [" ".join([*base[:k], f"x{k}", *base[k + 1 :]]) for k in range(0, 900, 10)]
+    other = [*base[:895], *(f"o{i}" for i in range(105))]  # 0.81 of the base
+    texts += [" ".join([*other[:k], f"y{k}", *other[k + 1 :]]) for k in range(0, 900, 10)]
+    texts += [" ".join([*other[:-k], *(f"z{k}-{i}" for i in range(k))]) for k in (5, 75, 130)]
+    texts += [f"nothing like that number {k} at all" for k in range(20)]
+    random.Random(4).shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize("small", [jaccard.SMALL, 8])
+def test_near_copies_walk_under_their_heads(spark, monkeypatch, small):
+    """No link is lost, in small buckets or large ones, and a group's paths are few."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    taken, walked, headed = [], [], jaccard.headed
+    monkeypatch.setattr(jaccard, "headed", lambda sets, scratch: taken.append(headed(sets, scratch)) or walked.append(taken[-1].count()) or taken[-1])
+    texts = crowds()
+    out = frame(jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).sort_values("doc_id")
+    links, roots = brute_links(texts)
+    assert walked[0] > 100
+    assert out.n_links.tolist() == [links[i] for i in range(len(texts))]
+    assert out.class_id.tolist() == roots
+
+
+def test_a_head_takes_all_paths_of_its_sets():
+    rng = np.random.default_rng(8)
+    head = rng.integers(0, 1 << 16, jaccard.COORDINATES).astype("<u2")
+    signatures = np.repeat(head[None, :], 50, axis=0)
+    for k in range(1, 50):
+        signatures[k, rng.integers(0, jaccard.COORDINATES, 6)] = rng.integers(0, 1 << 16, 6)
+
+    def walk(rows):
+        node = jaccard.words.mix(np.full(len(rows), 1, dtype=np.uint64))
+        for _ in range(3):
+            node, rows = jaccard.split(node, rows, signatures, 0.8)
+        return set(node.tolist())
+
+    every = walk(np.arange(50))
+    assert every == set().union(*(walk(np.array([k])) for k in range(50))) and walk(np.array([0])) < every
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(1000, 1060)]
