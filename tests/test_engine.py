@@ -3,6 +3,7 @@ import json
 import random
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,20 @@ def test_generic_checks(spark):
 
 def test_oracle_names_only_what_it_needs():
     assert "attrition" not in oracle.sql("SELECT * FROM stg_hris")
+
+
+def test_review_does_not_shuffle_pairs(spark):
+    """The pairs of a name are scored where the join makes them, and leave a batch as the best of each source."""
+    queue = [("PAYROLL", f"PAYROLL::{i}", "ann", "li", dt.date(2020, 1, 1 + i % 9), None, None, "x") for i in range(40)]
+    people = [(f"cp_{i:03}", "Ann", "Li", dt.date(2020, 1, 1 + i % 28), None, None) for i in range(60)]
+    s = residual.source_identities(spark.createDataFrame(queue, QUEUE))
+    pairs = residual.candidate_pairs(s, residual.canonical_identities(spark.createDataFrame(people, PEOPLE)))
+    scores = residual.scored(pairs)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("SortMergeJoin")]
+    batch = pa.RecordBatch.from_pylist([r.asDict(recursive=True) for r in residual.suggested(scores).collect()])
+    left = next(residual.best_of_batch(iter([batch]), 3))
+    assert batch.num_rows == 2400 and left.num_rows == 120
+    kept = sorted((r["source_record_key"], r["canonical_person_id"]) for r in left.to_pylist())
+    assert kept == sorted((r["source_record_key"], r["canonical_person_id"]) for r in residual.ranked(scores).collect())
+    assert not list(residual.best_of_batch(iter([batch.slice(0, 0)]), 3))[0].num_rows
