@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kinroster.__main__ import main
 from kinroster.config import EngineConfig
 from kinroster.functions.similarity import indel
-from kinroster.operators import checks, metrics, privacy, residual, staging, workforce
+from kinroster.operators import checks, gates, metrics, privacy, residual, staging, workforce
 from kinroster.operators.persons import dms_erp_unified, hris_persons
 from kinroster.plans import oracle, queries
 from kinroster.plans.engine import Engine
@@ -295,3 +295,19 @@ def test_review_does_not_shuffle_pairs(spark):
     kept = sorted((r["source_record_key"], r["canonical_person_id"]) for r in left.to_pylist())
     assert kept == sorted((r["source_record_key"], r["canonical_person_id"]) for r in residual.ranked(scores).collect())
     assert not list(residual.best_of_batch(iter([batch.slice(0, 0)]), 3))[0].num_rows
+
+
+def test_days_are_not_dealt_by_key(spark, engine):
+    """The keys of days are sought among spells that are there twice, and what is found is the same."""
+    dim = engine.dim_employee.limit(40).union(engine.dim_employee.limit(40).limit(2))
+    rules = gates.of_models(gates.BUILT, ["workforce_daily"])
+    unique = next(r for r in rules if r.key)
+    for spells, some in ((engine.dim_employee, False), (spark.createDataFrame(dim.collect(), dim.schema), True)):
+        e = SimpleNamespace(dim_employee=spells, workforce_daily=workforce.workforce_daily(spells, engine.cfg.as_of), cfg=engine.cfg, built=set())
+        found = {tuple(r) for r in queries._counted(e, rules).collect()}
+        assert found == {tuple(r) for r in gates.counts(lambda m, e=e: getattr(e, m), gates.rules_of(e.cfg, rules)).collect()}
+        assert (dict(found)[unique.name] > 0) == some
+        dealt = queries._repeats(e, unique)
+        assert dealt.count() < e.workforce_daily.count() and (dealt.count() > 0) == some
+    e.built.add("workforce_daily")
+    assert queries._repeats(e, unique) is None
