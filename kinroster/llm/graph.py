@@ -25,7 +25,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         rounds += 1
         both = arcs.union(arcs.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = support.written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        large = support.written(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select("v", "m").union(least)
         arcs = support.written(small.toDF("u", "v").distinct(), "edges")

@@ -5,9 +5,12 @@ set is embedded into ``COORDINATES`` min-hash tokens, so two sets share about as
 their Jaccard similarity says. In each run all sets start in one bucket. A bucket is split on
 tokens that it samples, 1 / threshold of them on average, so a pair at the threshold stays together
 on one path on average. Buckets of up to ``SMALL`` sets are compared pair by pair, on their
-min-hashes with a wide margin, and give a spanning forest of what agrees; larger ones are split
+min-hashes with a wide margin, and give a spanning forest of what agrees; a set that the forest has
+reached is compared with no further one, so near copies cost little. Larger buckets are split
 again, however often it takes. Strangers that share boilerplate part on the way: at a similarity of
-0.5 a split leaves 0.64 of a bucket together.
+0.5 a split leaves 0.64 of a bucket together. Copies that agree loosely do not: each split leaves
+most of their bucket together, and a round of Spark jobs for it costs far more than comparing some
+thousand sets in one task.
 
 Only sets that truly agree would never part. So a large bucket gets a centre, the commonest token at
 each coordinate in a sample of its sets. If most of the sample lies within ``CLOSE`` of the centre,
@@ -34,7 +37,7 @@ return sums of links and a spanning forest, not pairs, so a group of n sets cost
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,7 +50,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 COORDINATES, FIRST_DEPTH, STEP = 128, 3, 2
 #: Further depths for which runs are added; a bucket that is split beyond the last needs as many as each doubling.
 DEPTHS = (5, 9, 15, 25, 50, 100)
-RECALL, SMALL = 0.9999, 128
+RECALL, SMALL = 0.9999, 2048
+#: Sets whose pairs are compared all at once.
+MATRIX = 64
 #: Min-hash agreement may fall so far below the threshold, 5.7 standard deviations at 0.8.
 MARGIN = 0.2
 #: Distance of a set from a centre that finishes it, and of what may be similar to it: 0.2 at the threshold and 3.5 standard deviations.
@@ -151,8 +156,9 @@ def headed(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """
     bands = [F.xxhash64(F.lit(b), F.substring("sig", 2 * BAND * b + 1, 2 * BAND)) for b in range(BANDS)]
     at = sets.select("sid", "sig", F.explode(F.array(*bands)).alias("band"))
-    crowds = at.groupBy("band").agg(F.count("*").alias("n"), F.min("sid").alias("rep")).filter(F.col("n") >= CROWD)
-    heads = crowds.join(sets.select(F.col("sid").alias("rep"), F.col("sig").alias("head")), "rep").select("band", "rep", "head")
+    crowds = scratch.written(at.groupBy("band").agg(F.count("*").alias("n"), F.min("sid").alias("rep")).filter(F.col("n") >= CROWD), "crowds")
+    few = F.broadcast(crowds) if crowds.count() <= BROADCAST_CENTRES else crowds
+    heads = sets.select(F.col("sid").alias("rep"), F.col("sig").alias("head")).join(few, "rep").select("band", "rep", "head")
     heads = scratch.written(heads, "heads")
     few = F.broadcast(heads) if heads.count() <= BROADCAST_CENTRES else heads
     met = at.join(few, "band").filter("sid != rep").select("sid", "sig", "rep", "head").mapInPandas(near_heads, "sid long, rep long, apart double")
@@ -226,28 +232,47 @@ def centre_of(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"path": pdf["path"].iloc[:1], "centre": [centre.tobytes()], "hub": [pdf["sid"][close].min()]})[: int(some)]
 
 
-def centres(large: DataFrame, sets: DataFrame) -> DataFrame:
-    """``path, centre, hub`` of the large buckets (``path, sid, n``) whose sets agree."""
+def centres(large: DataFrame, sets: DataFrame, number: int) -> DataFrame:
+    """``path, centre, hub`` of the ``number`` large buckets (``path, sid, n``) whose sets agree."""
     drawn = large.filter(F.pmod(F.xxhash64("sid", "path"), F.lit(1 << 30)) * F.col("n") < F.lit(CENTRE_SAMPLE << 30))
+    drawn = F.broadcast(drawn) if number * CENTRE_SAMPLE <= BROADCAST_SETS else drawn
     return drawn.join(sets.select("sid", "sig"), "sid").select("path", "sid", "sig").groupBy("path").applyInPandas(centre_of, "path long, centre binary, hub long")
 
 
 def forest(ids: np.ndarray, signatures: np.ndarray, reach: np.ndarray, least: float) -> list[tuple[int, int]]:
     """A spanning forest of the pairs of a bucket that agree in a share of ``least`` min-hashes or more, less the reach of both."""
-    agree = (signatures[:, None, :] == signatures[None, :, :]).mean(axis=2) + reach[:, None] + reach[None, :] >= least
     free, edges = np.ones(len(ids), dtype=bool), []
+    agreeing = agreement(signatures, reach, free, least)
     for root in range(len(ids)):
         reached = [root] if free[root] else []
         free[root] = False
         while reached:
             i = reached.pop()
-            near = np.flatnonzero(agree[i] & free)
+            near = agreeing(i)
             free[near] = False
             edges += [(int(ids[i]), int(ids[j])) for j in near]
             reached += near.tolist()
     return edges
 
 
+def agreement(signatures: np.ndarray, reach: np.ndarray, free: np.ndarray, least: float) -> Callable[[int], np.ndarray]:
+    """What gives the sets still ``free`` that agree with a set; beyond ``MATRIX`` sets only those are compared, a set at a time."""
+    if len(signatures) <= MATRIX:
+        agree = (signatures[:, None, :] == signatures[None, :, :]).mean(axis=2) + reach[:, None] + reach[None, :] >= least
+        return lambda i: np.flatnonzero(agree[i] & free)
+    at, columns = np.arange(len(signatures)), np.ascontiguousarray(signatures.T)
+
+    def agreeing(i: int) -> np.ndarray:
+        nonlocal at, columns
+        some = free[at]
+        if 2 * np.count_nonzero(some) < len(at):
+            at, columns, some = at[some], np.ascontiguousarray(columns[:, some]), some[some]
+        share = (columns == signatures[i][:, None]).view(np.uint8).sum(axis=0, dtype=np.uint8) / COORDINATES
+        return at[(share + reach[i] + reach[at] >= least) & some]
+
+    return agreeing
+
+
 def bucket_edges(batches: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
     """Edges of one bucket after another, from batches in the order of buckets; a bucket may lie in two batches."""
     left = None
@@ -290,18 +315,20 @@ def bucketed(taking: DataFrame, sets: DataFrame, runs: range, depth: int, thresh
         few, many = sizes.filter(F.col("n") <= SMALL).select("path"), sizes.filter(F.col("n") > SMALL).select("path")
         number = many.count()
         if number:  # a head's path may have come from several batches
-            again = paths.join(F.broadcast(many) if number <= BROADCAST_CENTRES else many, "path").distinct().groupBy("path").agg(F.count("*").alias("n"))
-            again = scratch.written(again, "sizes")
+            met = scratch.written(paths.join(F.broadcast(many) if number <= BROADCAST_CENTRES else many, "path").distinct(), "large")
+            again = scratch.written(met.groupBy("path").agg(F.count("*").alias("n")), "sizes")
             few, many = few.union(again.filter(F.col("n") <= SMALL).select("path")), again.filter(F.col("n") > SMALL)
-            number = many.count()
+            number, total = many.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
         sets_of_path = paths.join(few, "path").groupBy("path").agg(F.sort_array(F.collect_set("sid")).alias("m"))
-        small.append(scratch.written(sets_of_path.select("m").filter(F.size("m") > 1).distinct(), "buckets"))
+        small.append(scratch.written(sets_of_path.select("m").filter(F.size("m") > 1), "buckets"))
         if not number:
             break
-        large = scratch.written(paths.join(F.broadcast(many) if number <= BROADCAST_CENTRES else many, "path").distinct(), "large")
-        hubs = scratch.written(centres(large, sets), "centres")
+        large = met.join(F.broadcast(many) if number <= BROADCAST_CENTRES else many, "path")
+        hubs = scratch.written(centres(large, sets, number), "centres")
         few_hubs = F.broadcast(hubs) if hubs.count() <= BROADCAST_CENTRES else hubs
-        rows = large.select("path", F.col("sid").alias("rep")).join(taking.select("rep", "sid", "sig"), "rep").join(few_hubs, "path", "left")
+        named = large.select("path", F.col("sid").alias("rep"))
+        rows = taking.select("rep", "sid", "sig").join(F.broadcast(named) if total <= BROADCAST_SETS else named, "rep").join(few_hubs, "path", "left")
+        rows = rows.select("path", "rep", "sid", "sig", "centre", "hub")
         steps = scratch.written(further(rows, threshold), "steps")
         linked.append(steps.filter("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("sid").alias("b")))
         paths, at = steps.filter("path IS NOT NULL").select("path", "sid"), at + STEP

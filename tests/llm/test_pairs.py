@@ -139,6 +139,44 @@ def test_near_copies_walk_under_their_heads(spark, monkeypatch, small):
     assert out.class_id.tolist() == roots
 
 
+def test_copies_that_agree_loosely_are_not_split_again(spark, monkeypatch):
+    """A group of 271 different copies with up to 9 of 150 words changed; splitting it again leaves most of it together."""
+    monkeypatch.setattr(jaccard, "further", lambda *_: pytest.fail("a bucket of some hundred sets was split again"))
+    rng = random.Random(7)
+    base = [f"g{i}" for i in range(150)]
+    texts = []
+    for k in range(300):
+        copy = list(base)
+        for at in rng.sample(range(150), k % 10):
+            copy[at] = f"x{k}-{at}"
+        texts.append(" ".join(copy))
+    texts += [f"nothing like that number {k} at all" for k in range(20)]
+    out = frame(jaccard.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).sort_values("doc_id")
+    links, roots = brute_links(texts)
+    assert out.n_links.tolist() == [links[i] for i in range(len(texts))]
+    assert out.class_id.tolist() == roots
+
+
+def test_forests_of_large_buckets_connect_what_agrees():
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 16, (4, jaccard.COORDINATES))
+    signatures = base[rng.integers(0, 4, 700)].astype("<u2")
+    for row in signatures:
+        k = rng.integers(0, 45)
+        row[rng.permutation(jaccard.COORDINATES)[:k]] = rng.integers(0, 1 << 16, k)
+    reach = np.where(rng.random(700) < 0.1, 0.05, 0.0)
+    agree = (signatures[:, None, :] == signatures[None, :, :]).mean(axis=2) + reach[:, None] + reach[None, :] >= 0.6
+    edges = jaccard.forest(np.arange(700), signatures, reach, 0.6)
+    assert all(agree[a, b] for a, b in edges)
+    label = np.arange(700)
+    for _ in range(700):
+        least = np.where(agree, label[None, :], 700).min(axis=1)
+        if (least == label).all():
+            break
+        label = least
+    assert len(edges) == 700 - len(set(label.tolist())) and all(label[a] == label[b] for a, b in edges)
+
+
 def test_a_head_takes_all_paths_of_its_sets():
     rng = np.random.default_rng(8)
     head = rng.integers(0, 1 << 16, jaccard.COORDINATES).astype("<u2")
