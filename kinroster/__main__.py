@@ -96,7 +96,7 @@ def _review(engine: Engine, args: argparse.Namespace, known) -> int:
     spark = engine.spark
     queue = residual.source_identities(engine.stewardship_queue, args.limit)
     people = residual.canonical_identities(engine.canonical_person, args.mode)
-    ranked = engine.store.table("ranked", residual.ranked(residual.scored(residual.candidate_pairs(queue, people)), args.top_n, args.minimum))
+    ranked = engine.store.table("ranked", residual.best(queue, people, engine.store.table, args.top_n, args.minimum))
     if args.command == "residual-candidates":
         if args.out:
             export.write_csv(residual.exported(ranked), args.out)

@@ -3,12 +3,15 @@ import json
 import random
 from types import SimpleNamespace
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from kinroster.__main__ import main
 from kinroster.config import EngineConfig
+from kinroster.functions import similarity
 from kinroster.functions.similarity import indel
 from kinroster.operators import checks, gates, metrics, privacy, residual, staging, workforce
 from kinroster.operators.persons import dms_erp_unified, hris_persons
@@ -311,3 +314,46 @@ def test_days_are_not_dealt_by_key(spark, engine):
         assert dealt.count() < e.workforce_daily.count() and (dealt.count() > 0) == some
     e.built.add("workforce_daily")
     assert queries._repeats(e, unique) is None
+
+
+def test_first_candidates_are_those_of_all_pairs(spark):
+    """What is sought near a source's date, and elsewhere only if need be, is what all pairs give, whatever is missing."""
+    rng = random.Random(11)
+    pick = lambda *xs: rng.choice(xs)
+    day = lambda often: pick(*[dt.date(2020, 1, 1) + dt.timedelta(days=rng.randrange(500))] * often, None)
+    mail = lambda: pick(None, "rob.smith", "ann.lee", "a.lee", f"u{rng.randrange(9)}")
+    for undated, unnamed in ((9, "rob"), (2, None)):
+        people = [(f"cp_{i:03}", pick("rob", "ann", unnamed), pick("smith", "lee", "leigh", unnamed), day(undated), mail(), mail()) for i in range(240)]
+        sources = [("ATS", f"ATS::{i // 2 if i < 40 else i}", pick(None, "rob", "ann", "ann", "eve"), pick(None, "smith", "lee", "smith", "leeh", "leigh"), day(undated), pick(None, mail()), pick(None, f"cp_{rng.randrange(250):03}"), "x") for i in range(300)]
+        s = residual.source_identities(spark.createDataFrame(sources, QUEUE))
+        p = residual.canonical_identities(spark.createDataFrame(people, PEOPLE))
+        made, every = residual.best(s, p), residual.ranked(residual.scored(residual.candidate_pairs(s, p)))
+        made, every = ([r.asDict(recursive=True) for r in df.drop("s_hint").orderBy("source_record_key", "candidate_rank", "source_system").collect()] for df in (made, every.select(*made.columns)))
+        assert made == every and len(every) > 200
+
+
+def test_persons_far_away_are_not_compared(spark):
+    """Sources that are alike are compared once, and with persons hired near; only one that finds too few there meets the others."""
+    queue = [("PAYROLL", f"PAYROLL::{i}", "ann", "li", dt.date(2020, 1, 1 + i % 5), None, None, "x") for i in range(100)]
+    queue.append(("ATS", "ATS::1", "ann", "li", dt.date(2029, 1, 1), "ann.li", None, "x"))
+    people = [(f"cp_{i:04}", "Ann", "Li", dt.date(2020, 1, 1) + dt.timedelta(days=10 * (i % 200)), "ann.li", None) for i in range(2000)]
+    s, p = (f(spark.createDataFrame(rows, kind)) for f, rows, kind in ((residual.source_identities, queue, QUEUE), (residual.canonical_identities, people, PEOPLE)))
+    held = {}
+
+    def keep(name, df):
+        held[name] = spark.createDataFrame(df.collect(), df.schema)
+        return held[name]
+
+    found = residual.best(s, p, keep)
+    key = ["source_record_key", "candidate_rank", "canonical_person_id"]
+    assert sorted(map(tuple, found.select(*key).collect())) == sorted(map(tuple, residual.ranked(residual.scored(residual.candidate_pairs(s, p))).select(*key).collect()))
+    assert [r["s_local"] for r in held["review_open"].collect()] == ["ann.li"] and held["review_near"].count() == 5 * 4
+    profiles = held["review_sources"].dropDuplicates(["profile"]).withColumn("source_record_key", F.col("profile"))
+    assert profiles.count() == 6 and residual.candidate_pairs(profiles, p, near=True).count() < 5 * 10 * 8 < residual.candidate_pairs(s, p).count() / 90
+
+
+def test_pairs_that_occur_again_are_compared_once():
+    a, b = pd.Series(["smith", None, "smith", "lee"] * 5), pd.Series(["smyth", "x", None, "lee"] * 5)
+    assert [None if np.isnan(x) else x for x in similarity.indels(a, b)] == [similarity.indel(x, y) for x, y in zip(a, b, strict=True)]
+    nothing = pd.Series([None] * 4, dtype=object)
+    assert np.isnan(similarity.indels(a[:4], nothing)).all() and len(similarity.indels(a[:0], b[:0])) == 0
