@@ -93,3 +93,26 @@ def test_pairs_are_shown_without_a_shuffle_of_them(spark, tmp_path):
     for df in (pairs, e.identity_pass_2):
         plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
         assert "Join Inner" in next(line for line in plan if "Project" not in line and "Filter" not in line), plan[:4]
+
+
+def test_persons_of_repeated_keys_are_counted_without_their_pairs(spark):
+    """Identities of one key share persons by name, by a second name of a person, and by near dates; each pair of them is told once, and no pair of a name is shuffled."""
+    rng = random.Random(9)
+    spells = [(f"p{k:03}", day(-9000 - k), day(rng.randrange(200)), rng.choice(["rob", "liz"]), rng.choice(["rob", "rob", "ann", None]), rng.choice(["smith", "smithray"]), f"F{k}", f"L{k}", None, None) for k in range(60) for _ in range(1 + k % 4)]
+    nodes, given = [], dict.fromkeys(identity.NODE) | {"source_system": "DMS_ERP", "merge_topology": "DMS_AND_ERP"}
+    for key in range(50):
+        for _ in range(1 + key % 5 + (20 if key == 7 else 0)):
+            nodes.append(given | {"source_record_key": None if key == 3 else f"k{key}", "source_first_name_root": rng.choice(["rob", "liz", "ann"]), "source_last_name_norm": rng.choice(["smith", "smithray"]), "source_hire_date": day(rng.randrange(220)), "merge_topology": rng.choice(["DMS_ONLY", "DMS_AND_ERP"]) if key % 9 == 4 else "DMS_AND_ERP"})
+    first = spark.createDataFrame([], "source_record_key string, auto_merge_qualified boolean")
+    made = [spark.createDataFrame([tuple(n.values()) for n in nodes], NODE), spark.createDataFrame(spells, SPELL), first]
+    every = plain(*made)
+    two = identity.pass_2(*made)
+    same(two, every.select(*two.columns))
+    shown = lambda pairs: pairs.select("source_record_key", "hris_person_key", "hire_date_diff_days", "dob_match", "merge_topology")
+    once = identity.pass_2_once(*made, shown)
+    assert shown(every).count() > shown(every).distinct().count() and once.count() == once.distinct().count()
+    same(once, shown(every).distinct())
+    best = ["source_record_key", "hris_person_key", "match_score", "candidate_hris_person_count", "hire_date_diff_days", "hris_hire_date"]
+    same(identity.pass_2_best(*made).select(*best), identity.best_by_score(every.select(*identity.EVIDENCE)).select(*best))
+    plan = two._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert "Join Inner" in next(line for line in plan if "Project" not in line and "Filter" not in line), plan[:4]
