@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 import random
+import time
 from types import SimpleNamespace
 
 import numpy as np
@@ -15,7 +16,7 @@ from kinroster.functions import similarity
 from kinroster.functions.similarity import indel
 from kinroster.operators import checks, gates, metrics, privacy, residual, staging, workforce
 from kinroster.operators.persons import dms_erp_unified, hris_persons
-from kinroster.plans import oracle, queries
+from kinroster.plans import oracle, queries, store
 from kinroster.plans.engine import Engine
 from kinroster.sources import fixture, generator, raw
 
@@ -357,3 +358,36 @@ def test_pairs_that_occur_again_are_compared_once():
     assert [None if np.isnan(x) else x for x in similarity.indels(a, b)] == [similarity.indel(x, y) for x, y in zip(a, b, strict=True)]
     nothing = pd.Series([None] * 4, dtype=object)
     assert np.isnan(similarity.indels(a[:4], nothing)).all() and len(similarity.indels(a[:0], b[:0])) == 0
+
+
+def test_days_are_not_dealt_by_person(spark, engine):
+    """Days on which a person is active twice are sought in spells that meet, and what is found is the same."""
+    rng = random.Random(3)
+    start = lambda: dt.date(2024, 1, 1) + dt.timedelta(days=rng.randrange(60))
+    spells = []
+    for i in range(60):
+        began = start()
+        spells.append((f"sk{i}", f"cp_{i % 17}", began, rng.choice([None, began, began + dt.timedelta(days=rng.randrange(1, 25)), began - dt.timedelta(days=3), began + dt.timedelta(days=1)])))
+    spells += [("n1", "cp_next", dt.date(2024, 1, 1), dt.date(2024, 2, 1)), ("n2", "cp_next", dt.date(2024, 2, 1), dt.date(2024, 3, 1))]
+    dim = engine.dim_employee.limit(1).drop("employee_sk", "canonical_person_id", "effective_start_date", "termination_date")
+    dim = spark.createDataFrame(spells, "employee_sk string, canonical_person_id string, effective_start_date date, termination_date date").join(dim, F.lit(True)).select(*engine.dim_employee.columns)
+    rule = next(r for r in gates.SINGULAR if r.name == "check_daily_one_active_row")
+    for spells, some in ((engine.dim_employee, False), (spark.createDataFrame(dim.collect(), dim.schema), True)):
+        e = SimpleNamespace(dim_employee=spells, workforce_daily=workforce.workforce_daily(spells, dt.date(2024, 6, 1)), cfg=EngineConfig(as_of=dt.date(2024, 6, 1)), built=set())
+        found = queries._counted(e, [rule]).first()["violations"]
+        assert found == checks.several_active_a_day(e.workforce_daily).count() and (found > 0) == some
+        dealt = queries._repeats(e, rule)
+        assert dealt.count() < e.workforce_daily.count() and not dealt.filter("canonical_person_id = 'cp_next'").count()
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    files = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    before, kept = files(), spark.conf.get(store.SHORT_LIVED, None)
+    made = store.Store(spark)
+    made.table("dealt", spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(store.SHORT_LIVED, None) == kept
+    made.drop()
