@@ -348,9 +348,9 @@ def test_persons_far_away_are_not_compared(spark):
     found = residual.best(s, p, keep)
     key = ["source_record_key", "candidate_rank", "canonical_person_id"]
     assert sorted(map(tuple, found.select(*key).collect())) == sorted(map(tuple, residual.ranked(residual.scored(residual.candidate_pairs(s, p))).select(*key).collect()))
-    assert [r["s_local"] for r in held["review_open"].collect()] == ["ann.li"] and held["review_near"].count() == 5 * 4
+    assert [r["s_local"] for r in held["review_beyond_30"].collect()] == ["ann.li"] and held["review_within_30"].count() == 5 * 4
     profiles = held["review_sources"].dropDuplicates(["profile"]).withColumn("source_record_key", F.col("profile"))
-    assert profiles.count() == 6 and residual.candidate_pairs(profiles, p, near=True).count() < 5 * 10 * 8 < residual.candidate_pairs(s, p).count() / 90
+    assert profiles.count() == 6 and residual.candidate_pairs(profiles, p, 30).count() < 5 * 10 * 8 < residual.candidate_pairs(s, p).count() / 90
 
 
 def test_pairs_that_occur_again_are_compared_once():
