@@ -391,3 +391,13 @@ def test_shuffle_files_go_when_a_table_is_written(spark):
         time.sleep(0.1)
     assert files() <= before and spark.conf.get(store.SHORT_LIVED, None) == kept
     made.drop()
+
+
+def test_names_without_common_letters_are_not_compared(spark):
+    """A source that is compared with all meets those whose last name has letters enough of its own."""
+    day = dt.date(2020, 1, 1)
+    s = residual.source_identities(spark.createDataFrame([("PAYROLL", "PAYROLL::1", None, "smithx", day, None, None, "x")], QUEUE))
+    people = [(f"cp_{i}", "Ann", last, day, None, None) for i, last in enumerate(("Smith", "Garc\u00eda", "Lopez", "Wenhtims"))]
+    pairs = residual.candidate_pairs(s, residual.canonical_identities(spark.createDataFrame(people, PEOPLE)))
+    assert sorted(r["c_last"] for r in pairs.collect()) == ["smith", "wenhtims"]
+    assert [r["canonical_person_id"] for r in residual.ranked(residual.scored(pairs)).collect()] == ["cp_0"]
